@@ -38,7 +38,11 @@ def with_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> D
         F.filter("ks", lambda _, i: (i > 0) & (i % step == 0)).alias("cuts")
     ).scalar()
     key = _sort_struct(order)
-    return df.withColumn("_range", F.size(F.filter(cuts, lambda c: c <= key)))
+    return (
+        df.withColumn("_cuts", cuts)
+        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key)))
+        .drop("_cuts")
+    )
 
 
 def prefix_sum(

@@ -10,12 +10,19 @@ def nonzero(col: Column) -> Column:
     return F.nullif(col, F.lit(0).cast("double"))
 
 
+def fixed(col: Column, scale: int) -> Column:
+    """FN-16: a double with fixed decimals, half away from zero, by plain
+    floating arithmetic, so that other engines can repeat it bit for bit."""
+    d, p = col.cast("double"), F.lit(float(10**scale))
+    return F.signum(d) * F.floor(F.abs(d) * p + F.lit(0.5)) / p + F.lit(0.0)
+
+
 def safe_div(a: Column, b: Column, scale: int | None = None, factor: float = 1.0) -> Column:
     """FLT-08: floating ratio, NULL on a zero divisor, then fixed decimals."""
     ratio = a.cast("double") / nonzero(b.cast("double"))
     if factor != 1.0:
         ratio = F.lit(float(factor)) * a.cast("double") / nonzero(b.cast("double"))
-    return ratio if scale is None else F.round(ratio, scale)
+    return ratio if scale is None else fixed(ratio, scale)
 
 
 def pct(a: Column, b: Column, scale: int = 2) -> Column:

@@ -81,9 +81,15 @@ def n(x: str) -> str:
     return f"CAST({x} AS BIGINT)"
 
 
+def fx(x: str, scale: int = 2) -> str:
+    """A double with fixed decimals, half away from zero."""
+    p = f"1{'0' * scale}.0::DOUBLE"
+    return f"(sign({x}) * floor(abs({x}) * {p} + 0.5::DOUBLE) / {p} + 0.0::DOUBLE)"
+
+
 def pct(a: str, b: str, scale: int = 2) -> str:
-    return f"round(100.0::DOUBLE * CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), {scale})"
+    return fx(f"(100.0::DOUBLE * CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0))", scale)
 
 
 def div(a: str, b: str, scale: int = 2) -> str:
-    return f"round(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), {scale})"
+    return fx(f"(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0))", scale)

@@ -20,3 +20,32 @@ def daily_spine(df: DataFrame, key: str, day: str, zero: Sequence[str]) -> DataF
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in zero else F.col(c) for c in out.columns if c != "observed"],
         F.coalesce("observed", F.lit(False)).alias("observed"),
     )
+
+
+# The columns a store-day model may see: all known on the morning of the day.
+STORE_DAY_COLUMNS = ["dow_num", "mo", "is_weekend", "is_holiday", "promos_active", "region", "store_format", "square_feet"]
+
+
+def store_day_features(daily: DataFrame, calendar: DataFrame, stores: DataFrame) -> DataFrame:
+    """MRT-48: store-day rows with calendar and store columns from an explicit
+    allow-list; whole-period figures would leak the future and are left out."""
+    cal = calendar.select("calendar_date", *[c for c in STORE_DAY_COLUMNS if c in calendar.columns])
+    fixed_cols = stores.select("store_id", *[c for c in STORE_DAY_COLUMNS if c in stores.columns])
+    out = daily.join(cal, daily.sale_date == cal.calendar_date).join(fixed_cols, "store_id", "left")
+    return out.select("store_id", "calendar_date", *STORE_DAY_COLUMNS, F.col("s").alias("target_sales"), F.col("tx").alias("target_transactions"))
+
+
+def store_plu_week(lines: DataFrame, first_day) -> DataFrame:
+    """MRT-49: every week inside each store-product pair's carried life, zeros
+    included.  The week is arithmetic on the day, not a range join."""
+    from shopledger.functions import week_seq, jdn
+
+    zero = F.lit(0)
+    actual = lines.groupBy("store_id", "plu", week_seq(jdn(F.col("sale_date")), jdn(first_day)).alias("week_seq")).agg(
+        F.sum("quantity").alias("units"), F.sum("sales").alias("sales"), (F.sum("sales") - F.sum("cost")).alias("margin"),
+        F.sum(F.when(F.col("promo_type") != "", F.col("quantity")).otherwise(zero)).alias("promo_units"),
+    )
+    life = actual.groupBy("store_id", "plu").agg(F.min("week_seq").alias("a"), F.max("week_seq").alias("b"))
+    spine = life.select("store_id", "plu", F.explode(F.sequence("a", "b")).alias("week_seq"))
+    out = spine.join(actual, ["store_id", "plu", "week_seq"], "left")
+    return out.select("store_id", "plu", "week_seq", *[F.coalesce(F.col(c), zero).alias(c) for c in ("units", "sales", "margin", "promo_units")])

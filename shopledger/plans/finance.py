@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shopledger.functions import fixed, money, nonzero, norm_blank, pct, safe_div, yyyymm
 from shopledger.operators.joins import asof_join, with_scalars
-from shopledger.operators.reshape import to_ledger, unpivot
+from shopledger.operators.reshape import to_ledger
 from shopledger.operators.windows import pct_change, running_sum
 
 ONE = F.lit(1)
@@ -115,17 +115,20 @@ def tender_daily(day: DataFrame, gift_weight: Column, gift_total: DataFrame) ->
     """MRT-28: gift weights scaled to a control total, the remainder of each
     day split over tenders by a normalised mix, one row per tender."""
     w = day.withColumn("_w", gift_weight)
-    k = with_scalars(w, w.agg(F.sum("_w").cast("double").alias("_wsum")))
-    k = with_scalars(k, gift_total.select(F.col("total").cast("double").alias("_total")))
-    gift = F.col("_w").cast("double") * (F.col("_total") / F.col("_wsum"))
-    b = k.withColumn("gift", gift).withColumn("remainder", F.greatest(F.lit(0.0), F.col("day_sales").cast("double") - F.col("gift")))
+    wsum = w.agg(F.sum("_w").cast("double").alias("s")).scalar()
+    total = gift_total.select(F.col("total").cast("double").alias("t")).scalar()
+    b = w.withColumn("gift", F.col("_w").cast("double") * (total / wsum))
+    b = b.withColumn("remainder", F.greatest(F.lit(0.0), F.col("day_sales").cast("double") - F.col("gift")))
+    names = ("tender_type", "tender_group", "share", "fee")
+    kinds = [("Gift Card", "Stored Value", None, 0.0), *[(t[1], t[2], t[3], t[4]) for t in TENDERS]]
+    rows = F.array(*[F.struct(*[F.lit(v).cast("double" if k in ("share", "fee") else "string").alias(k) for k, v in zip(names, kind)]) for kind in kinds])
     mix = sum(t[3] for t in TENDERS)
-    wide = b.select("store_id", "sale_date", "yyyymm", "gift", *[(F.col("remainder") * F.lit(t[3]) / F.lit(mix)).alias(t[0]) for t in TENDERS])
-    long = unpivot(wide, ["store_id", "sale_date", "yyyymm"], ["gift", *[t[0] for t in TENDERS]], "code", "amount").where("amount > 0.005")
-    attr = lambda i: F.element_at(F.create_map(*[x for t in TENDERS for x in (F.lit(t[0]), F.lit(t[i]))]), F.col("code"))
-    return long.select(
-        "store_id", "sale_date", "yyyymm", F.coalesce(attr(1), F.lit("Gift Card")).alias("tender_type"), F.coalesce(attr(2), F.lit("Stored Value")).alias("tender_group"),
-        fixed(F.col("amount"), 2).alias("amount"), fixed(F.col("amount") * F.coalesce(attr(4), F.lit(0.0)) / F.lit(100.0), 2).alias("processing_fee"),
+    long = b.select("store_id", "sale_date", "yyyymm", "gift", "remainder", F.inline(rows))
+    amount = F.when(F.col("share").isNull(), F.col("gift")).otherwise(F.col("remainder") * F.col("share") / F.lit(mix))
+    out = long.withColumn("raw", amount).where("raw > 0.005")
+    return out.select(
+        "store_id", "sale_date", "yyyymm", "tender_type", "tender_group", fixed(F.col("raw"), 2).alias("amount"),
+        fixed(F.col("raw") * F.col("fee") / F.lit(100.0), 2).alias("processing_fee"),
     )
 
 

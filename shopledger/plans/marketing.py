@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shopledger.functions import fixed, money, norm_blank, pct, safe_div, season, yyyymm
 from shopledger.operators.aggregates import argmax_of
 
-ONE = F.lit(1)
+ONE = "*"
 
 
 def promotions(lines: DataFrame) -> DataFrame:

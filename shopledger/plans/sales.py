@@ -12,7 +12,7 @@ from shopledger.functions import (
 )
 from shopledger.operators.joins import active_count, presence_flag
 
-ONE = F.lit(1)
+ONE = "*"
 
 
 def build_txn(txn: DataFrame, calendar: DataFrame, online_ids: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from shopledger.operators.aggregates import argmax_of
 from shopledger.operators.joins import below_group_mean, theta_count
 from shopledger.operators.reshape import union_all
 
-ONE = F.lit(1)
+ONE = "*"
 
 
 def store_facts(lines: DataFrame, stores: DataFrame, days: int) -> DataFrame:
@@ -197,17 +197,24 @@ def name_counts(df: DataFrame, name: str, n: int) -> DataFrame:
     return df.groupBy(F.col(name).alias("name")).agg(F.count(ONE).alias("segments")).orderBy(F.col("segments").desc(), "name").limit(n)
 
 
-# Named operating ratios: numerator and denominator over a staff or order frame.
-OPS_METRICS = {
-    "fulfilment_rate": (F.sum("received_units"), F.sum("ordered_units")),
-    "perfect_order_rate": (F.count_if((F.col("on_time") == "Y") & (F.col("fill_rate_pct") >= 95)), F.count(ONE)),
-    "average_supply_time": (F.sum("actual_lead_days"), F.count(ONE)),
-}
-STAFF_METRICS = {
-    "overtime_ratio": (F.sum(F.when(F.col("scheduled_hours") > 7, F.col("scheduled_hours") - 7).otherwise(F.lit(0))), F.sum("scheduled_hours")),
-    "headcount": (F.countDistinct("employee_id"), F.lit(1)),
-    "shifts_per_head": (F.count(ONE), F.countDistinct("employee_id")),
-}
+def supply_metrics() -> dict[str, tuple[Column, Column]]:
+    """MRT-50: named ratios over purchase orders: numerator and denominator."""
+    perfect = (F.col("on_time") == "Y") & (F.col("fill_rate_pct") >= 95)
+    return {
+        "fulfilment_rate": (F.sum("received_units"), F.sum("ordered_units")),
+        "perfect_order_rate": (F.count_if(perfect), F.count(ONE)),
+        "average_supply_time": (F.sum("actual_lead_days"), F.count(ONE)),
+    }
+
+
+def staff_metrics() -> dict[str, tuple[Column, Column]]:
+    """MRT-50: named ratios over shifts."""
+    over = F.when(F.col("scheduled_hours") > 7, F.col("scheduled_hours") - 7).otherwise(F.lit(0))
+    return {
+        "overtime_ratio": (F.sum(over), F.sum("scheduled_hours")),
+        "headcount": (F.countDistinct("employee_id"), F.lit(1)),
+        "shifts_per_head": (F.count(ONE), F.countDistinct("employee_id")),
+    }
 
 
 def ops_metric(df: DataFrame, names: dict[str, tuple[Column, Column]], by: str) -> DataFrame:

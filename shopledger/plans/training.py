@@ -11,7 +11,7 @@ from shopledger.functions import money, pct, safe_div
 from shopledger.operators.joins import asof_snapshots, lookback_join
 from shopledger.plans.customers import horizon, purchase_days
 
-ONE = F.lit(1)
+ONE = "*"
 
 
 def churn_training(txn: DataFrame, cutoffs: Sequence[int], scoring: int, max_jdn: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from shopledger.queries.registry import query
 from shopledger.sources import retail
 from shopledger.sources.tables import read_table
 
-ONE = F.lit(1)
+ONE = "*"
 
 
 @query("agg01_group_aggregate", f"""{L}

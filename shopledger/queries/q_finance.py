@@ -14,7 +14,7 @@ from shopledger.queries.q_joins import RATES_SQL, rates
 from shopledger.queries.registry import query
 from shopledger.sources import inputs, retail
 
-ONE = F.lit(1)
+ONE = "*"
 
 
 def store_rates(spark, sf):

@@ -17,7 +17,7 @@ from shopledger.queries.registry import query
 from shopledger.sources import inputs, retail
 from shopledger.sources.tables import inline_table, read_table
 
-ONE = F.lit(1)
+ONE = "*"
 FACTS = f"""facts AS (SELECT store_id, any_value(s.region) AS region, any_value(s.store_format) AS store_format, any_value(s.owner_id) AS owner_id, any_value(s.square_feet) AS square_feet, count(DISTINCT txn_id) AS total_transactions, count(DISTINCT customer_id) AS distinct_customers,
 CAST(min(sale_date) AS VARCHAR) AS open_date, CAST(max(sale_date) AS VARCHAR) AS last_sale_date, {m('sum(sales)')} AS total_sales, {spct('sum(sales) - sum(cost)', 'sum(sales)')} AS margin_pct, {fx('CAST(sum(sales) AS DOUBLE) * 7.0::DOUBLE / 2400.0::DOUBLE')} AS avg_weekly_sales, {div('sum(sales)', 'any_value(s.square_feet)')} AS sales_per_sqft
 FROM sales_lines l JOIN stores s USING (store_id) GROUP BY 1)"""
@@ -251,12 +251,12 @@ def _(spark, sf):
 
 @query("mrt50_supply_metrics", f"""{L}, {PO} SELECT supplier_id, {div('sum(received_units)', 'sum(ordered_units)', 6)} AS fulfilment_rate, {div("count(*) FILTER (WHERE on_time = 'Y' AND fill_rate_pct >= 95)", 'count(*)', 6)} AS perfect_order_rate, {div('sum(actual_lead_days)', 'count(*)', 6)} AS average_supply_time FROM po GROUP BY 1""")
 def _(spark, sf):
-    return st.ops_metric(po(spark, sf), st.OPS_METRICS, "supplier_id")
+    return st.ops_metric(po(spark, sf), st.supply_metrics(), "supplier_id")
 
 
 @query("mrt50_staff_metrics", f"""{EV}, {SHIFTS} SELECT store_id, {div('sum(CASE WHEN scheduled_hours > 7 THEN scheduled_hours - 7 ELSE 0 END)', 'sum(scheduled_hours)', 6)} AS overtime_ratio, {div('count(DISTINCT employee_id)', '1', 6)} AS headcount, {div('count(*)', 'count(DISTINCT employee_id)', 6)} AS shifts_per_head FROM shifts GROUP BY 1""")
 def _(spark, sf):
-    return st.ops_metric(inputs.shifts(spark, sf), st.STAFF_METRICS, "store_id")
+    return st.ops_metric(inputs.shifts(spark, sf), st.staff_metrics(), "store_id")
 
 
 SDAY = f"""ev0 AS (SELECT {EVENT_ID} AS event_id, min(sale_date) AS a, max(sale_date) AS b FROM sales_lines WHERE promo_type <> '' GROUP BY 1),

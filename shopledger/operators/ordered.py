@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopledger.session import cut_lineage
+
 SAMPLE = 4096
 
 
@@ -52,13 +54,18 @@ def prefix_sum(
     keys: list[str] | None = None,
     out: str = "before",
     ranges: int | None = None,
+    cut: bool = True,
 ) -> DataFrame:
     """Add ``out``: the total ``weight`` (or row count) of the rows that sort
     before this one within ``keys``.  ``order`` must end in a unique column.
 
-    A descending order is had by negating the column first.
+    A descending order is had by negating the column first.  The rows are read
+    three times (sample, range totals, ranks), so they are written once first;
+    ``cut=False`` says that the caller has done so.
     """
     keys = keys or []
+    if cut:
+        df = cut_lineage(df)
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     ranged = with_ranges(df, keys + order, ranges).withColumn("_w", w)
     cells = ranged.groupBy(*keys, "_range").agg(F.sum("_w").alias("_cell"))
@@ -86,9 +93,9 @@ def prefix_sum(
     ).drop("_w", "_range", "_offset", "_o_range", *[f"_o_{k}" for k in keys])
 
 
-def exact_row_number(df, order, keys=None, out="row_number", ranges=None) -> DataFrame:
+def exact_row_number(df, order, keys=None, out="row_number", ranges=None, cut=True) -> DataFrame:
     """ROW_NUMBER over a total order, distributed."""
-    return prefix_sum(df, order, None, keys, "_before", ranges).withColumn(
+    return prefix_sum(df, order, None, keys, "_before", ranges, cut).withColumn(
         out, (F.col("_before") + 1).cast("bigint")
     ).drop("_before")
 
@@ -103,10 +110,12 @@ def tile_of(before: Column, total: Column, n: int) -> Column:
     return F.when(before < head, wide).otherwise(thin).cast("int")
 
 
-def exact_ntile(df: DataFrame, order: list[str], tiles: dict[str, int], ranges=None) -> DataFrame:
+def exact_ntile(df: DataFrame, order: list[str], tiles: dict[str, int], ranges=None, cut=True) -> DataFrame:
     """WIN-05: one or more NTILE columns over one global total order."""
+    if cut:
+        df = cut_lineage(df)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = prefix_sum(df, order, None, None, "_before", ranges)
+    ranked = prefix_sum(df, order, None, None, "_before", ranges, cut=False)
     for name, n in tiles.items():
         ranked = ranked.withColumn(name, tile_of(F.col("_before"), total, n))
     return ranked.drop("_before")
@@ -126,7 +135,8 @@ def exact_quantiles(
         .groupBy(*keys, F.col(col).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    ranked = prefix_sum(counts, ["_v"], "_c", keys, "_b", ranges)
+    counts = cut_lineage(counts)
+    ranked = prefix_sum(counts, ["_v"], "_c", keys, "_b", ranges, cut=False)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:
         right = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_n")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shopledger.functions import nonzero, safe_div
 from shopledger.operators.aggregates import argmax_of
 from shopledger.operators.ordered import exact_quantiles
+from shopledger.session import cut_lineage
 
 # MAD to deviation, thresholds.
 MAD_SCALE = 1.4826
@@ -37,6 +38,7 @@ def robust_z(df: DataFrame, grp: Sequence[str], col: str) -> DataFrame:
     """ML-10: distance from the group median in scaled median deviations; the
     population deviation where the MAD is zero, 0 where both are."""
     grp = list(grp)
+    df = cut_lineage(df)
     med = exact_quantiles(df, col, {"peer_median": 0.5}, grp)
     j = df.join(med, grp).withColumn("_dev", F.abs(F.col(col) - F.col("peer_median")))
     mad = exact_quantiles(j, "_dev", {"_mad": 0.5}, grp)

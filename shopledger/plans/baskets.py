@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shopledger.functions import fixed, md5_bucket, safe_div
 from shopledger.operators.joins import basket_pairs
 from shopledger.operators.ranking import topk_per_key
+from shopledger.session import cut_lineage
 
 SCORE = "decimal(12,9)"
 
@@ -66,7 +67,8 @@ def evaluate_reco(items: DataFrame, scores: DataFrame, counts: DataFrame, cutoff
     A target no visible item points to is ranked last.  Popularity ranks are
     read from one rank per item, less the visible items that rank higher.
     """
-    flagged = hidden_items(items, cutoff)
+    flagged = cut_lineage(hidden_items(items, cutoff))
+    counts = cut_lineage(counts)
     visible = flagged.where("plu <> target")
     targets = flagged.where("plu = target").select("basket", "target")
     n_items = counts.agg(F.count("*").alias("n")).scalar()

@@ -11,6 +11,7 @@ from shopledger.functions import blank_to_null, half_up, money, nonzero, pct, sa
 from shopledger.operators.joins import assemble
 from shopledger.operators.ordered import exact_ntile
 from shopledger.operators.windows import running_max
+from shopledger.session import cut_lineage
 
 ONE = "*"
 
@@ -50,9 +51,10 @@ def rfm(kpi: DataFrame) -> DataFrame:
     Quintiles break ties by customer, so they are the same on every run.
     """
     base = kpi.select("customer_id", F.unix_date("last_purchase_date").alias("r"), F.col("total_transactions").alias("f"), F.col("total_sales").alias("mo"))
-    rec = exact_ntile(base, ["r", "customer_id"], {"rfm_recency": 5}).select("customer_id", "rfm_recency")
-    freq = exact_ntile(base, ["f", "customer_id"], {"rfm_frequency": 5}).select("customer_id", "rfm_frequency")
-    mon = exact_ntile(base, ["mo", "customer_id"], {"rfm_monetary": 5, "m20": 20}).select("customer_id", "rfm_monetary", "m20")
+    base = cut_lineage(base)
+    rec = exact_ntile(base, ["r", "customer_id"], {"rfm_recency": 5}, cut=False).select("customer_id", "rfm_recency")
+    freq = exact_ntile(base, ["f", "customer_id"], {"rfm_frequency": 5}, cut=False).select("customer_id", "rfm_frequency")
+    mon = exact_ntile(base, ["mo", "customer_id"], {"rfm_monetary": 5, "m20": 20}, cut=False).select("customer_id", "rfm_monetary", "m20")
     r, f, m = F.col("rfm_recency"), F.col("rfm_frequency"), F.col("rfm_monetary")
     segment = (
         F.when((r >= 4) & (f >= 4) & (m >= 4), "Champion").when((r >= 4) & (f >= 3), "Loyal").when(r >= 4, "Recent")

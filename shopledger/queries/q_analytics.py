@@ -238,9 +238,9 @@ def overdue_scores(spark, sf):
 
 
 @query("ml15_classification_metrics", f"""{LT}, {CHURN}, {OD}, g AS (SELECT p, sum(y) AS pos, count(*) - sum(y) AS neg FROM od GROUP BY 1), w AS (SELECT *, sum(neg) OVER (ORDER BY p) - neg AS nb, sum(pos) OVER (ORDER BY p DESC) AS pa, sum(pos + neg) OVER (ORDER BY p DESC) AS na FROM g),
-t AS (SELECT y FROM od ORDER BY p DESC, id LIMIT (SELECT greatest(1, count(*) // 10) FROM od))
+top10 AS (SELECT y FROM od ORDER BY p DESC, id LIMIT (SELECT greatest(1, count(*) // 10) FROM od))
 SELECT (SELECT count(*) FROM od) AS n, (SELECT {div('sum(y)', 'count(*)', 6)} FROM od) AS positive_rate, (SELECT {fx('avg((p - y) * (p - y))', 6)} FROM od) AS brier, {fx('(sum(pos * (nb + neg / 2.0::DOUBLE)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)))', 6)} AS auc_roc,
-{fx('(sum(CAST(pos AS DOUBLE) * CAST(pa AS DOUBLE) / CAST(na AS DOUBLE)) / CAST(sum(pos) AS DOUBLE))', 6)} AS auc_pr, (SELECT {fx(f"(avg(y) / (SELECT {div('sum(y)', 'count(*)', 6)} FROM od))", 4)} FROM t) AS top_decile_lift FROM w""")
+{fx('(sum(CAST(pos AS DOUBLE) * CAST(pa AS DOUBLE) / CAST(na AS DOUBLE)) / CAST(sum(pos) AS DOUBLE))', 6)} AS auc_pr, (SELECT {fx(f"(avg(y) / (SELECT {div('sum(y)', 'count(*)', 6)} FROM od))", 4)} FROM top10) AS top_decile_lift FROM w""")
 def _(spark, sf):
     return sc.clf_metrics(overdue_scores(spark, sf), "y", "p", "id")
 

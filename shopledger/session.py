@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,8 +64,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder so that a lost executor never
-    re-runs what came before it."""
+    """Write ``df`` once as a table in the shared folder and read it back.
+
+    What follows may read it several times, with only the columns it needs, and
+    a lost executor never re-runs what came before.
+    """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = os.path.join(shared_folder(spark), f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

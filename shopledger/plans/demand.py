@@ -49,3 +49,53 @@ def store_plu_week(lines: DataFrame, first_day) -> DataFrame:
     spine = life.select("store_id", "plu", F.explode(F.sequence("a", "b")).alias("week_seq"))
     out = spine.join(actual, ["store_id", "plu", "week_seq"], "left")
     return out.select("store_id", "plu", "week_seq", *[F.coalesce(F.col(c), zero).alias(c) for c in ("units", "sales", "margin", "promo_units")])
+
+
+def store_day_lags(spine: DataFrame, t: str = "t", target: str = "u", horizon: int = 14) -> DataFrame:
+    """ML-25: lag, rolling and momentum features, every one at least
+    ``horizon`` days old."""
+    from shopledger.functions import safe_div
+    from shopledger.operators import windows as wn
+
+    k = ["store_id"]
+    out = wn.lags(spine, k, t, target, [14, 21, 28, 35, 364])
+    out = wn.roll_mean(out, k, t, target, 7, horizon, "roll7")
+    out = wn.roll_mean(out, k, t, target, 28, horizon, "roll28")
+    out = wn.roll_std(out, k, t, target, 28, horizon, "rollstd28")
+    out = wn.same_weekday(out, k, t, target)
+    return out.withColumn("trend_ratio", safe_div(F.col("roll7"), F.col("roll28")))
+
+
+def plu_week_lags(panel: DataFrame, horizon: int = 2) -> DataFrame:
+    """ML-27: lag, rolling and intermittency features of the dense panel."""
+    from shopledger.functions import safe_div
+    from shopledger.operators import windows as wn
+
+    k = ["store_id", "plu"]
+    out = wn.lags(panel, k, "week_seq", "units", [2, 4, 8, 13])
+    out = wn.roll_mean(out, k, "week_seq", "units", 4, horizon, "roll4")
+    out = wn.roll_mean(out, k, "week_seq", "units", 13, horizon, "roll13")
+    out = wn.roll_std(out, k, "week_seq", "units", 13, horizon, "roll13_std")
+    out = wn.zero_rate(out, k, "week_seq", "units", 13, horizon, "zero_rate13")
+    return out.withColumn("trend_ratio", safe_div(F.col("roll4"), F.col("roll13")))
+
+
+def forward_frame(hist: DataFrame, last_day, horizon: int, static: Sequence[str], holidays: dict[str, str], grace_days: int = 0) -> DataFrame:
+    """ML-26: the rows to score after the last day: stores still trading, their
+    last known attributes, the mean promotion load by month and weekday, and
+    holidays by month and day."""
+    from shopledger.functions import dow0, fixed
+
+    known = hist.groupBy("store_id").agg(F.max("calendar_date").alias("_last"), *[F.max_by(c, "calendar_date").alias(c) for c in static])
+    active = known.withColumn("_end", last_day).where(F.datediff("_end", "_last") <= grace_days)
+    days = active.withColumn("calendar_date", F.explode(F.sequence(F.date_add("_end", 1), F.date_add("_end", horizon)))).drop("_last", "_end")
+    # one row per calendar day first: stores share the promotion load
+    load = hist.select("calendar_date", "promos_active").distinct().groupBy(F.month("calendar_date").alias("mo"), dow0(F.col("calendar_date")).alias("dow_num")).agg(F.avg("promos_active").alias("p"))
+    names = F.create_map(*[F.lit(x) for kv in holidays.items() for x in kv])
+    d = F.col("calendar_date")
+    name = F.element_at(names, F.date_format(d, "MM-dd"))
+    out = days.withColumn("mo", F.month(d)).withColumn("dow_num", dow0(d)).join(load, ["mo", "dow_num"], "left")
+    return out.select(
+        "store_id", "calendar_date", "mo", "dow_num", *static, fixed(F.col("p"), 6).alias("promos_expected"), F.when(name.isNotNull(), "Y").otherwise("N").alias("is_holiday"),
+        F.coalesce(name, F.lit("None")).alias("holiday_name"), F.lit(False).alias("observed"),
+    )

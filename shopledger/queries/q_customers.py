@@ -180,7 +180,7 @@ act AS (SELECT f.customer_id, jdn AS first_jdn, {MAXJ} - jdn AS days_since_first
 
 
 def activation_set(spark, sf):
-    return tr.activation_training(retail.transactions(spark, sf), last_day(spark, sf))
+    return tr.activation_training(retail.transactions(spark, sf, distinct=True), last_day(spark, sf))
 
 
 @query("mrt15_activation_training_set", f"{LT}, {ACT} SELECT * FROM act")

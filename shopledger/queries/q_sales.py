@@ -38,7 +38,7 @@ CASE WHEN isodow(sale_date) >= 6 THEN 'Y' ELSE 'N' END AS is_weekend, CASE WHEN
 {PERIOD} AS period, CASE WHEN channel = 'Delivery' THEN 'Y' ELSE 'N' END AS ecommerce_flag FROM txn""")
 def _(spark, sf):
     online = read_table(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(F.col("o_orderkey").alias("txn_id"))
-    t = sl.build_txn(retail.transactions(spark, sf), calendar(spark, sf), online)
+    t = sl.build_txn(retail.transactions(spark, sf, distinct=True), calendar(spark, sf), online)
     return t.select(
         "txn_id", "customer_id", "store_id", F.col("sale_date").cast("string").alias("sale_date"), "jdn", "yyyymm", "txn_type", "line_items", "basket_items",
         *[money(F.col(c)).alias(c) for c in ("basket_value", "basket_cost", "basket_margin", "discount_total", "promo_value")],

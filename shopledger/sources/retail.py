@@ -122,27 +122,36 @@ def event_id(promo: Column, day: Column) -> Column:
     ).otherwise("")
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    """Transaction grain: lines are summed per order before any other join."""
-    per_line = raw_lines(spark, folder).join(
-        products(spark, folder).select("plu", "category", "unit_cost"), "plu"
-    )
+def distinct_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct products and classes per transaction, by narrowing the key one
+    column at a time, so a huge transaction is spread until its last step."""
+    pairs = raw_lines(spark, folder).select("txn_id", "plu").join(products(spark, folder).select("plu", "category"), "plu")
+    items = pairs.groupBy("txn_id", "category", "plu").agg(F.lit(1).alias("one"))
+    classes = items.groupBy("txn_id", "category").agg(F.count("*").alias("n"))
+    return classes.groupBy("txn_id").agg(F.sum("n").alias("distinct_plus"), F.count("*").alias("distinct_categories"))
+
+
+def transactions(spark: SparkSession, folder: str, distinct: bool = False) -> DataFrame:
+    """Transaction grain: lines are summed per order before any other join.
+    ``distinct`` adds the counts of products and classes."""
+    per_line = raw_lines(spark, folder).join(products(spark, folder).select("plu", "unit_cost"), "plu")
     cost = (F.col("unit_cost") * F.col("quantity").cast("decimal(8,0)")).cast("decimal(18,2)")
+    promo = F.col("promo_type") != ""
     basket = per_line.groupBy("txn_id").agg(
-        F.count(F.lit(1)).alias("line_items"),
+        F.count("*").alias("line_items"),
         F.sum("quantity").alias("basket_items"),
         F.sum("sales").alias("basket_value"),
         F.sum(cost).alias("basket_cost"),
         F.sum("discount").alias("discount_total"),
-        F.sum(F.when(F.col("promo_type") != "", F.col("sales")).otherwise(F.lit(0).cast("decimal(18,4)"))).alias("promo_value"),
-        F.max(F.when(F.col("promo_type") != "", "Y").otherwise("N")).alias("promo_flag"),
-        F.countDistinct("plu").alias("distinct_plus"),
-        # six classes: a bounded set, kept with map-side combine
-        F.size(F.collect_set("category")).cast("bigint").alias("distinct_categories"),
+        F.sum(F.when(promo, F.col("sales")).otherwise(F.lit(0).cast("decimal(18,4)"))).alias("promo_value"),
+        F.max(promo).alias("promo_flag"),
     )
+    if distinct:
+        basket = basket.join(distinct_items(spark, folder), "txn_id")
     day = F.col("sale_date")
     return (
         basket.join(headers(spark, folder), "txn_id")
+        .withColumn("promo_flag", F.when(F.col("promo_flag"), "Y").otherwise("N"))
         .withColumn("basket_margin", F.col("basket_value") - F.col("basket_cost"))
         .withColumn("jdn", jdn(day))
         .withColumn("yyyymm", yyyymm(day))

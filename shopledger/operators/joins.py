@@ -43,7 +43,7 @@ def explode_by_dim(df: DataFrame, dim: DataFrame) -> DataFrame:
     """JN-06: one output row per row and dimension member.  The dimension is
     inlined as an array; its size is checked when the query runs."""
     row = F.struct(*dim.columns)
-    guarded = dim.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(row)).alias("a")).select(
+    guarded = dim.limit(MAX_INLINE_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(row)).alias("a")).select(
         F.when(F.col("n") <= MAX_INLINE_ROWS, F.col("a")).otherwise(
             F.raise_error(F.lit("dimension is too large to inline")).cast(f"array<{dim.select(row.alias('s')).schema['s'].dataType.simpleString()}>")
         ).alias("a")

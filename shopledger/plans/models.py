@@ -120,3 +120,38 @@ def star_models() -> dict[str, Model]:
     expense.prefilter("reason <> 'Admin error'")
     expense.metric("retail_total_store_expenses", "total_amount", ("store_id", "reason"))
     return {x.name: x for x in (sales, stock, staff, store, expense)}
+
+
+def finance_models(sources) -> dict[str, Model]:
+    """SEM-02, SEM-03: measures of the finance marts.  ``sources`` maps a model
+    name to a builder of its rows: store_pnl, budget, gl, ap_invoices, tender, pricebook."""
+    def dec(x: str) -> str:
+        return f"sum(CAST({x} AS decimal(20,4)))"
+
+    def ratio(a: str, b: str) -> str:
+        return f"CAST({a} AS double) * 100 / nullif(CAST({b} AS double), 0.0D)"
+
+    pnl = Model("store_pnl", sources["store_pnl"]).dimension("region").dimension("store_format").dimension("year", "floor(yyyymm / 100)", "number")
+    for c in ("net_sales", "cogs", "gross_margin", "labour_cost", "occupancy_cost", "shrinkage_cost", "total_store_opex", "franchise_fees", "four_wall_ebitda", "store_contribution"):
+        pnl.measure(f"total_{c}", dec(c), "CAD")
+    pnl.measure("gross_margin_pct", ratio(dec("gross_margin"), dec("net_sales")), "%").measure("four_wall_margin_pct", ratio(dec("four_wall_ebitda"), dec("net_sales")), "%")
+    pnl.measure("labour_pct_of_sales", ratio(dec("labour_cost + labour_burden"), dec("net_sales")), "%")
+    gl = Model("gl", sources["gl"]).dimension("region").dimension("account_group").dimension("account_code")
+    gl.measure("gl_amount", dec("amount"), "CAD").measure("gl_budget", dec("budget"), "CAD").measure("gl_variance", dec("variance"), "CAD")
+    ap = Model("ap_invoices", sources["ap_invoices"]).dimension("region").dimension("payment_terms").dimension("aging_bucket")
+    ap.measure("invoice_count", "count(*)").measure("invoiced_amount", dec("amount"), "CAD").measure("open_balance", dec("balance"), "CAD")
+    ap.measure("days_payable", "sum(days_to_pay) / CAST(count(days_to_pay) AS double)", "days").measure("overdue_pct", ratio(dec("CASE WHEN status = 'Overdue' THEN balance ELSE 0 END"), dec("balance")), "%")
+    tender = Model("tender", sources["tender"]).dimension("tender_group").dimension("tender_type").dimension("yyyymm", kind="number")
+    tender.measure("tender_amount", dec("amount"), "CAD").measure("processing_fees", dec("processing_fee"), "CAD").measure("cashless_pct", ratio(dec("CASE WHEN tender_group <> 'Cash' THEN amount ELSE 0 END"), dec("amount")), "%")
+    tender.measure("fee_rate_pct", ratio(dec("processing_fee"), dec("amount")), "%")
+    book = Model("pricebook", sources["pricebook"]).dimension("yyyymm", kind="number").dimension("year", "floor(yyyymm / 100)", "number")
+    weighted = lambda c: f"CAST({dec(c + ' * units')} AS double) / nullif(CAST(sum(units) AS double), 0.0D)"
+    book.measure("plu_months", "count(*)").measure("total_units", "sum(units)").measure("avg_selling_price", weighted("selling_price"), "CAD").measure("avg_regular_price", weighted("regular_price"), "CAD")
+    change = "CASE WHEN abs(regular_price_change_pct) < 50 THEN"
+    book.measure("avg_price_change_pct", f"CAST({dec(change + ' regular_price_change_pct * units END')} AS double) / nullif(CAST(sum({change} units END) AS double), 0.0D)", "%")
+    out = {}
+    for model in (pnl, gl, ap, tender, book):
+        for x in list(model.measures):
+            model.metric(x, x, tuple(model.dimensions))
+        out[model.name] = model
+    return out

@@ -214,9 +214,29 @@ def staff_metrics() -> dict[str, tuple[Column, Column]]:
         "overtime_ratio": (F.sum(over), F.sum("scheduled_hours")),
         "headcount": (F.countDistinct("employee_id"), F.lit(1)),
         "shifts_per_head": (F.count(ONE), F.countDistinct("employee_id")),
+        "vacation_use": (F.sum("vacation_used"), F.sum("vacation_accrued")),
     }
 
 
+def expense_metrics() -> dict[str, tuple[Column, Column]]:
+    """MRT-50: named ratios over a profit statement beside its budget."""
+    return {
+        "actual_to_budget_expense": (F.sum(F.col("actual_total_opex").cast("decimal(18,2)")), F.sum(F.col("budget_total_opex").cast("decimal(18,2)"))),
+        "opex_to_sales": (F.sum(F.col("actual_total_opex").cast("decimal(18,2)")), F.sum(F.col("actual_net_sales").cast("decimal(18,2)"))),
+        "sales_on_plan_rate": (F.count_if(F.col("sales_on_plan") == "Y"), F.count(ONE)),
+    }
+
+
+def tenure_turnover(shifts: DataFrame, as_of: str, idle_days: int) -> DataFrame:
+    """MRT-50: headcount, mean tenure in days and the share of staff without a
+    shift in the last ``idle_days`` days, per store."""
+    per = shifts.groupBy("store_id", "employee_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    left = F.datediff(F.lit(as_of).cast("date"), F.col("b")) > idle_days
+    return per.groupBy("store_id").agg(
+        F.count(ONE).alias("headcount"), safe_div(F.sum(F.datediff("b", "a")), F.count(ONE), 6).alias("avg_tenure_days"), safe_div(F.count_if(left), F.count(ONE), 6).alias("turnover_rate"),
+    )
+
+
 def ops_metric(df: DataFrame, names: dict[str, tuple[Column, Column]], by: str) -> DataFrame:
     """MRT-50: operating metrics by name, each a ratio of sums."""
     return df.groupBy(by).agg(*[safe_div(a, b, 6).alias(k) for k, (a, b) in names.items()])

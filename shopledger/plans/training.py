@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shopledger.functions import money, pct, safe_div
 from shopledger.operators.joins import asof_snapshots, lookback_join
+from shopledger.operators.windows import nth
 from shopledger.plans.customers import horizon, purchase_days
 
 ONE = "*"
@@ -81,8 +82,8 @@ def activation_training(txn: DataFrame, max_jdn: Column, days: int = 90) -> Data
     sale = txn.where("txn_type = 'Regular Sale'")
     cols = ["jdn", "txn_id", "store_id", "basket_value", "basket_items", "basket_margin", "discount_total", "promo_flag", "distinct_categories", "distinct_plus", "channel"]
     first = sale.groupBy("customer_id").agg(F.min(F.struct(*cols)).alias("f")).select("customer_id", "f.*")
-    # the second distinct day: the earliest day after the first
-    second = sale.select("customer_id", F.col("jdn").alias("j2")).join(first.select("customer_id", F.col("jdn").alias("j1")), "customer_id").where("j2 > j1").groupBy("customer_id").agg(F.min("j2").alias("j2"))
+    # distinct days first: a customer has no more of them than the calendar
+    second = nth(sale.select("customer_id", "jdn").distinct(), ["customer_id"], "jdn", 2).withColumnRenamed("jdn", "j2")
     out = first.join(second, "customer_id", "left").withColumn("max_jdn", max_jdn)
     gap = F.col("j2") - F.col("jdn")
     return out.select(

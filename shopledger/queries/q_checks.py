@@ -167,6 +167,21 @@ def _(spark, sf):
     return us.usage_metric(log(spark, sf), resources(spark, sf), "stale_content", F.lit("2024-01-31").cast("date"), 1)
 
 
+@query("use04_average_views", f"WITH {LOG} SELECT {div('count(*)', 'count(DISTINCT resource)', 4)} AS avg_views FROM log")
+def _(spark, sf):
+    return us.usage_metric(log(spark, sf), resources(spark, sf), "avg_views_per_content")
+
+
+@query("use04_user_last_active", f"WITH {LOG} SELECT user_id, {TS.format('max(ts)')} AS last_active FROM log GROUP BY 1")
+def _(spark, sf):
+    return us.usage_metric(log(spark, sf), resources(spark, sf), "user_last_active")
+
+
+@query("use04_items_per_folder", f"WITH {RES} SELECT '/' || split_part(resource, '/', 2) AS folder, count(*) AS items FROM res GROUP BY 1")
+def _(spark, sf):
+    return us.usage_metric(log(spark, sf), resources(spark, sf), "items_per_folder")
+
+
 SQLT = """sqlt AS (SELECT event_id AS asset, 'SELECT a.x FROM ' || event_type || '_log a JOIN Users_' || (user_id % 7) || ' u ON a.d = $P{from day} ' || CASE WHEN value > 100 THEN 'join (SELECT 1 FROM dw.archive_' || (user_id % 3) || ') z ON 1 = 1 ' ELSE '' END || CASE WHEN user_id % 2 = 0 THEN 'LEFT JOIN ' || upper(event_type) || '_LOG b ON 1 = 1' ELSE '' END AS sql FROM events)"""
 
 

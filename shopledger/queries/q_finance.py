@@ -134,7 +134,7 @@ def _(spark, sf):
     return fi.rollforward(point_flows(spark, sf).withColumn("all", F.lit(0)), ["all"], "yyyymm", "points_in", "points_out").drop("all")
 
 
-SHIFTS = "shifts AS (SELECT store_id, day, user_id AS employee_id, CASE WHEN hour < 8 THEN 'Morning' WHEN hour < 16 THEN 'Day' ELSE 'Evening' END AS shift_name, CAST(event_id % 8 + 1 AS DECIMAL(6,1)) AS scheduled_hours, CAST(user_id % 10 + 15 AS DECIMAL(6,2)) AS hourly_rate FROM ev)"
+SHIFTS = "shifts AS (SELECT store_id, day, user_id AS employee_id, CASE WHEN hour < 8 THEN 'Morning' WHEN hour < 16 THEN 'Day' ELSE 'Evening' END AS shift_name, CAST(event_id % 8 + 1 AS DECIMAL(6,1)) AS scheduled_hours, CAST(user_id % 10 + 15 AS DECIMAL(6,2)) AS hourly_rate, CAST((event_id % 8 + 1) * 0.1 AS DECIMAL(8,2)) AS vacation_accrued, CAST(CASE WHEN event_id % 13 = 0 THEN event_id % 8 + 1 ELSE 0 END AS DECIMAL(8,1)) AS vacation_used FROM ev)"
 
 
 @query("mrt27_allocated_sales", f"""{EV}, {SHIFTS}, d AS (SELECT store_id, day, sum(value) AS s FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2), g AS (SELECT store_id, day, shift_name, sum(scheduled_hours) AS h FROM shifts GROUP BY 1, 2, 3)

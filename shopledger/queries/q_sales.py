@@ -155,3 +155,26 @@ def _(spark, sf):
 @query("mrt47_star_store_profit", f"{L} SELECT store_name, {STAR} FROM sales_lines GROUP BY 1 ORDER BY profit DESC, store_name LIMIT 10")
 def _(spark, sf):
     return sl.star_report(retail.sales_lines(spark, sf), "store_name", "profit", 10)
+
+
+@query("mrt47_star_by_region", f"{L} SELECT region, {STAR} FROM sales_lines GROUP BY 1")
+def _(spark, sf):
+    return sl.star_report(retail.sales_lines(spark, sf), "region")
+
+
+@query("mrt47_star_by_promotion", f"{L} SELECT promo_type, {STAR} FROM sales_lines GROUP BY 1")
+def _(spark, sf):
+    return sl.star_report(retail.sales_lines(spark, sf, store=False), "promo_type")
+
+
+@query("mrt47_star_top_products", f"{L} SELECT product_name, {STAR} FROM sales_lines GROUP BY 1 ORDER BY sales DESC, product_name LIMIT 10")
+def _(spark, sf):
+    return sl.star_report(retail.sales_lines(spark, sf, store=False), "product_name", "sales", 10)
+
+
+@query("mrt47_star_months", f"{L} SELECT strftime(sale_date, '%m %b') AS month_label, {STAR} FROM sales_lines GROUP BY 1")
+def _(spark, sf):
+    from shopledger.functions import month_label
+
+    df = retail.sales_lines(spark, sf, store=False).withColumn("month_label", month_label(F.col("sale_date")))
+    return sl.star_report(df, "month_label")

@@ -12,8 +12,8 @@ from shopledger.plans.finance import rollforward
 from shopledger.queries.common import EV, L, LT, LTM, div, fx, m, n
 from shopledger.queries.common import pct as spct
 from shopledger.queries.q_customers import CM
-from shopledger.queries.q_finance import FLOWS, point_flows
-from shopledger.queries.q_finance import SHIFTS, SHRINK
+from shopledger.plans import finance as fi
+from shopledger.queries.q_finance import BUDGET, FLOWS, INV, PNL, SHIFTS, SHRINK, TENDER, aged, budget, pnl, point_flows, tender
 from shopledger.queries.registry import query
 from shopledger.queries.q_stores import PO
 from shopledger.sources import inputs, retail
@@ -145,3 +145,41 @@ def _(spark, sf):
     model = md.pos_model().measure("bulk_revenue", "sum(CASE WHEN quantity >= 25 THEN selling_price ELSE 0 END)", "CAD")
     model.metric("bulk_revenue", "bulk_revenue", ["promotion_type"], [md.REGULAR])
     return sem.metric(model.rows(spark, sf), model, "bulk_revenue", ["promotion_type"]).withColumn("value", fixed(F.col("value"), 2))
+
+
+def finance(spark, sf, model, name, by, scale=2):
+    def rows_of(key):
+        builders = {
+            "store_pnl": pnl, "gl": lambda s, f: fi.gl_monthly(pnl(s, f), budget(s, f)), "ap_invoices": aged, "tender": lambda s, f: fi.dash_tender(tender(s, f)),
+            "pricebook": lambda s, f: fi.pricebook(retail.sales_lines(s, f, store=False)),
+        }
+        return builders[key]
+
+    m_ = md.finance_models({k: rows_of(k) for k in ("store_pnl", "gl", "ap_invoices", "tender", "pricebook")})[model]
+    df = sem.metric(m_.rows(spark, sf), m_, name, [by])
+    return df.select(F.lit(name).alias("metric"), F.col(by).cast("string").alias("member"), fixed(F.col("value"), scale).alias("value"))
+
+
+def D(x):
+    return f"sum(CAST({x} AS DECIMAL(20,4)))"
+
+
+def R(a, b):
+    return f"(CAST({a} AS DOUBLE) * 100 / nullif(CAST({b} AS DOUBLE), 0))"
+
+
+@query("sem03_profit_metrics", f"""{LT}, {PNL} SELECT 'four_wall_margin_pct' AS metric, region AS member, {fx(R(D('four_wall_ebitda'), D('net_sales')), 4)} AS value FROM pnl GROUP BY 2
+UNION ALL SELECT 'labour_pct_of_sales', store_format, {fx(R(D('labour_cost + labour_burden'), D('net_sales')), 4)} FROM pnl GROUP BY 2""")
+def _(spark, sf):
+    return finance(spark, sf, "store_pnl", "four_wall_margin_pct", "region", 4).unionByName(finance(spark, sf, "store_pnl", "labour_pct_of_sales", "store_format", 4))
+
+
+@query("sem03_payable_metrics", f"""{L}, {INV} SELECT 'open_balance' AS metric, payment_terms AS member, {fx(f"CAST({D('balance')} AS DOUBLE)")} AS value FROM aged GROUP BY 2
+UNION ALL SELECT 'days_payable', region, {fx('(sum(days_to_pay) / CAST(count(days_to_pay) AS DOUBLE))')} FROM aged GROUP BY 2""")
+def _(spark, sf):
+    return finance(spark, sf, "ap_invoices", "open_balance", "payment_terms").unionByName(finance(spark, sf, "ap_invoices", "days_payable", "region"))
+
+
+@query("sem03_tender_metrics", f"""{L}, {TENDER} SELECT 'processing_fees' AS metric, tender_type AS member, {fx(f"CAST({D('processing_fee')} AS DOUBLE)")} AS value FROM dt GROUP BY 2""")
+def _(spark, sf):
+    return finance(spark, sf, "tender", "processing_fees", "tender_type")

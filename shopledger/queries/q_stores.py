@@ -11,7 +11,7 @@ from shopledger.plans import marketing as mk
 from shopledger.plans import stores as st
 from shopledger.queries.common import EV, EVENTS, L, LT, LTM, div, fx, m, n
 from shopledger.queries.common import pct as spct
-from shopledger.queries.q_finance import SHIFTS, SHRINK
+from shopledger.queries.q_finance import BUDGET, PNL, SHIFTS, SHRINK, budget, pnl
 from shopledger.queries.q_sales import EVENT_ID, TRAFFIC, calendar, visits
 from shopledger.queries.registry import query
 from shopledger.sources import inputs, retail
@@ -254,11 +254,25 @@ def _(spark, sf):
     return st.ops_metric(po(spark, sf), st.supply_metrics(), "supplier_id")
 
 
-@query("mrt50_staff_metrics", f"""{EV}, {SHIFTS} SELECT store_id, {div('sum(CASE WHEN scheduled_hours > 7 THEN scheduled_hours - 7 ELSE 0 END)', 'sum(scheduled_hours)', 6)} AS overtime_ratio, {div('count(DISTINCT employee_id)', '1', 6)} AS headcount, {div('count(*)', 'count(DISTINCT employee_id)', 6)} AS shifts_per_head FROM shifts GROUP BY 1""")
+@query("mrt50_staff_metrics", f"""{EV}, {SHIFTS} SELECT store_id, {div('sum(CASE WHEN scheduled_hours > 7 THEN scheduled_hours - 7 ELSE 0 END)', 'sum(scheduled_hours)', 6)} AS overtime_ratio, {div('count(DISTINCT employee_id)', '1', 6)} AS headcount, {div('count(*)', 'count(DISTINCT employee_id)', 6)} AS shifts_per_head, {div('sum(vacation_used)', 'sum(vacation_accrued)', 6)} AS vacation_use FROM shifts GROUP BY 1""")
 def _(spark, sf):
     return st.ops_metric(inputs.shifts(spark, sf), st.staff_metrics(), "store_id")
 
 
+@query("mrt50_expense_metrics", f"""{LT}, {PNL}, {BUDGET}, j AS (SELECT p.region, {fx('p.net_sales')} AS ns, {fx('p.total_store_opex + p.franchise_fees')} AS ox, {fx('b.budget_total_opex')} AS bo, p.net_sales >= b.budget_net_sales AS ok FROM budget b JOIN pnl p USING (store_id, yyyymm))
+SELECT region, {div('sum(CAST(ox AS DECIMAL(18,2)))', 'sum(CAST(bo AS DECIMAL(18,2)))', 6)} AS actual_to_budget_expense, {div('sum(CAST(ox AS DECIMAL(18,2)))', 'sum(CAST(ns AS DECIMAL(18,2)))', 6)} AS opex_to_sales, {div('count(*) FILTER (WHERE ok)', 'count(*)', 6)} AS sales_on_plan_rate FROM j GROUP BY 1""")
+def _(spark, sf):
+    from shopledger.plans.finance import budget_vs_actual
+
+    return st.ops_metric(budget_vs_actual(budget(spark, sf), pnl(spark, sf)), st.expense_metrics(), "region")
+
+
+@query("mrt50_tenure_and_turnover", f"""{EV}, {SHIFTS}, p AS (SELECT store_id, employee_id, min(day) AS a, max(day) AS b FROM shifts GROUP BY 1, 2)
+SELECT store_id, count(*) AS headcount, {div("sum(date_diff('day', a, b))", 'count(*)', 6)} AS avg_tenure_days, {div("count(*) FILTER (WHERE date_diff('day', b, DATE '2024-01-31') > 1)", 'count(*)', 6)} AS turnover_rate FROM p GROUP BY 1""")
+def _(spark, sf):
+    return st.tenure_turnover(inputs.shifts(spark, sf), "2024-01-31", 1)
+
+
 SDAY = f"""ev0 AS (SELECT {EVENT_ID} AS event_id, min(sale_date) AS a, max(sale_date) AS b FROM sales_lines WHERE promo_type <> '' GROUP BY 1),
 cal AS (SELECT d AS calendar_date, isodow(d) - 1 AS dow_num, month(d) AS mo, CASE WHEN isodow(d) >= 6 THEN 'Y' ELSE 'N' END AS is_weekend, CASE WHEN strftime(d, '%m-%d') IN ('01-01', '07-01', '12-25', '12-26') THEN 'Y' ELSE 'N' END AS is_holiday,
  (SELECT count(*) FROM ev0 WHERE d BETWEEN a AND b) AS promos_active FROM (SELECT CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS DATE) AS d FROM orders)),

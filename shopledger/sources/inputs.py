@@ -80,9 +80,13 @@ def email_log(spark: SparkSession, folder: str) -> DataFrame:
 def shifts(spark: SparkSession, folder: str) -> DataFrame:
     """Scheduled shifts: one per logged activity, hours and rate by employee."""
     h = F.col("hour")
+    hours = (F.col("event_id") % 8 + 1).cast("decimal(6,1)")
+    away = F.col("event_id") % 13 == 0
     return retail.event_days(spark, folder).select(
         "store_id", "day", F.col("user_id").alias("employee_id"), F.when(h < 8, "Morning").when(h < 16, "Day").otherwise("Evening").alias("shift_name"),
-        (F.col("event_id") % 8 + 1).cast("decimal(6,1)").alias("scheduled_hours"), (F.col("user_id") % 10 + 15).cast("decimal(6,2)").alias("hourly_rate"),
+        hours.alias("scheduled_hours"), (F.col("user_id") % 10 + 15).cast("decimal(6,2)").alias("hourly_rate"),
+        (hours * F.lit("0.1").cast("decimal(2,1)")).cast("decimal(8,2)").alias("vacation_accrued"),
+        F.when(away, hours).otherwise(F.lit(0)).cast("decimal(8,1)").alias("vacation_used"),
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopledger.llm import packing, tokenio
+from shopledger.llm import packing, quality, tokenio
 from shopledger.session import tune
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -29,6 +29,11 @@ def op3(spark, folder):
     return packing.best_fit_packing(table(spark, folder, "documents"))
 
 
+@query("op4_line_field_quality")
+def op4(spark, folder):
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op10_token_matrices")
 def op10(spark, folder):
     return tokenio.packed_matrices(table(spark, folder, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopledger.llm import packing, quality, tokenio
+from shopledger.llm import neardup, packing, quality, tokenio
 from shopledger.session import tune
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -34,6 +34,11 @@ def op4(spark, folder):
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op5_minhash_components")
+def op5(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"), size=4)
+
+
 @query("op10_token_matrices")
 def op10(spark, folder):
     return tokenio.packed_matrices(table(spark, folder, "documents"))

@@ -10,10 +10,10 @@ the limit with a probability of about 2e-5, 0.0002 in a pair of two independent
 links; the test against brute force states it.
 
 Documents with equal shingle sets are one node. A key's members are first held
-against its least member; those that are still in different components are then
-held against each other in blocks, so a group of copies costs one check for
-each member and no pair within a component is formed. Links are confirmed on the
-full shingle sets.
+against its least and its largest member; those that are still in different
+components are then held against each other in blocks, inside a task, so a group
+of copies costs few checks for each member and no table of pairs is formed.
+Links are confirmed on the full shingle sets.
 
 No words or null text: an empty set, linked with nothing. Fewer words than a
 shingle: the whole sequence is one shingle. Repeated rows fall in one component.
@@ -32,7 +32,7 @@ from shopledger.llm.common import LOWER_CODE, U64, cut_lineage, id_and_text, mix
 from shopledger.llm.components import components
 
 SYMBOLS, BITS, CHUNKS, LIMIT = 64, 16, 14, 27
-BLOCK = 1000
+BLOCK = 500
 _A = mixed(np.arange(1, SYMBOLS + 1, dtype=U64)) | U64(1)
 _B = mixed(np.arange(1001, 1001 + SYMBOLS, dtype=U64))
 _TAG = mixed(np.arange(5001, 5001 + SYMBOLS, dtype=U64))
@@ -112,26 +112,52 @@ def keys_of(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def near_pairs(group: pa.Table) -> pa.Table:
-    """Pairs of a block of one key's members within the distance limit, in different components, at their first common key."""
-    sig, side = _sig_matrix(group.column("sig").combine_chunks()), group.column("side").to_numpy()
-    ids, comp, key = (group.column(c).to_numpy() for c in ("id", "comp", "key"))
-    keys = index_keys(sig).view(np.int64)
-    same_block = group.column("s")[0].as_py() == group.column("t")[0].as_py()
-    right = np.flatnonzero(side == 1) if not same_block else np.arange(len(ids))
-    a_out, b_out = [], []
-    for i in range(len(ids)) if same_block else np.flatnonzero(side == 0):
-        j = right[comp[right] != comp[i]]
-        if same_block:
-            j = j[ids[j] > ids[i]]
-        j = j[(sig[j] != sig[i]).sum(axis=1) <= LIMIT]
-        if len(j):
-            common = keys[j] == keys[i]
-            j = j[keys[i][common.argmax(axis=1)] == key[0]]
-            a_out.append(np.minimum(ids[i], ids[j]))
-            b_out.append(np.maximum(ids[i], ids[j]))
-    empty = [np.zeros(0, np.int64)]
-    return pa.table({"a": np.concatenate(a_out or empty), "b": np.concatenate(b_out or empty)})
+def set_bodies(bodies: list[bytes], size: int) -> list[np.ndarray]:
+    """Shingle sets of compressed texts."""
+    d = zstandard.ZstdDecompressor()
+    texts = [d.decompress(b) for b in bodies]
+    return shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), size)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact test of the similarity of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    z = np.sort(np.concatenate([x, y]), kind="stable")
+    both = int((z[1:] == z[:-1]).sum())
+    return 100 * both >= percent * (len(z) - both)
+
+
+def block_linker(size: int, percent: int):
+    """Links between members of one key's block that are in different components, confirmed on full sets.
+
+    A pair is tested at its first common key only, and not once the block's own
+    links have joined its ends, so at most one link for each member comes out.
+    """
+
+    def run(group):
+        sig, side = _sig_matrix(group.column("sig").combine_chunks()), group.column("side").to_numpy()
+        ids, comp, key = (group.column(c).to_numpy() for c in ("id", "comp", "key"))
+        sets = set_bodies(group.column("body").to_pylist(), size)
+        keys = index_keys(sig).view(np.int64)
+        same_block = group.column("s")[0].as_py() == group.column("t")[0].as_py()
+        root = np.unique(comp, return_inverse=True)[1]
+        right = np.arange(len(ids)) if same_block else np.flatnonzero(side == 1)
+        out: list[tuple[int, int]] = []
+        for i in range(len(ids)) if same_block else np.flatnonzero(side == 0):
+            j = right[right > i] if same_block else right
+            j = j[root[j] != root[i]]
+            j = j[(sig[j] != sig[i]).sum(axis=1) <= LIMIT]
+            if len(j):
+                j = j[keys[i][(keys[j] == keys[i]).argmax(axis=1)] == key[0]]
+            for other in j:
+                if root[other] != root[i] and similar(sets[i], sets[other], percent):
+                    out.append((min(ids[i], ids[other]), max(ids[i], ids[other])))
+                    root[root == root[other]] = root[i]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
@@ -140,24 +166,15 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> D
     right = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
 
     def run(batches):
-        d = zstandard.ZstdDecompressor()
         name, own = None, None
-
-        def shingles(bodies: list[bytes]) -> list[np.ndarray]:
-            texts = [d.decompress(b) for b in bodies]
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            return shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offsets, size)
-
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keep = np.zeros(len(a), bool)
             for at in range(0, len(a), 200):
-                others = shingles(batch.column(3).slice(at, 200).to_pylist())
-                for i, other in enumerate(others, at):
+                for i, other in enumerate(set_bodies(batch.column(3).slice(at, 200).to_pylist(), size), at):
                     if a[i] != name:
-                        name, own = a[i], shingles([batch.column(2)[i].as_py()])[0]
-                    both = len(own) + len(other) - len(np.union1d(own, other))
-                    keep[i] = 100 * both >= percent * (len(own) + len(other) - both)
+                        name, own = a[i], set_bodies([batch.column(2)[i].as_py()], size)[0]
+                    keep[i] = similar(own, other, percent)
             yield record_batch("a long, b long", (a[keep], b[keep]))
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -181,7 +198,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             ok = distance <= LIMIT
             yield record_batch("a long, b long, distance int", (batch.column(0).to_numpy()[ok], batch.column(1).to_numpy()[ok], distance[ok].astype(np.int32)))
 
-    stars = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    leaders = members.select("id", F.explode(F.array("low", "high")).alias("leader")).where("id <> leader")
+    stars = leaders.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     stars = stars.join(reps.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").join(reps.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
     stars = cut_lineage(stars.select("a", "b", "x", "y").mapInArrow(near, "a long, b long, distance int"))
 
@@ -208,14 +226,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     apart = members.join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
     apart = cut_lineage(apart)
     mixed_keys = apart.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    rows = apart.join(mixed_keys, "key").join(reps, "id")
+    rows = apart.join(mixed_keys, "key").join(reps, "id").join(bodies, "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", "id", "comp", "sig", F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    third = rows.groupBy("key", "s", "t").applyInArrow(_near_pairs, "a long, b long")
-    tried = stars.select("a", "b")
-    third = cut_lineage(third.distinct().join(tried, ["a", "b"], "left_anti"))
-    links = links.union(confirmed(third, bodies, size, percent))
+    rows = rows.select("key", "id", "comp", "sig", "body", F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    links = links.union(rows.groupBy("key", "s", "t").applyInArrow(block_linker(size, percent), "a long, b long"))
     comps = cut_lineage(components(links))
 
     named = sets.join(comps, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -224,10 +239,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _near_pairs(group):
-    return near_pairs(group)
-
-
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are the least of their component, with all their columns."""
     kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("doc_id")).distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopledger.llm import neardup, packing, quality, tokenio
+from shopledger.llm import neardup, packing, quality, suffix, tokenio
 from shopledger.session import tune
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -39,6 +39,11 @@ def op5(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"), size=4)
 
 
+@query("op8_suffix_array_passages")
+def op8(spark, folder):
+    return suffix.passage_report(table(spark, folder, "documents"))
+
+
 @query("op10_token_matrices")
 def op10(spark, folder):
     return tokenio.packed_matrices(table(spark, folder, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopledger.llm import neardup, packing, quality, suffix, tokenio
+from shopledger.llm import decontam, neardup, packing, quality, suffix, tokencount, tokenio
 from shopledger.session import tune
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -44,6 +44,16 @@ def op8(spark, folder):
     return suffix.passage_report(table(spark, folder, "documents"))
 
 
+@query("op7_trie_token_counts")
+def op7(spark, folder):
+    return tokencount.token_counts(table(spark, folder, "documents"))
+
+
+@query("op9_edit_decontamination")
+def op9(spark, folder):
+    return decontam.document_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op10_token_matrices")
 def op10(spark, folder):
     return tokenio.packed_matrices(table(spark, folder, "documents"))

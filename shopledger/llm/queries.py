@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopledger.llm import decontam, neardup, packing, quality, suffix, tokencount, tokenio
+from shopledger.llm import ctw, decontam, neardup, packing, quality, suffix, tokencount, tokenio
 from shopledger.session import tune
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -44,6 +44,11 @@ def op8(spark, folder):
     return suffix.passage_report(table(spark, folder, "documents"))
 
 
+@query("op6_context_tree_scores")
+def op6(spark, folder):
+    return ctw.model_scores(table(spark, folder, "documents"))
+
+
 @query("op7_trie_token_counts")
 def op7(spark, folder):
     return tokencount.token_counts(table(spark, folder, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopledger.llm import ctw, decontam, licenses, neardup, packing, quality, suffix, tokencount, tokenio
+from shopledger.llm import ctw, decontam, licenses, neardup, packing, quality, suffix, tokencount, tokenio, topk
 from shopledger.session import tune
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -24,6 +24,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_bm25_block_max_top_k")
+def op1(spark, folder):
+    docs = table(spark, folder, "documents")
+    return topk.top_k(docs.where("doc_id % 100 = 0"), docs, k=10)
+
+
 @query("op2_license_scan")
 def op2(spark, folder):
     files = licenses.document_files(table(spark, folder, "documents"))

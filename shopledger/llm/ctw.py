@@ -33,7 +33,7 @@ from shopledger.llm.common import LOWER_CODE, U64, chunk_parts, chunk_table, cut
 
 DEPTH, END = 5, 11
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES, PART_BYTES = 24 << 20, 3 << 20
 LN2 = math.log(2)
 
 
@@ -56,11 +56,21 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - math.log(math.pi) - log_gamma(n0 + n1 + 1.0)
 
 
+def parts(row: dict):
+    """A chunk's documents in parts of about PART_BYTES."""
+    ids, offsets, data = chunk_parts(row)
+    i = 0
+    while i < len(ids):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PART_BYTES, "right")) - 1)
+        yield Text(ids[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
+        i = j
+
+
 class Text:
-    """A chunk as a byte stream with DEPTH closing bytes before each document; its grams and words."""
+    """Documents as a byte stream with DEPTH closing bytes before each; their grams and words."""
 
-    def __init__(self, row: dict):
-        self.ids, offsets, data = chunk_parts(row)
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray):
+        self.ids = ids
         start, end, doc = words(data, offsets)
         self.word = span_hashes(prefix_hashes(data, LOWER_CODE), start, end)
         self.word_doc = doc
@@ -95,25 +105,39 @@ class Text:
         self.train = ~held_out(self.ids)
         self.sizes = np.diff(np.append(self.bounds, len(where)))
 
-    def grams(self, buckets: int, inverse: bool = False):
-        """Different grams ordered by bucket, training counts, bucket bounds, and each position's gram."""
-        unique, number, counts = np.unique(self.code, return_inverse=True, return_counts=True)
-        train = np.bincount(number, weights=np.repeat(self.train, self.sizes), minlength=len(unique)).astype(np.int64)
-        bucket = (mixed(unique >> U64(8 * (DEPTH - 1))) % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return unique[order], train[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), rank[number] if inverse else None
-
-    def terms(self, buckets: int):
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Different grams and their training counts."""
+        marked, counts = np.unique((self.code << U64(1)) | np.repeat(self.train, self.sizes).astype(U64), return_counts=True)
+        return added(marked >> U64(1), counts * (marked & U64(1)).astype(np.int64))
+
+    def terms(self) -> tuple[np.ndarray, np.ndarray]:
         """The same for words."""
-        unique, number = np.unique(self.word, return_inverse=True)
-        train = np.bincount(number, weights=self.train[self.word_doc], minlength=len(unique)).astype(np.int64)
-        bucket = (unique % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return unique[order], train[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), rank[number]
+        return added(self.word, self.train[self.word_doc].astype(np.int64))
+
+
+def added(name: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different names with summed counts."""
+    unique, number = np.unique(name, return_inverse=True)
+    return unique, np.bincount(number, weights=count, minlength=len(unique)).astype(np.int64)
+
+
+def dealt(name: np.ndarray, key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by bucket, then by name, and the bucket bounds."""
+    bucket = (key % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def gram_key(code: np.ndarray) -> np.ndarray:
+    """By the two nearest context bytes."""
+    return mixed(code >> U64(8 * (DEPTH - 1)))
+
+
+def questions(row: dict):
+    """A chunk's different grams and words with training counts, each in order of the name."""
+    found = [(*t.grams(), *t.terms()) for t in parts(row)]
+    code, count, term, use = (np.concatenate(c) for c in zip(*found, strict=True))
+    return *added(code, count), *added(term, use)
 
 
 ASK = "bucket int, chunk long, codes binary, counts binary, terms binary, uses binary"
@@ -122,9 +146,11 @@ ASK = "bucket int, chunk long, codes binary, counts binary, terms binary, uses b
 def ask(buckets: int):
     def run(batches):
         for row in rows_of(batches):
-            text = Text(row)
-            code, count, cut, _ = text.grams(buckets)
-            term, use, edge, _ = text.terms(buckets)
+            code, count, term, use = questions(row)
+            order, cut = dealt(code, gram_key(code), buckets)
+            code, count = code[order], count[order]
+            order, edge = dealt(term, term, buckets)
+            term, use = term[order], use[order]
             rows = []
             for b in range(buckets):
                 i, j, k, m = cut[b], cut[b + 1], edge[b], edge[b + 1]
@@ -257,20 +283,22 @@ def model_scores(docs: DataFrame, buckets: int = 64) -> DataFrame:
 
     def run(batches):
         for row in rows_of(batches):
-            text = Text(row)
-            code, _, cut, number = text.grams(buckets, inverse=True)
-            term, _, edge, which = text.terms(buckets)
+            code, _, term, _ = questions(row)
+            order, cut = dealt(code, gram_key(code), buckets)
+            place, edge = dealt(term, term, buckets)
             logp, use = np.zeros(len(code)), np.zeros(len(term), np.int64)
             for a in row["answers"]:
                 b = a["bucket"]
-                logp[cut[b] : cut[b + 1]] = np.frombuffer(a["logp"], np.float32)
-                use[edge[b] : edge[b + 1]] = unpacked(a["uses"], np.int64)
-            docs = len(text.ids)
-            score = np.add.reduceat(logp[number], text.bounds)
-            uses, divisor = use[which], n + 0.5 * (v + 1)
-            count = np.bincount(text.word_doc, minlength=docs)
-            known = np.bincount(text.word_doc, weights=uses > 0, minlength=docs).astype(np.int64) + (ends > 0)
-            base = np.bincount(text.word_doc, weights=np.log10((uses + 0.5) / divisor), minlength=docs) + math.log10((ends + 0.5) / divisor)
-            yield record_batch(schema, (text.ids, ~text.train, count + 1, known, np.full(docs, n), base, score, -score / math.log10(2) / text.sizes))
+                logp[order[cut[b] : cut[b + 1]]] = np.frombuffer(a["logp"], np.float32)
+                use[place[edge[b] : edge[b + 1]]] = unpacked(a["uses"], np.int64)
+            for text in parts(row):
+                docs = len(text.ids)
+                own, number = np.unique(text.code, return_inverse=True)
+                score = np.add.reduceat(logp[np.searchsorted(code, own)][number], text.bounds)
+                uses, divisor = use[np.searchsorted(term, text.word)], n + 0.5 * (v + 1)
+                count = np.bincount(text.word_doc, minlength=docs)
+                known = np.bincount(text.word_doc, weights=uses > 0, minlength=docs).astype(np.int64) + (ends > 0)
+                base = np.bincount(text.word_doc, weights=np.log10((uses + 0.5) / divisor), minlength=docs) + math.log10((ends + 0.5) / divisor)
+                yield record_batch(schema, (text.ids, ~text.train, count + 1, known, np.full(docs, n), base, score, -score / math.log10(2) / text.sizes))
 
     return table.join(answers, "chunk").mapInArrow(run, schema)

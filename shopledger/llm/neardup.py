@@ -47,8 +47,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     at = np.searchsorted(doc, np.arange(docs + 1))
     count = np.diff(at)
     k = np.zeros(len(h), U64)
-    for j in range(size):  # order-sensitive sum over the next words
-        k[: len(h) - j or None] = k[: len(h) - j or None] * U64(0x9E3779B97F4A7C15) + h[j:]
+    for j in range(min(size, len(h))):  # order-sensitive sum over the next words
+        n = len(h) - j
+        k[:n] = k[:n] * U64(0x9E3779B97F4A7C15) + h[j:]
     k = mixed(k)
     out = []
     for d in range(docs):

@@ -16,7 +16,6 @@ of length, id and piece.
 from __future__ import annotations
 
 import zlib
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +39,12 @@ def cut_pieces(n: int, width: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row for each piece, with the crc32 of its ids."""
-    serial = count()
+    serial = [0]  # of this task: spreads pieces of rows with the same id
 
     def rows(doc_id, ids):
         for k, (at, n) in enumerate(cut_pieces(len(ids), width)):
-            yield doc_id, k, at, n, zlib.crc32(ids[at : at + n].tobytes()), next(serial)
+            serial[0] += 1
+            yield doc_id, k, at, n, zlib.crc32(ids[at : at + n].tobytes()), serial[0]
 
     return encoded(docs, PIECES, rows)
 

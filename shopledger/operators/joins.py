@@ -40,15 +40,19 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def explode_by_dim(df: DataFrame, dim: DataFrame) -> DataFrame:
-    """JN-06: one output row per row and dimension member.  The dimension is
-    inlined as an array; its size is checked when the query runs."""
+    """JN-06: one output row per row and dimension member, at any size.
+
+    A dimension of at most MAX_INLINE_ROWS is inlined as an array; a larger one
+    is dealt into buckets of about that size and joined by bucket, which adaptive
+    execution splits further."""
     row = F.struct(*dim.columns)
-    guarded = dim.limit(MAX_INLINE_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(row)).alias("a")).select(
-        F.when(F.col("n") <= MAX_INLINE_ROWS, F.col("a")).otherwise(
-            F.raise_error(F.lit("dimension is too large to inline")).cast(f"array<{dim.select(row.alias('s')).schema['s'].dataType.simpleString()}>")
-        ).alias("a")
-    )
-    return df.select("*", F.explode(guarded.scalar()).alias("_d")).select(*df.columns, "_d.*")
+    if dim.limit(MAX_INLINE_ROWS + 1).count() <= MAX_INLINE_ROWS:
+        members = dim.agg(F.sort_array(F.collect_list(row)).alias("a"))
+        return df.select("*", F.explode(members.scalar()).alias("_d")).select(*df.columns, "_d.*")
+    buckets = -(-dim.count() // MAX_INLINE_ROWS)
+    dealt = dim.select(F.pmod(F.xxhash64(*dim.columns), F.lit(buckets)).cast("int").alias("_b"), row.alias("_d"))
+    spread = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
+    return spread.join(dealt, "_b").select(*df.columns, "_d.*")
 
 
 def asof_snapshots(history: DataFrame, cutoffs: Sequence[int], t: str, out: str = "as_of") -> DataFrame:

@@ -17,7 +17,7 @@ from shopledger.queries.q_windows import DENSE, dense_days
 from shopledger.queries.q_analytics import _regm
 from shopledger.queries.registry import query
 from shopledger.sources import retail
-from shopledger.sources.tables import read_table
+from shopledger.sources.tables import read_table, stream_table
 from shopledger.streaming import alerts
 
 
@@ -275,7 +275,7 @@ def _(spark, sf):
 @query("str01_live_alert", f"{EV}, {WIN} SELECT window_start, event_type, CAST(watched AS DOUBLE) AS watched FROM w WHERE watched > 3500 AND CAST(window_start AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)")
 def _(spark, sf):
     schema = read_table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = stream_table(spark, sf, "events", schema)
     ev = stream.withColumn("value", F.col("value").cast("decimal(12,2)")).withColumn("ts", F.col("ts").cast("timestamp"))
     out = alerts.windowed_alert(ev, ["event_type"], F.col("value"), "greater", 3500, "1 day", "1 hour")
     rows = alerts.run_available(spark, out)

@@ -16,6 +16,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """The same table as a stream: a folder of part files by its own path, a single file by its name in the parent."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    stream = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(f"{folder}/{name}.parquet")
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def read_csv(spark: SparkSession, path: str, schema, header: bool = True, sep: str = ",") -> DataFrame:
     """SRC-02: a delimited file bound to a declared schema, first row a header."""
     return (

@@ -94,12 +94,20 @@ def test_scalar_filter_words(spark):
     assert flt.in_or_all(df, "c", None).count() == 3 and flt.in_or_all(df, "c", ["T"]).count() == 1
 
 
-def test_inline_dimension_is_size_checked(spark, monkeypatch):
+def test_dimension_of_any_size_is_spread(spark, monkeypatch):
     monkeypatch.setattr(jn, "MAX_INLINE_ROWS", 3)
     df = spark.range(2)
     assert jn.explode_by_dim(df, spark.range(3).withColumnRenamed("id", "d")).count() == 6
-    with pytest.raises(Exception, match="too large"):
-        jn.explode_by_dim(df, spark.range(4).withColumnRenamed("id", "d")).collect()
+    got = jn.explode_by_dim(df, spark.range(10).withColumnRenamed("id", "d")).collect()
+    assert sorted(map(tuple, got)) == [(i, d) for i in range(2) for d in range(10)]
+
+
+def test_live_alert_reads_folders_of_part_files(spark, sf, tmp_path):
+    from shopledger.queries.catalog import all_queries
+
+    spark.read.parquet(f"{sf}/events.parquet").repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    live = all_queries()["str01_live_alert"].build
+    assert sorted(map(tuple, live(spark, str(tmp_path)).collect())) == sorted(map(tuple, live(spark, sf).collect()))
 
 
 def test_active_intervals_against_brute_force(spark):

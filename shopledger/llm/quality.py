@@ -131,12 +131,14 @@ def forward_backward(e: np.ndarray, first: np.ndarray, t: np.ndarray) -> tuple[n
 
 def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict:
     """Weights by maximum conditional likelihood (Adam on the exact gradient, classes weighed alike)."""
+    if not len(label):
+        return {"w": np.zeros(3 * BASIC), "t": np.zeros((2, 2)), "scale": np.zeros(2)}
     f = with_neighbours(x, first)
     lines = np.diff(np.append(first, len(x)))
     y = np.repeat(label, lines).astype(float)
-    share = np.clip(label.mean() if len(label) else 0.5, 0.02, 0.98)
+    share = np.clip(label.mean(), 0.02, 0.98)
     per_doc = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)) / lines
-    weight = np.repeat(per_doc, lines) / max(per_doc.sum() if len(per_doc) else 1, 1e-9)
+    weight = np.repeat(per_doc, lines) / per_doc.sum()
     pairs = np.ones(len(x), bool)
     pairs[first] = False
     seen = np.zeros((len(x), 2, 2))
@@ -150,8 +152,8 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict:
         step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
         w, t = w + step[:-4], t + step[-4:].reshape(2, 2)
     model = {"w": w, "t": t, "scale": np.array([1.0, 0.0])}
-    if not len(label) or label.min() == label.max():
-        model["scale"] = np.array([0.0, 0.0 if not len(label) else (3.0 if label[0] else -3.0)])
+    if label.min() == label.max():
+        model["scale"] = np.array([0.0, 3.0 if label[0] else -3.0])
         return model
     evidence = doc_evidence(model, x, np.zeros(0), first)
     a, b = 1.0, 0.0

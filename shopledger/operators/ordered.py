@@ -9,6 +9,7 @@ ranges (at most one row per range and group) are added as an offset.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from shopledger.session import cut_lineage
 
-SAMPLE = 4096
+#: Sampled keys: this many at least, and KEYS_PER_RANGE for each range.
+SAMPLE, KEYS_PER_RANGE = 4096, 16
 
 
 def _sort_struct(order: list[str]) -> Column:
@@ -24,27 +26,34 @@ def _sort_struct(order: list[str]) -> Column:
 
 
 def with_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
-    """Add ``_range``: the number of sampled cut points at or below the key."""
+    """Add ``_range``: the number of sampled cut points at or below the key.
+
+    As many ranges as shuffle partitions, unless given. The cuts are sorted, so
+    a row is held against every ``width``-th one first and then against the
+    cuts of that block: about two square roots of their number.
+    """
     if ranges is None:
-        ranges = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    step = max(1, SAMPLE // max(1, ranges))
-    # a deterministic sample: the SAMPLE keys with the smallest hash
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranges = max(1, ranges)
+    sample = max(SAMPLE, KEYS_PER_RANGE * ranges)
+    step, width = max(1, sample // ranges), max(1, math.isqrt(ranges))
+    # a deterministic sample: the keys with the smallest hash
     picked = (
         df.select(_sort_struct(order).alias("k"))
         .withColumn("h", F.xxhash64("k"))
         .orderBy("h", "k")
-        .limit(SAMPLE)
+        .limit(sample)
     )
     keys = picked.agg(F.sort_array(F.collect_list("k")).alias("ks"))
     cuts = keys.select(
         F.filter("ks", lambda _, i: (i > 0) & (i % step == 0)).alias("cuts")
     ).scalar()
+    heads = keys.select(F.filter("ks", lambda _, i: (i > 0) & (i % step == 0) & ((i / step - 1) % width == 0)).alias("heads")).scalar()
     key = _sort_struct(order)
-    return (
-        df.withColumn("_cuts", cuts)
-        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key)))
-        .drop("_cuts")
-    )
+    coarse = F.size(F.filter("_heads", lambda c: c <= key))
+    inside = F.filter(F.slice("_cuts", (F.col("_block") - 1) * width + 1, F.lit(width)), lambda c: c <= key)
+    fine = F.when(F.col("_block") > 0, (F.col("_block") - 1) * width + F.size(inside)).otherwise(0)
+    return df.withColumn("_cuts", cuts).withColumn("_heads", heads).withColumn("_block", coarse).withColumn("_range", fine).drop("_cuts", "_heads", "_block")
 
 
 def prefix_sum(

@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bind-point tokens, the name after FROM or JOIN, a derived table
-# in that place, and words that are never tables.
-BIND = r"\$[PXR]!?\{[^}]*\}"
-NAME = r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)*)"
-DERIVED = r"(?i)(?:FROM|JOIN)\s*\("
+# A query text as words: bind points and quoted texts whole, dotted names whole,
+# every other sign by itself.
+WORD = r"\$\w+!?\{[^}]*\}|'[^']*'|[\w$]+(?:\.[\w$]+)*|\S"
+# Words that are never tables.
 NOISE = ["select", "where", "lateral", "unnest", "values", "dual"]
 
 
 def source_tables(df: DataFrame, asset: str, sql: str) -> DataFrame:
-    """LIN-01: distinct tables of each text; 'inferred' where a derived table
-    makes the list possibly incomplete."""
-    clean = F.regexp_replace(F.col(sql), BIND, " ")
-    found = df.select(asset, clean.alias("_s")).select(
-        asset, F.when(F.col("_s").rlike(DERIVED), "inferred").otherwise("parsed").alias("confidence"), F.posexplode(F.regexp_extract_all("_s", F.lit(NAME), F.lit(1))).alias("_i", "_t")
+    """LIN-01: distinct tables of each text, the names that follow FROM or JOIN;
+    'inferred' where a bracket follows one, so that the list may be incomplete."""
+    words = F.filter(F.regexp_extract_all(F.col(sql), F.lit(WORD), F.lit(0)), lambda w: ~w.startswith("$"))
+    heads = F.filter(
+        F.transform(F.col("_w"), lambda w, i: F.struct(i.alias("at"), w.alias("name"), F.lower(F.get("_w", i - 1)).alias("lead"))),
+        lambda h: h["lead"].isin("from", "join"),
     )
-    low = F.lower("_t")
+    d = df.select(asset, words.alias("_w")).select(asset, heads.alias("_h"))
+    doubt = F.when(F.exists("_h", lambda h: h["name"] == "("), "inferred").otherwise("parsed")
+    d = d.select(asset, doubt.alias("confidence"), F.explode("_h").alias("_h"))
+    low = F.lower("_h.name")
+    named = d.where(F.col("_h.name").rlike("^[A-Za-z_]") & ~low.isin(NOISE))
     # the first spelling of a name stands for it
-    return found.where(~low.isin(NOISE)).groupBy(asset, low.alias("_k"), "confidence").agg(F.min_by("_t", "_i").alias("table_name")).drop("_k")
+    return named.groupBy(asset, low.alias("_k"), "confidence").agg(F.min_by("_h.name", "_h.at").alias("table_name")).drop("_k")
 
 
 def lineage_edges(tables: DataFrame, asset: str) -> DataFrame:

@@ -13,22 +13,31 @@ LOYAL = "customer_number IS NOT NULL AND customer_number != '0'"
 BY_STORE = ("store_region", "store_province", "store_name", "transaction_year")
 
 
-def _pos_rows(spark, folder):
-    df = retail.lines(spark, folder)
+# Columns that come from the product and the store table.
+FROM_PRODUCT = {"product_description": "product_name AS product_description", "cost": "cost"}
+FROM_STORE = {"store_name": "store_name", "store_province": "province AS store_province", "store_region": "region AS store_region", "customer_fsa": "left(province, 3) AS customer_fsa"}
+
+
+def _pos_rows(spark, folder, words=None, conditions=()):
+    """All columns, or those of the tables that ``words`` name; the default
+    sales filter among the conditions reaches the scan of the orders."""
+    product = words is None or bool(words & set(FROM_PRODUCT))
+    store = words is None or bool(words & set(FROM_STORE))
+    df = retail.lines(spark, folder, product, store, (retail.SALE,) if REGULAR in conditions else ())
     dec = "decimal(18,4)"
     return df.selectExpr(
-        "sale_date AS transaction_date", "CAST(txn_id AS string) AS transaction_unique_id", "store_id AS store_number", "store_name", "province AS store_province", "region AS store_region",
-        "CAST(customer_id AS string) AS customer_number", "CAST(plu AS string) AS plu", "product_name AS product_description", "promo_type AS promotion_type", "txn_type AS transaction_type",
-        "quantity", "sales AS selling_price", "cost", "regular_value AS original_selling_price", "regular_value AS pricebook_regular_price",
+        "sale_date AS transaction_date", "CAST(txn_id AS string) AS transaction_unique_id", "store_id AS store_number", "CAST(customer_id AS string) AS customer_number", "CAST(plu AS string) AS plu",
+        "promo_type AS promotion_type", "txn_type AS transaction_type", "quantity", "sales AS selling_price", "regular_value AS original_selling_price", "regular_value AS pricebook_regular_price",
         f"CAST(discount * 0.1 AS {dec}) AS subsidy", f"CAST(discount * 0.05 AS {dec}) AS marketing_subsidy", f"CAST(discount * 0.2 AS {dec}) AS expected_subsidy",
         f"CAST(0 AS {dec}) AS transaction_discount", "discount AS item_discount", f"CAST(0 AS {dec}) AS override_discount", "sales AS royalty_sales",
-        "left(province, 3) AS customer_fsa", "CASE WHEN promo_type <> '' THEN concat(promo_type, '-', year(sale_date)) ELSE '' END AS event_id",
+        "CASE WHEN promo_type <> '' THEN concat(promo_type, '-', year(sale_date)) ELSE '' END AS event_id",
+        *(FROM_PRODUCT.values() if product else ()), *(FROM_STORE.values() if store else ()),
     )
 
 
 def pos_model() -> Model:
-    """SEM-01..04: 28 dimensions' worth of slicing, 25 measures, 15 metrics."""
-    m = Model("pos_transactions", _pos_rows, time="transaction_date")
+    """SEM-01..04: dimensions, measures and metrics of the point-of-sale lines."""
+    m = Model("pos_transactions", _pos_rows, time="transaction_date", narrow=_pos_rows)
     for name, kind in (
         ("transaction_unique_id", "string"), ("store_number", "number"), ("store_province", "enum"), ("customer_number", "string"), ("product_description", "string"), ("event_id", "string"),
         ("pricebook_regular_price", "number"), ("transaction_type", "enum"), ("store_name", "string"), ("store_region", "enum"), ("customer_fsa", "string"), ("plu", "string"), ("promotion_type", "enum"),

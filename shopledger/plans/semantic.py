@@ -6,6 +6,7 @@ plans them.  Users add their own with one call.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -54,6 +55,7 @@ class Model:
     metrics: dict[str, Metric] = field(default_factory=dict)
     calcs: dict[str, str] = field(default_factory=dict)
     prefilters: list[str] = field(default_factory=list)
+    narrow: Callable[[SparkSession, str, set[str], list[str]], DataFrame] | None = None
 
     def dimension(self, name: str, expr: str | None = None, kind: str = "string", grains: Sequence[str] = ()) -> Model:
         """SEM-01: a typed dimension."""
@@ -83,7 +85,23 @@ class Model:
         return self
 
     def rows(self, spark: SparkSession, folder: str) -> DataFrame:
-        df = self.source(spark, folder)
+        return self._prepared(self.source(spark, folder))
+
+    def rows_for(
+        self, spark: SparkSession, folder: str, name: str, by: Sequence[str] = (), grain: str | None = None,
+        filters: Sequence[str] = (), default_filters: bool = True,
+    ) -> DataFrame:
+        """The rows of one metric, read from only the tables that its measure,
+        groupings and filters name; ``narrow`` gets their words and the filters."""
+        if self.narrow is None:
+            return self.rows(spark, folder)
+        m = self.metrics[name]
+        conditions = [*(m.filters if default_filters else ()), *filters, *self.prefilters]
+        texts = [self.measures[m.measure].expr, *conditions, *self.calcs.values(), *(self.dimensions[b].expr for b in by if b in self.dimensions)]
+        words = set(re.findall(r"\w+", " ".join(texts)))
+        return self._prepared(self.narrow(spark, folder, words, conditions))
+
+    def _prepared(self, df: DataFrame) -> DataFrame:
         for name, expr in self.calcs.items():
             df = df.withColumn(name, F.expr(expr))
         for condition in self.prefilters:

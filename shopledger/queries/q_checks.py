@@ -244,14 +244,16 @@ def product_pages(spark, sf):
     body = F.concat(
         F.lit("<html><script>var a=1;</script>"), F.when(size % 5 == 0, F.lit('<script type="application/ld+json">{"@type":"Thing"}</script>')).otherwise(""), F.when(size == 1, F.lit("")).otherwise(ld),
         F.lit("<span> "), F.when(kg, F.concat(s(size), F.lit(" kg"))).otherwise(F.concat(s(size * 10), F.lit(" g"))), F.lit(" </span><h2>Ingredients</h2><p>Ingredients</p><p>Water, salt, "), F.col("p_brand"), F.lit(" and "), F.col("p_type"),
-        F.lit(" flour</p><div>Nutrition Facts</div><div>Per 1 piece ("), s(size), F.lit(" g)</div><div>Calories "), s(size * 4), F.lit("</div><div>Fat</div><div>"), s(size % 9), F.lit(" g</div><div>Sodium</div><div>"), s(size * 3), F.lit(" mg</div></html>"),
+        F.lit(" flour</p>"), F.when(size % 4 == 0, F.concat(F.lit("<b>Allergens</b><p>Wheat, "), F.col("p_brand"), F.lit("</p>"))).otherwise(""), F.lit("<div>Nutrition Facts</div><div>Per 1 piece ("), s(size), F.lit(" g)</div><div>Calories "), s(size * 4), F.lit("</div><div>Fat</div><div>"), s(size % 9), F.lit(" g</div><div>Sodium</div><div>"), s(size * 3), F.lit(" mg</div>"),
+        *[x for label, k, unit in (("Saturated", 2, "g"), ("Trans Fat", 8, "g"), ("Total Carbohydrate", 5, "g"), ("Dietary Fibre", 3, "g"), ("Sugars", 4, "g"), ("Protein", 6, "g"), ("Cholesterol", 7, "mg"), ("Potassium", 11, "mg")) for x in (F.lit(f"<p>{label}</p><i>"), s(size * k), F.lit(f" {unit}</i>"))], F.lit("</html>"),
     )
     return read_table(spark, sf, "part").select(k.alias("page_id"), body.alias("html"))
 
 
 @query("web03_product_records", """SELECT p_partkey AS page_id, CAST(p_partkey AS VARCHAR) AS plu, p_name || ' &amp; co' AS product_name, 'A good ' || p_type AS web_description, CAST(p_retailprice AS VARCHAR) AS price, CASE WHEN p_size % 2 = 0 THEN 'Y' ELSE 'N' END AS in_stock,
-CASE WHEN p_size % 3 = 0 THEN p_size || ' kg' ELSE (p_size * 10) || ' g' END AS package_size, CASE WHEN p_size % 3 = 0 THEN CAST(p_size * 1000 AS VARCHAR) ELSE CAST(p_size * 10 AS VARCHAR) END AS size_g, 'Water, salt, ' || p_brand || ' and ' || p_type || ' flour' AS ingredients,
-'1 piece (' || p_size || ' g)' AS serving_size, CAST(p_size AS VARCHAR) AS serving_g, CAST(p_size * 4 AS VARCHAR) AS calories, CAST(p_size % 9 AS VARCHAR) AS fat_g, '' AS carbs_g, '' AS sugars_g, '' AS protein_g, CAST(p_size * 3 AS VARCHAR) AS sodium_mg FROM part WHERE p_size <> 1""")
+CASE WHEN p_size % 3 = 0 THEN p_size || ' kg' ELSE (p_size * 10) || ' g' END AS package_size, CASE WHEN p_size % 3 = 0 THEN CAST(p_size * 1000 AS VARCHAR) ELSE CAST(p_size * 10 AS VARCHAR) END AS size_g, 'Water, salt, ' || p_brand || ' and ' || p_type || ' flour' AS ingredients, CASE WHEN p_size % 4 = 0 THEN 'Wheat, ' || p_brand ELSE '' END AS allergens,
+'1 piece (' || p_size || ' g)' AS serving_size, CAST(p_size AS VARCHAR) AS serving_g, CAST(p_size * 4 AS VARCHAR) AS calories, CAST(p_size % 9 AS VARCHAR) AS fat_g, CAST(p_size * 2 AS VARCHAR) AS sat_fat_g, CAST(p_size * 5 AS VARCHAR) AS carbs_g, CAST(p_size * 3 AS VARCHAR) AS fibre_g, CAST(p_size * 4 AS VARCHAR) AS sugars_g, CAST(p_size * 6 AS VARCHAR) AS protein_g,
+CAST(p_size * 7 AS VARCHAR) AS cholesterol_mg, CAST(p_size * 3 AS VARCHAR) AS sodium_mg, CAST(p_size * 11 AS VARCHAR) AS potassium_mg FROM part WHERE p_size <> 1""")
 def _(spark, sf):
     return pg.extract_product(product_pages(spark, sf), "page_id")
 

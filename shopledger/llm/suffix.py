@@ -35,7 +35,9 @@ SPAN, GRAM = 50, 24
 LEFT = SPAN - GRAM
 SHALLOW_WORDS = GRAM // 8
 HASH_BITS = 44
-CHUNKS_A_BUCKET = 16
+CHUNK_BYTES, CHUNKS_A_BUCKET = 2 << 20, 8
+#: Contexts that are sorted together; a single gram with more of them stays whole.
+SORTED_TOGETHER = 1 << 16
 
 
 def sliding(a: np.ndarray, width: int, best) -> np.ndarray:
@@ -227,6 +229,26 @@ def seen_before(context: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return bits
 
 
+def seen_in_parts(context: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """``seen_before`` on parts of the contexts that share no gram, so what it holds beside them is bounded."""
+    parts = -(-len(doc) // SORTED_TOGETHER)
+    if parts < 2:
+        return seen_before(context, doc)
+    gram = words_of(context[:, LEFT : LEFT + GRAM])
+    name = gram[:, 0]
+    for k in range(1, gram.shape[1]):
+        name = mixed(name) + gram[:, k]
+    part = mixed(name) % U64(parts)
+    del gram, name
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=U64))
+    bits = np.zeros(len(doc), np.uint32)
+    for i, j in zip(cut, cut[1:], strict=False):
+        some = order[i:j]
+        bits[some] = seen_before(context[some], doc[some])
+    return bits
+
+
 def ask_grams(buckets: int):
     schema = "bucket int, chunk long, body binary"
 
@@ -291,10 +313,12 @@ def ask_contexts(buckets: int):
 
 
 def answer_contexts(group):
-    context = np.concatenate([unpacked(c, np.uint8) for c in group.column("context").to_pylist()]).reshape(-1, LEFT + SPAN)
-    docs = [unpacked(d, np.int64) for d in group.column("docs").to_pylist()]
-    bits = seen_before(context, np.concatenate(docs))
+    docs = [unpacked(d.as_py(), np.int64) for d in group.column("docs")]
     cut = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    context = np.empty((cut[-1], LEFT + SPAN), np.uint8)
+    for c, i, j in zip(group.column("context"), cut, cut[1:], strict=False):
+        context[i:j] = unpacked(c.as_py(), np.uint8).reshape(-1, LEFT + SPAN)
+    bits = seen_in_parts(context, np.concatenate(docs))
     return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "seen": pa.array([packed(bits[i:j]) for i, j in zip(cut, cut[1:], strict=False)], pa.binary())})
 
 
@@ -322,7 +346,7 @@ def removed_mask(row: dict, buckets: int) -> tuple[Chunk, np.ndarray]:
 
 def solved(docs: DataFrame, keep_columns: bool) -> tuple[DataFrame, int]:
     """Chunks with both kinds of answers, and the number of buckets."""
-    table = chunk_table(docs, keep_columns=keep_columns)
+    table = chunk_table(docs, CHUNK_BYTES, keep_columns)
     n = table.count()
     buckets = 1 << max(6, (max(n, 1) // CHUNKS_A_BUCKET - 1).bit_length())
     small = table.select("chunk", "ids", "lens", "body")

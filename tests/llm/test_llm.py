@@ -280,6 +280,18 @@ def test_token_counts(spark, sf, odd, none):
     assert tokencount.token_counts(none).count() == 0
 
 
+def test_passages_sorted_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 100, (9, suffix.LEFT + suffix.SPAN)).astype(np.uint8)
+    context = rows[rng.integers(0, len(rows), 400)]
+    changed = rng.integers(0, context.shape[1], len(context))
+    context[np.arange(len(context)), changed] = rng.integers(97, 100, len(context))
+    doc = rng.integers(0, 50, len(context))
+    whole = suffix.seen_before(context, doc)
+    monkeypatch.setattr(suffix, "SORTED_TOGETHER", 30)
+    assert whole.any() and (suffix.seen_in_parts(context, doc) == whole).all()
+
+
 def test_passages_against_brute_force(spark, sf, odd, none):
     for docs in (documents(spark, sf), odd.dropDuplicates(["doc_id"])):
         want = brute.passages(known(texts_of(docs)))

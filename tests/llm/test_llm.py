@@ -164,6 +164,37 @@ def test_local_search_empties_bins_and_keeps_items():
         assert all(sum(lengths[i] for i in b) <= 100 for b in out) and len(out) < 60
 
 
+def test_local_search_ends_only_without_a_step():
+    rng = random.Random(2)
+    lengths = sorted((rng.randrange(400, 701) for _ in range(900)), reverse=True)
+    bins = packing.best_fit(lengths, 2048)
+    out = packing.improve([list(b) for b in bins], lengths, 2048)
+    assert sorted(i for b in out for i in b) == list(range(900))
+    assert len(out) <= 0.96 * len(bins) and len(out) > -(-sum(lengths) // 2048)
+    sizes = [sorted(lengths[i] for i in b) for b in out]
+    fill = [sum(b) for b in sizes]
+    ones = [{0, *b} for b in sizes]
+    twos = [{x + y for k, x in enumerate(b) for y in b[:k]} for b in sizes]
+    for a in range(len(out)):
+        for b in range(len(out)):
+            if a != b:
+                for s, n in [(s, n) for s in ones[a] for n in ones[b]] + [(s, n) for s in twos[a] for n in ones[b]]:
+                    f, e = fill[a] - s + n, fill[b] + s - n
+                    assert max(f, e) > 2048 or f * f + e * e <= fill[a] ** 2 + fill[b] ** 2
+
+
+def test_all_underfull_bins_are_opened_for_the_next_level(spark):
+    rng = random.Random(3)
+    rows = [(i, 0, 0, rng.randrange(600, 1001), 0, i) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), group_pieces=600).collect()
+    fill = {}
+    for r in got:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert sorted(r.doc_id for r in got) == list(range(3000)) and max(fill.values()) <= 2048
+    assert all(n * 100 >= 2048 * 99 for s, n in fill.items() if s >> 56 == 0)
+    assert len(fill) < 0.99 * len(packing.best_fit([r[3] for r in rows], 2048))
+
+
 def test_packing_in_many_groups(spark, none):
     rows = spark.range(5000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1 + (id * 7919) % 2048 AS length", "0L AS ids_crc32", "id AS salt")
     got = packing.pack(rows, group_pieces=300).collect()

@@ -1,8 +1,8 @@
 """Licence scan by sparse TF-IDF cosine and inheritance from the nearest ancestor directory (operator 2).
 
 Every line of every file is held against the templates. Weights are
-1 + ln((1 + lines) / (1 + lines with the word)) for the words of the templates,
-counted over all lines; any other word weighs 1. A line can only reach the
+1 + ln((1 + lines) / (1 + lines with the word)) for every word, counted over all
+lines. A line can only reach the
 threshold with a template if it has one of the template's heaviest words, since
 without them the cosine is bounded by what is left of the template's norm; only
 such lines are cut into words. A file has the licence of its best line. A
@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopledger.session import cut_lineage
+
 # Names and headers of well-known licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -46,12 +48,18 @@ def line_words(text: Column) -> Column:
     return F.transform(F.split(clean, "\n", -1), lambda line: F.split(line, " ", -1))
 
 
-def template_weights(lines: DataFrame, templates: dict[str, str]) -> dict[str, float]:
-    """Weight of each template word from its line count over all lines; the empty word counts the lines."""
-    words = sorted({w for t in templates.values() for w in plain(t)})
-    hits = F.concat(F.array(F.lit("")), F.array_intersect("words", F.array(*map(F.lit, words))))
-    counts = {r[0]: r[1] for r in lines.select(F.explode(hits).alias("word")).groupBy("word").count().collect()}
-    return {w: 1 + math.log((1 + counts.get("", 0)) / (1 + counts.get(w, 0))) for w in words}
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(word, n): the lines that have each word; the empty word counts all lines."""
+    each = F.array_union(F.array(F.lit("")), F.col("words"))
+    return cut_lineage(lines.select(F.explode(each).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+
+
+def template_weights(counts: DataFrame, templates: dict[str, str]) -> dict[str, float]:
+    """Weight of each template word; the weight of the empty word is that of a word on no line."""
+    words = sorted({"", *(w for t in templates.values() for w in plain(t))})
+    n = {r["word"]: r["n"] for r in counts.where(F.col("word").isin(words)).collect()}
+    lines = n.pop("", 0)
+    return {w: 1 + math.log((1 + lines) / (1 + n.get(w, 0))) for w in words}
 
 
 def needed_words(templates: dict[str, str], weights: dict[str, float], threshold: float) -> list[str]:
@@ -74,20 +82,21 @@ def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     """(file, own_license, cosine) for files (file, text) with a line at the threshold or above."""
     spark = files.sparkSession
     lines = files.select("file", F.explode(line_words(F.col("text"))).alias("words"))
-    weights = template_weights(lines, templates)
+    counts = line_counts(lines)
+    weights = template_weights(counts, templates)
     needed = F.array(*map(F.lit, needed_words(templates, weights, threshold)))
     some = lines.where(F.arrays_overlap("words", needed)).withColumn("number", F.monotonically_increasing_id())
     terms = some.select("file", "number", F.explode("words").alias("word")).where("word <> ''").groupBy("file", "number", "word").agg(F.count("*").alias("tf"))
-    weight_rows = spark.createDataFrame(sorted(weights.items()), "word string, weight double")
     vectors = []
     for name, text in sorted(templates.items()):
         words = plain(text)
         norm = math.sqrt(sum((words.count(w) * weights[w]) ** 2 for w in set(words)))
         vectors.extend((w, name, words.count(w) * weights[w] / norm) for w in sorted(set(words)))
     template_rows = spark.createDataFrame(vectors, "word string, template string, part double")
-    weighed = terms.join(F.broadcast(weight_rows), "word", "left").withColumn("x", F.col("tf") * F.coalesce("weight", F.lit(1.0)))
+    known = F.col("word").isin([w for w in weights if w])
+    weighed = terms.join(counts, "word").withColumn("x", F.col("tf") * (F.lit(weights[""]) - F.log1p("n")))
     norms = weighed.groupBy("file", "number").agg(
-        F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("word", "x"))).alias("parts")
+        F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(known, F.struct("word", "x"))).alias("parts")
     )  # at most the words of the templates are collected
     dots = norms.select("file", "number", "norm", F.explode("parts").alias("p")).select("file", "number", "norm", "p.word", "p.x").join(F.broadcast(template_rows), "word")
     cosines = dots.groupBy("file", "number", "template").agg(F.round(F.sum(F.col("x") * F.col("part")) / F.first("norm"), 9).alias("cosine"))

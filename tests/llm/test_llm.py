@@ -120,6 +120,12 @@ def test_license_cosine_against_brute_force(spark, sf):
     assert got == {i: min(v)[1] for i, v in want.items()}
 
 
+def test_license_lines_of_rare_words_are_far_from_templates(spark):
+    rare = " ".join(f"rare{k}" for k in range(15))
+    files = spark.createDataFrame([(1, f"All rights reserved {rare}"), (2, "All rights reserved.")] + [(k, f"plain line {k}") for k in range(3, 40)], "file long, text string")
+    assert [(r.file, r.own_license) for r in licenses.own_licences(files).collect()] == [(2, "Proprietary")]
+
+
 def test_tokens_equal_the_tokenizer(spark, sf):
     own = tokens.encoder()
     texts = [t for _, t in texts_of(documents(spark, sf))] + [t or "" for _, t in known(odd_rows())] + ["it's  we'LL", "x 　y", "² ½", "tail ", "\ttab"]

@@ -1,12 +1,15 @@
 """Licence scan by sparse TF-IDF cosine and inheritance from the nearest ancestor directory (operator 2).
 
-Every line of every file is held against the templates. Weights are
-1 + ln((1 + lines) / (1 + lines with the word)) for every word, counted over all
-lines. A line can only reach the
+Compared are runs of up to RUN_LINES adjacent lines of every file, single lines
+among them, with the templates and headers, and the whole of each licence file
+also with the full licence texts. Weights are 1 + ln((1 + lines) / (1 + lines
+with the word)) for every word, counted over all lines. A run can only reach the
 threshold with a template if it has one of the template's heaviest words, since
-without them the cosine is bounded by what is left of the template's norm; only
-such lines are cut into words. A file has the licence of its best line. A
-directory has the licence of its licence files; a file without a licence of its
+without them the cosine is bounded by what is left of the template's norm; of
+the runs with such a line those go on whose summed dot products reach the
+threshold over the root of their word count, which no norm is below. A licence
+file has the licence of its whole text if that reaches the threshold with a full
+text; it and other files else that of their best run. A directory has the licence of its licence files; a file without a licence of its
 own takes that of the nearest directory above it. All of it is DataFrame
 functions; only the words of the templates, a fixed list, pass through the driver.
 
@@ -18,8 +21,9 @@ Repeated rows are judged each; a file is a row. Empty table: no rows.
 from __future__ import annotations
 
 import math
+import pkgutil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopledger.session import cut_lineage
@@ -36,12 +40,36 @@ TEMPLATES = {
 }
 MARKS = ".,;:!?()[]{}\"'`|*#$%&+/\\<>_=@^~-"
 THRESHOLD = 0.8
+RUN_LINES = 16
+# Headers and names as they stand over one or several lines, beside the templates.
+HEADERS = [
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License."""),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+        that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.
+        If not, see <https://www.gnu.org/licenses/>."""),
+    ("MIT", "MIT License"),
+]
+FULL = ("Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "MIT")
 
 
 def plain(text: str) -> list[str]:
     return "".join(c for c in text.lower() if c not in MARKS).split()
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Whole licence files, as they lie in ``license_texts``."""
+    return [(name, (pkgutil.get_data("shopledger.llm", f"license_texts/{name}.txt") or b"").decode()) for name in FULL]
+
+
 def line_words(text: Column) -> Column:
     """Array of lines, each the array of its words in lower case without marks."""
     clean = F.translate(F.lower(text), "\t\r" + MARKS, "  ")
@@ -78,30 +106,61 @@ def needed_words(templates: dict[str, str], weights: dict[str, float], threshold
     return sorted(out)
 
 
-def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(file, own_license, cosine) for files (file, text) with a line at the threshold or above."""
-    spark = files.sparkSession
-    lines = files.select("file", F.explode(line_words(F.col("text"))).alias("words"))
-    counts = line_counts(lines)
-    weights = template_weights(counts, templates)
-    needed = F.array(*map(F.lit, needed_words(templates, weights, threshold)))
-    some = lines.where(F.arrays_overlap("words", needed)).withColumn("number", F.monotonically_increasing_id())
-    terms = some.select("file", "number", F.explode("words").alias("word")).where("word <> ''").groupBy("file", "number", "word").agg(F.count("*").alias("tf"))
+def template_rows(spark: SparkSession, texts: list[tuple[str, str]], weights: dict[str, float]) -> DataFrame:
+    """(template, license, word, part): the parts of each template's unit vector."""
     vectors = []
-    for name, text in sorted(templates.items()):
+    for k, (name, text) in enumerate(texts):
         words = plain(text)
         norm = math.sqrt(sum((words.count(w) * weights[w]) ** 2 for w in set(words)))
-        vectors.extend((w, name, words.count(w) * weights[w] / norm) for w in sorted(set(words)))
-    template_rows = spark.createDataFrame(vectors, "word string, template string, part double")
-    known = F.col("word").isin([w for w in weights if w])
-    weighed = terms.join(counts, "word").withColumn("x", F.col("tf") * (F.lit(weights[""]) - F.log1p("n")))
-    norms = weighed.groupBy("file", "number").agg(
-        F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(known, F.struct("word", "x"))).alias("parts")
-    )  # at most the words of the templates are collected
-    dots = norms.select("file", "number", "norm", F.explode("parts").alias("p")).select("file", "number", "norm", "p.word", "p.x").join(F.broadcast(template_rows), "word")
-    cosines = dots.groupBy("file", "number", "template").agg(F.round(F.sum(F.col("x") * F.col("part")) / F.first("norm"), 9).alias("cosine"))
-    best = cosines.where(F.col("cosine") >= threshold).groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "template")).alias("best"))
-    return best.select("file", F.col("best.template").alias("own_license"), (-F.col("best.c")).alias("cosine"))
+        vectors.extend((k, name, w, words.count(w) * weights[w] / norm) for w in sorted(set(words)))
+    return spark.createDataFrame(vectors, "template int, license string, word string, part double")
+
+
+def cosines(units: DataFrame, keys: list[str], counts: DataFrame, weights: dict[str, float], templates: DataFrame) -> DataFrame:
+    """(keys, license, cosine) of units (keys, word), a row for each word as often as it occurs, with all templates they share a word with."""
+    weight = F.lit(weights[""]) - F.log1p("n")
+    tf = units.where("word <> ''").groupBy(*keys, "word").agg(F.count("*").alias("tf"))
+    weighed = tf.join(counts, "word").withColumn("x", F.col("tf") * weight)
+    norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.join(F.broadcast(templates), "word").groupBy(*keys, "template", "license").agg(F.sum(F.col("x") * F.col("part")).alias("dot"))
+    return dots.join(norms, keys).select(*keys, "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
+
+
+def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(file, own_license, cosine) for files (file, text, perhaps is_licence_file) with a unit at the threshold or above."""
+    spark = files.sparkSession
+    short = [*sorted(templates.items()), *HEADERS]
+    full = full_texts()
+    counts = line_counts(files.select(F.explode(line_words(F.col("text"))).alias("words")))
+    weights = template_weights(counts, {str(k): text for k, (_, text) in enumerate([*short, *full])})
+    needed = F.array(*map(F.lit, needed_words({str(k): text for k, (_, text) in enumerate(short)}, weights, threshold)))
+
+    # Runs: only around lines with a needed word, which every run at the threshold has.
+    row = files.select("file", F.monotonically_increasing_id().alias("row"), line_words(F.col("text")).alias("lines"))
+    row = row.withColumn("hot", F.filter(F.transform("lines", lambda ws, n: F.when(F.arrays_overlap(ws, needed), n)), lambda n: n.isNotNull())).where("size(hot) > 0")
+    near = row.select("file", "row", "hot", F.posexplode("lines").alias("n", "words"))
+    near = near.where(F.exists("hot", lambda h: F.abs(h - F.col("n")) < RUN_LINES))
+    near = cut_lineage(near.select("file", "row", "n", F.array_contains("hot", F.col("n")).alias("hot"), F.filter("words", lambda w: w != "").alias("words")))
+    rows = template_rows(spark, short, weights)
+    heavy = spark.createDataFrame(sorted(weights.items()), "word string, weight double")
+    # By lines: a run's dot product is the sum of its lines', its norm at least the root of its words.
+    hits = near.select("row", "n", F.explode("words").alias("word")).join(F.broadcast(rows.join(heavy, "word")), "word")
+    parts = hits.groupBy("row", "n", "template").agg(F.sum(F.col("part") * F.col("weight")).alias("dot"))
+    start = near.where("hot").select("row", F.explode(F.sequence(F.greatest(F.col("n") - (RUN_LINES - 1), F.lit(0)), F.col("n"))).alias("s"), F.col("n").alias("h"))
+    runs = start.select("row", "s", F.explode(F.sequence(F.col("h"), F.col("s") + (RUN_LINES - 1))).alias("e")).distinct()
+    runs = runs.join(near.select("row", F.col("n").alias("e")), ["row", "e"], "left_semi")  # ends inside the file
+    inside = runs.select("row", "s", "e", F.explode(F.sequence("s", "e")).alias("n"))
+    sizes = inside.join(near.select("row", "n", F.size("words").alias("size")), ["row", "n"]).groupBy("row", "s", "e").agg(F.sum("size").alias("size"))
+    bounds = inside.join(parts, ["row", "n"]).groupBy("row", "s", "e", "template").agg(F.sum("dot").alias("dot"))
+    close = bounds.join(sizes, ["row", "s", "e"]).where(F.col("dot") >= F.sqrt("size") * (threshold * (1 - 1e-9))).select("row", "s", "e").distinct()
+    units = close.select("row", "s", "e", F.explode(F.sequence("s", "e")).alias("n")).join(near, ["row", "n"]).select("file", "row", "s", "e", F.explode("words").alias("word"))
+    found = cosines(units, ["file", "row", "s", "e"], counts, weights, rows).select("file", F.lit(1).alias("order"), "license", "cosine")
+    if "is_licence_file" in files.columns:
+        whole = files.where("is_licence_file").select("file", F.monotonically_increasing_id().alias("row"), F.flatten(line_words(F.col("text"))).alias("words"))
+        words = cut_lineage(whole.select("file", "row", F.explode("words").alias("word")))
+        found = found.union(cosines(words, ["file", "row"], counts, weights, template_rows(spark, full, weights)).select("file", F.lit(0).alias("order"), "license", "cosine"))
+    best = found.where(F.col("cosine") >= threshold).groupBy("file").agg(F.min(F.struct("order", (-F.col("cosine")).alias("c"), "license")).alias("best"))
+    return best.select("file", F.col("best.license").alias("own_license"), (-F.col("best.c")).alias("cosine"))
 
 
 def license_scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -110,7 +169,7 @@ def license_scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     ``file`` names the row, ``path`` is its place with slashes. from_path is the
     file itself, the directory it inherits from, or null.
     """
-    found = files.drop("text").join(own_licences(files.select("file", "text"), templates, threshold), "file", "left")
+    found = files.drop("text").join(own_licences(files.select("file", "is_licence_file", "text"), templates, threshold), "file", "left")
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     found = found.withColumn("directory", parent)
     licensed = found.where("is_licence_file AND own_license IS NOT NULL AND path IS NOT NULL").groupBy(F.col("directory").alias("above")).agg(F.min("own_license").alias("inherited"))

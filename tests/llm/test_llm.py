@@ -126,6 +126,19 @@ def test_license_lines_of_rare_words_are_far_from_templates(spark):
     assert [(r.file, r.own_license) for r in licenses.own_licences(files).collect()] == [(2, "Proprietary")]
 
 
+def test_license_files_and_wrapped_headers(spark):
+    full = dict(licenses.full_texts())
+    assert all(len(text) > 900 for text in full.values())
+    wrapped = {100: ("GPL-3.0", "code\n# This work is licensed under the GNU General\n# Public License, version 3.\nmore code"), 101: ("Apache-2.0", "x = 1\n\n# Licensed under the Apache License,\n# Version 2.0.\ny = 2")}
+    rows = [(k, f"d{k}/LICENSE", True, "Copyright (c) 2020 A. Person\nAll rights reserved.\n\n" + full[name]) for k, name in enumerate(licenses.FULL)]
+    rows += [(10 + k, f"d{k}/src/f", False, f"ordinary code {k}") for k in range(len(licenses.FULL))]
+    rows += [(k, f"e/{k}", False, text) for k, (_, text) in wrapped.items()] + [(200 + k, f"g/{k}", False, f"plain line {k}\nof no licence") for k in range(60)]
+    files = spark.createDataFrame(rows, "file long, path string, is_licence_file boolean, text string")
+    got = {r.file: r.license for r in licenses.license_scan(files).collect()}
+    want = {10 * j + k: name for k, name in enumerate(licenses.FULL) for j in (0, 1)} | {k: name for k, (name, _) in wrapped.items()}
+    assert got == want | {200 + k: None for k in range(60)}
+
+
 def test_tokens_equal_the_tokenizer(spark, sf):
     own = tokens.encoder()
     texts = [t for _, t in texts_of(documents(spark, sf))] + [t or "" for _, t in known(odd_rows())] + ["it's  we'LL", "x 　y", "² ½", "tail ", "\ttab"]

@@ -55,6 +55,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def text_parts(batch: pa.RecordBatch, limit: int = 4 << 20):
+    """ids, bytes and offsets of consecutive rows of (doc_id, text) with about ``limit`` bytes, at least one row each."""
+    ids = batch.column(0).to_pylist()
+    data, offsets = text_bytes(batch.column(1))
+    i = 0
+    while i < len(ids):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        yield ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
+
+
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopledger.llm import ctw, decontam, licenses, neardup, packing, quality, suffix, tokencount, tokenio, topk
+from shopledger.llm import align, bytebpe, ctw, decontam, licenses, neardup, packing, quality, runs, suffix, tokencount, tokenio, topk
 from shopledger.session import tune
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -74,3 +74,18 @@ def op9(spark, folder):
 @query("op10_token_matrices")
 def op10(spark, folder):
     return tokenio.packed_matrices(table(spark, folder, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, folder):
+    return runs.run_report(table(spark, folder, "documents"), source=runs.repeated_source)
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12(spark, folder):
+    return align.alignment_report(table(spark, folder, "documents"))
+
+
+@query("op13_byte_bpe_coding")
+def op13(spark, folder):
+    return bytebpe.coding_report(table(spark, folder, "documents"))

@@ -1,5 +1,6 @@
 """Periodic runs, alignment of two tokenizers and byte-level coding against plain versions and the public libraries."""
 
+import bisect
 import collections
 import hashlib
 import os
@@ -30,7 +31,7 @@ def sha(x: str | bytes) -> str:
 @pytest.fixture(scope="module")
 def odd(spark):
     extra = [
-        (40, "la " * 7 + "end", "en", "s", 1, "c", "s", "x"), (41, "a b " * 9, "en", "s", 1, "c", "s", "x"), (42, "x" * 30000 + " " + "ab" * 9000, "en", "s", 1, "c", "s", "x"),
+        (40, "la " * 7 + "end", "en", "s", 1, "c", "s", "x"), (41, "a b " * 9, "en", "s", 1, "c", "s", "x"), (42, "x" * 3000 + " " + "ab" * 900, "en", "s", 1, "c", "s", "x"),
         (43, "I'll we've 'tis don't  a\t\tb \n\n c　d 12x3 ²Ⅷ 漢字\U0001f642!? \x1c\x85", "en", "s", 1, "c", "s", "x"), (44, "x▁y", "en", "s", 1, "c", "s", "x"),
     ]
     return spark.createDataFrame([*odd_rows(), *extra], SCHEMA)
@@ -147,7 +148,7 @@ def plain_alignment(docs):
         groups = [([], []) for _ in cut]
         for side, ids, ends in ((0, a, a_end), (1, b, b_end)):
             for i, e in zip(ids, ends, strict=True):
-                groups[next(k for k in range(len(cut)) if cut[k] >= e) if len(cut) < 60 else int(np.searchsorted(cut, e))][side].append(i)
+                groups[bisect.bisect_left(cut, e)][side].append(i)
         spans = [[(e - len(t[i]), e) for i, e in zip(ids, ends, strict=True)] for t, ids, ends in ((a_bytes, a, a_end), (b_bytes, b, b_end))]
         overlaps, k = 0, 0
         for s, e in spans[0]:

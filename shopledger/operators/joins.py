@@ -12,7 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopledger.session import cut_lineage
+
 MAX_INLINE_ROWS = 10_000
+SMALL_SIDE_ROWS = 100_000
+#: Items of a basket that are paired within one row.
+BLOCK_ITEMS = 512
 
 
 def enrich(df: DataFrame, dims: Sequence[tuple[DataFrame, str]]) -> DataFrame:
@@ -39,6 +44,19 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.select("*", packed.alias("_s")).select(*df.columns, "_s.*")
 
 
+def beside(df: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """Group totals beside the detail rows, null keys included, without moving the detail rows.
+
+    The totals are written and counted; up to SMALL_SIDE_ROWS of them are sent to
+    every executor, more of them are joined on the key, where adaptive execution
+    splits a hot one.
+    """
+    totals = cut_lineage(totals)
+    side = totals.withColumnRenamed(key, "_group")
+    small = totals.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS
+    return df.join(F.broadcast(side) if small else side, df[key].eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def explode_by_dim(df: DataFrame, dim: DataFrame) -> DataFrame:
     """JN-06: one output row per row and dimension member, at any size.
 
@@ -128,17 +146,31 @@ def version_pivot(df: DataFrame, keys: list[str], ver: str, versions: dict[str,
     return df.groupBy(*keys).agg(*aggs)
 
 
-def basket_pairs(items: DataFrame, basket: str = "basket", item: str = "plu", low: int = 2, high: int = 40) -> DataFrame:
-    """JN-15: unordered item pairs of each basket with ``low..high`` items.
+def basket_pairs(items: DataFrame, basket: str = "basket", item: str = "plu", low: int = 2, high: int | None = None, block: int = BLOCK_ITEMS) -> DataFrame:
+    """JN-15: unordered item pairs of each basket with at least ``low`` items, and at most ``high`` if that is given.
 
-    The size window is part of the definition; it is applied before any list is
-    built, so a basket never grows past ``high`` items in one place.
+    A basket of up to ``block`` items is one list, paired within its row. A larger
+    one never becomes a list: its items are dealt into k blocks of about that
+    size by hash, and every cell (i, j) of the triangle i <= j is a key of its own,
+    to which block i comes from the left and block j from the right. A cell makes
+    at most about block x block pairs, so one huge basket spreads over k * (k + 1) / 2 keys.
     """
-    unique = items.select(basket, item).distinct()
-    sizes = unique.groupBy(basket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(low, high)).select(basket)
-    packed = unique.join(sizes, basket, "left_semi").groupBy(basket).agg(F.sort_array(F.collect_list(item)).alias("xs"))
+    unique = items.select(basket, item).dropna().distinct()
+    large = unique.groupBy(basket).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    packed = unique.join(large, basket, "left_anti").groupBy(basket).agg(F.sort_array(F.collect_list(item)).alias("xs"))
+    size = F.size("xs")
+    packed = packed.where(size >= low if high is None else size.between(low, high))
     left = packed.select(basket, "xs", F.posexplode("xs").alias("i", "item_a"))
-    return left.select(basket, "item_a", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("item_b"))
+    small = left.select(basket, "item_a", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("item_b"))
+    if high is not None and high <= block:
+        return small
+    wanted = large.where(F.col("_n") >= low if high is None else F.col("_n").between(low, high))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    dealt = unique.join(wanted, basket).select(basket, item, blocks.alias("_k"), F.pmod(F.xxhash64(item), blocks.cast("bigint")).cast("int").alias("_b"))
+    rows = dealt.select(basket, F.col(item).alias("item_a"), F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.col("_k") - 1)).alias("_j"))
+    columns = dealt.select(basket, F.col(item).alias("item_b"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"))
+    cells = rows.join(columns, [basket, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("item_a") < F.col("item_b")))
+    return small.unionByName(cells.select(basket, F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b")))
 
 
 def scalar_lookup(df: DataFrame, other: DataFrame, key: str, agg: Column, out: str) -> DataFrame:

@@ -19,8 +19,8 @@ def item_counts(items: DataFrame, cutoff: str) -> DataFrame:
     return train.groupBy("plu").agg(F.count("*").alias("baskets"))
 
 
-def pair_counts(items: DataFrame, cutoff: str, low: int = 2, high: int = 40) -> DataFrame:
-    """ML-01: co-occurrence counts of item pairs in baskets before the cutoff."""
+def pair_counts(items: DataFrame, cutoff: str, low: int = 2, high: int | None = None) -> DataFrame:
+    """ML-01: co-occurrence counts of item pairs in baskets before the cutoff, whatever their size."""
     train = items.where(F.col("sale_date") < F.lit(cutoff).cast("date"))
     return basket_pairs(train, "basket", "plu", low, high).groupBy("item_a", "item_b").agg(F.count("*").alias("pair_baskets"))
 

@@ -19,6 +19,9 @@ MAD_SCALE = 1.4826
 Z_FLAG = 3.5
 CONTAMINATION = 0.02
 SAMPLE_ROWS = 256
+#: So many times SAMPLE_ROWS are drawn for a tree on average, so that SAMPLE_ROWS are there in nearly every draw.
+SAMPLE_MARGIN = 1.5
+FOREST_BYTES = 64 << 20
 
 
 def shrink_cells(log: DataFrame, sales: DataFrame, min_sales: float) -> DataFrame:
@@ -79,7 +82,7 @@ def mean_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, c, np.where(n == 2, 1.0, 0.0))
 
 
-def path_scores(x: np.ndarray, trees: list[np.ndarray], sample: int) -> np.ndarray:
+def path_scores(x: np.ndarray, trees: Sequence[np.ndarray], expected: float) -> np.ndarray:
     """Anomaly score of each row: 2 ** (-mean path / expected path)."""
     total = np.zeros(len(x))
     for t in trees:
@@ -96,33 +99,59 @@ def path_scores(x: np.ndarray, trees: list[np.ndarray], sample: int) -> np.ndarr
             at[live] = np.where(right, t[here, 3], t[here, 2]).astype(int)
             depth[live] += 1
         total += depth + mean_path(t[at, 4])
-    return 2.0 ** (-(total / len(trees)) / float(mean_path(sample)))
+    return 2.0 ** (-(total / len(trees)) / max(expected, 1e-9))
 
 
-def iforest(df: DataFrame, feats: Sequence[str], key: Sequence[str], trees: int = 100, seed: int = 42, out: str = "iforest_score") -> DataFrame:
+def tree_samples(clean: DataFrame, cols: Sequence[str], key: Sequence[str], trees: int, seed: int) -> DataFrame:
+    """Rows (tree, h, features): for each tree the rows whose hash for that tree is small, some more than SAMPLE_ROWS.
+
+    One pass and one count; what it gives depends on the number of trees, not on
+    the number of rows.
+    """
+    share = min(1.0, SAMPLE_MARGIN * SAMPLE_ROWS / max(clean.count(), 1))
+    below = F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(*key, F.lit(seed), t).alias("h")))
+    # outer, or the planner would ask for the size of the drawn list once more
+    rows = clean.select(*cols, F.explode_outer(F.filter(drawn, lambda d: d["h"] <= below)).alias("d"))
+    return rows.where("d IS NOT NULL").select("d.tree", "d.h", *cols)
+
+
+def grown_forest(samples: DataFrame, cols: Sequence[str], seed: int) -> DataFrame:
+    """One tree for each group, grown where its sample is: (tree, size, nodes)."""
+    cols = list(cols)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        x = pdf.sort_values(["h", *cols]).head(SAMPLE_ROWS)[cols].to_numpy(dtype=float)
+        limit = int(np.ceil(np.log2(max(len(x), 2))))
+        nodes = np.array(grow_tree(x, np.random.default_rng([seed, tree]), limit), dtype=float)
+        return pd.DataFrame({"tree": [tree], "size": [len(x)], "nodes": [nodes.tobytes()]})
+
+    return samples.groupBy("tree").applyInPandas(grow, "tree int, size int, nodes binary")
+
+
+def iforest(df: DataFrame, feats: Sequence[str], key: Sequence[str], trees: int = 300, seed: int = 42, out: str = "iforest_score") -> DataFrame:
     """ML-11: isolation-forest score.
 
-    Trees need only small samples: the rows with the smallest key hash, at most
-    256 per tree, reach the driver whatever the size of ``df``.  The trees are
-    shipped to the executors, which score every row in Arrow batches.
+    Every tree has its own sample of SAMPLE_ROWS rows, the ones with the smallest
+    hash of key and tree, and is grown in a task of its own. Only the grown
+    forest, at most 2 * SAMPLE_ROWS nodes for each tree, is sent to the
+    executors, which score every row in Arrow batches.
     """
     spark = df.sparkSession
     feats, key = list(feats), list(key)
-    clean = df.select("*", *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(feats)])
+    clean = cut_lineage(df.select("*", *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(feats)]))
     cols = [f"_f{i}" for i in range(len(feats))]
-    h = F.xxhash64(*key)
-    pool = clean.select(h.alias("h"), *cols).orderBy("h", *cols).limit(trees * SAMPLE_ROWS).toPandas()[cols].to_numpy(dtype=float)
-    rng = np.random.default_rng(seed)
-    size = min(SAMPLE_ROWS, len(pool))
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    forest = [np.array(grow_tree(pool[rng.choice(len(pool), size, replace=False)], rng, limit)) for _ in range(trees)]
-    shipped = spark.sparkContext.broadcast((forest, size))
+    forest = grown_forest(tree_samples(clean, cols, key, trees, seed), cols, seed).orderBy("tree").collect()
+    if sum(len(t["nodes"]) for t in forest) > FOREST_BYTES:
+        raise ValueError(f"a forest of {trees} trees is too large to be sent; use fewer")
+    grown = [np.frombuffer(t["nodes"]).reshape(-1, 5) for t in forest]
+    expected = float(np.mean([mean_path(t["size"]) for t in forest])) if forest else 0.0
+    shipped = spark.sparkContext.broadcast((grown, expected))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grown, n = shipped.value
         for pdf in batches:
-            s = path_scores(pdf[cols].to_numpy(dtype=float), grown, n)
-            yield pdf.drop(columns=cols).assign(**{out: s})
+            yield pdf.drop(columns=cols).assign(**{out: path_scores(pdf[cols].to_numpy(dtype=float), *shipped.value)})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return clean.mapInPandas(score, f"{fields}, {out} double")

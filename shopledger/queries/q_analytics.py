@@ -12,6 +12,7 @@ from shopledger.plans import baskets as bk
 from shopledger.plans import demand as dm
 from shopledger.plans import marketing as mk
 from shopledger.plans import pricing as pr
+from shopledger.plans import repeat_buying as rb
 from shopledger.plans import scoring as sc
 from shopledger.plans.customers import ipt_stats
 from shopledger.queries.common import EV, EVENTS, L, LT, LTM, div, fx, m, n
@@ -24,7 +25,7 @@ from shopledger.sources import inputs, retail
 from shopledger.sources.tables import read_table
 
 CUT = "1999-07-01"
-ITEMS = "items AS (SELECT DISTINCT txn_id AS basket, plu, sale_date FROM sales_lines WHERE quantity > 0), train AS (SELECT basket, plu FROM items WHERE sale_date < DATE '1999-07-01'), cnt AS (SELECT plu, count(*) AS baskets FROM train GROUP BY 1), sz AS (SELECT basket FROM train GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40)"
+ITEMS = "items AS (SELECT DISTINCT txn_id AS basket, plu, sale_date FROM sales_lines WHERE quantity > 0), train AS (SELECT basket, plu FROM items WHERE sale_date < DATE '1999-07-01'), cnt AS (SELECT plu, count(*) AS baskets FROM train GROUP BY 1), sz AS (SELECT basket FROM train GROUP BY 1 HAVING count(*) >= 2)"
 
 
 def items(spark, sf):
@@ -180,7 +181,7 @@ def anomaly_features(spark, sf):
 FEATS = ["shrink_rate", "robust_z", "shrink_events", "shrink_units", "top_reason_share", "rate_trend", "excess_shrink_value"]
 
 
-def flagged(spark, sf, trees=100):
+def flagged(spark, sf, trees=300):
     keys = ["store_id", "category", "yyyymm"]
     scored = an.iforest(anomaly_features(spark, sf), FEATS, keys, trees)
     return an.flag_cells(scored)
@@ -226,7 +227,16 @@ def _nll_sql(i, c):
 @query("ml14_likelihood", f"""{LT}, {CHURN}, hist AS (SELECT CAST(bgnbd_frequency AS DOUBLE) AS x, bgnbd_recency / 7.0::DOUBLE AS tx, bgnbd_t / 7.0::DOUBLE AS t FROM churn WHERE as_of = 2451726) {" UNION ALL ".join(_nll_sql(i, c) for i, c in enumerate(CANDS))}""")
 def _(spark, sf):
     c = churn_set(spark, sf).where("as_of = 2451726").select(F.col("bgnbd_frequency").alias("x"), (F.col("bgnbd_recency") / F.lit(7.0)).alias("t_x"), (F.col("bgnbd_t") / F.lit(7.0)).alias("t"))
-    return sc.bgnbd_nll(c, CANDS).select("candidate", fixed(F.col("nll"), 2).alias("nll"))
+    return rb.bgnbd_nll(c, CANDS).select("candidate", fixed(F.col("nll"), 2).alias("nll"))
+
+
+@query("ml14_fitted_lifetimes")
+def _(spark, sf):
+    from shopledger.plans.learning import churn_histories
+
+    fit = rb.bgnbd_fit(churn_histories(churn_set(spark, sf)))
+    row = (*(round(fit.params[p], 3) for p in rb.PARAMS), round(fit.nll, 1), fit.converged, fit.customers)
+    return spark.createDataFrame([row], "r double, alpha double, a double, b double, nll double, converged boolean, customers long")
 
 
 OD = "od AS (SELECT CAST(as_of AS BIGINT) * 10000000000 + customer_id AS id, churn_adaptive AS y, round(overdue_ratio / (1 + overdue_ratio), 4) AS p FROM churn WHERE churn_adaptive IS NOT NULL)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shopledger.functions import fixed
+from shopledger.operators.ordered import exact_quantiles
 from shopledger.plans import demand as dm
 from shopledger.plans import learning as le
 from shopledger.plans import scoring as sc
@@ -15,25 +16,47 @@ from shopledger.queries.q_sales import HOLIDAYS
 from shopledger.queries.q_stores import SDAY, plu_week, po, store_day
 from shopledger.queries.q_windows import store_days
 from shopledger.queries.registry import query
+from shopledger.session import cut_lineage
 from shopledger.sources import retail
+from shopledger.sources.tables import read_table
 
 TRAIN_UNTIL = 2451726  # 2000-06-30
 
 
+def churn_with_segment(spark, sf):
+    """The churn set with the market segment of the customer."""
+    segment = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
+    return churn_set(spark, sf).join(segment, "customer_id", "left")
+
+
 @query("ml13_churn_classifier")
 def _(spark, sf):
-    return le.train_churn(churn_set(spark, sf), TRAIN_UNTIL)[2]
+    return le.train_churn(churn_with_segment(spark, sf), TRAIN_UNTIL, ["segment"])[2]
+
+
+@query("ml13_calibration_by_segment")
+def _(spark, sf):
+    return le.calibration_by(le.train_churn(churn_with_segment(spark, sf), TRAIN_UNTIL, ["segment"])[1], ["segment"])
 
 
 @query("ml19_permutation_importance")
 def _(spark, sf):
-    from shopledger.session import cut_lineage
+    """All features of the forward margin model, scored on a later as-of month than it was fitted on."""
+    table = cut_lineage(le.prepared(clv_set(spark, sf).withColumn("label", F.col("future_margin").cast("double")), le.CLV_NUMS, []))
+    train, later = (table.where(F.col("as_of_seq") == k).select("customer_id", "label", *le.CLV_NUMS) for k in (54, 66))
+    model = le.fitted(train, le.CLV_NUMS, [], "label", False, F.col("customer_id"))
+    return sc.perm_importance(model, later, le.CLV_NUMS, "customer_id", "label").withColumn("error_rise", F.round("error_rise", 4))
 
-    df = clv_set(spark, sf).where("as_of_seq = 54")
-    feats = ["margin_l6", "margin_l12", "sales_l6", "txns_l12", "days_since_last"]
-    table = cut_lineage(le.prepared(df.select("customer_id", "future_margin", *feats), feats, []).withColumn("label", F.col("future_margin").cast("double")))
-    model = le.boosted(feats, [], "label", False, 5).fit(table)
-    return sc.perm_importance(model, table, feats, "customer_id", "label").withColumn("mae_rise", F.round("mae_rise", 4))
+
+@query("ml19_classifier_importance")
+def _(spark, sf):
+    """The same for the activation model, on the last quarter of first purchases."""
+    table = cut_lineage(le.prepared(activation_set(spark, sf).where("activated_90 IS NOT NULL").withColumn("label", F.col("activated_90").cast("double")), le.ACT_NUMS, le.ACT_CATS))
+    split = exact_quantiles(table, "first_jdn", {"q": 0.75}).first()["q"]
+    model = le.fitted(table.where(F.col("first_jdn") < split), le.ACT_NUMS, le.ACT_CATS, "label", True, F.col("customer_id"))
+    feats = [*le.ACT_NUMS, *le.ACT_CATS]
+    later = table.where(F.col("first_jdn") >= split).select("customer_id", "label", *feats)
+    return sc.perm_importance(model, later, feats, "customer_id", "label", classify=True).withColumn("error_rise", F.round("error_rise", 4))
 
 
 @query("ml23_activation_model")
@@ -59,14 +82,33 @@ def _(spark, sf):
 DAY_NUMS = ["lag_14", "lag_21", "lag_28", "lag_364", "roll7", "roll28", "rollstd28", "samedow_mean4", "trend_ratio", "dow", "mo"]
 
 
+REGIME_CUT = 1200
+
+
+def store_day_table(spark, sf, ahead=0):
+    """Features of every store and day, and of ``ahead`` days after the last; the last day's number."""
+    base = F.lit("1995-01-01").cast("date")
+    days = store_days(spark, sf)
+    spine = dm.daily_spine(days, "store_id", "sale_date", ["units"]).select("store_id", "sale_date", "observed", F.col("units").cast("double").alias("u"))
+    end = spine.agg(F.max("sale_date").alias("d")).first()["d"]
+    if ahead:
+        later = spine.select("store_id").distinct().select("store_id", F.explode(F.sequence(F.date_add(F.lit(end), 1), F.date_add(F.lit(end), ahead))).alias("sale_date"), F.lit(False).alias("observed"), F.lit(None).cast("double").alias("u"))
+        spine = spine.unionByName(later)
+    spine = spine.select("store_id", "observed", F.weekday("sale_date").alias("dow"), F.month("sale_date").alias("mo"), F.datediff("sale_date", base).alias("t"), "u")
+    last = spine.where("u IS NOT NULL").agg(F.max("t").alias("t")).first()["t"]
+    return dm.store_day_lags(spine).withColumn("target", F.col("u")), last
+
+
 @query("ml25_store_day_forecast")
 def _(spark, sf):
-    spine = dm.daily_spine(store_days(spark, sf), "store_id", "sale_date", ["units"])
-    base = F.lit("1995-01-01").cast("date")
-    spine = spine.select("store_id", "observed", F.weekday("sale_date").alias("dow"), F.month("sale_date").alias("mo"), F.datediff("sale_date", base).alias("t"), F.col("units").cast("double").alias("u"))
-    f = dm.store_day_lags(spine).withColumn("target", F.col("u"))
-    last = spine.agg(F.max("t").alias("t")).first()["t"]
-    return le.store_day_forecast(f, DAY_NUMS, [], last, 60, 1200, {"lag14": "lag_14", "same_weekday": "samedow_mean4", "roll28": "roll28"})
+    f, last = store_day_table(spark, sf)
+    return le.store_day_forecast(f, DAY_NUMS, [], last, 60, REGIME_CUT, {"lag14": "lag_14", "same_weekday": "samedow_mean4", "roll28": "roll28"})
+
+
+@query("ml25_store_day_forward")
+def _(spark, sf):
+    f, last = store_day_table(spark, sf, ahead=14)
+    return le.store_day_forward(f, DAY_NUMS, [], last, 14, REGIME_CUT).withColumn("predicted_units", F.round("predicted_units", 3))
 
 
 @query("ml26_forward_frame", f"""{L}, {SDAY}, h AS (SELECT store_id, sale_date AS calendar_date, promos_active FROM sd0 JOIN cal ON calendar_date = sale_date), e AS (SELECT max(CAST(o_orderdate AS DATE)) AS e FROM orders), a AS (SELECT store_id, max(calendar_date) AS lst FROM h GROUP BY 1),
@@ -82,7 +124,7 @@ PLU_NUMS = ["lag_2", "lag_4", "lag_8", "lag_13", "roll4", "roll13", "roll13_std"
 
 
 def plu_scored(spark, sf):
-    f = dm.plu_week_lags(plu_week(spark, sf).select("store_id", "plu", "week_seq", "units")).where("roll13 IS NOT NULL")
+    f = dm.plu_week_lags(plu_week(spark, sf).select("store_id", "plu", "week_seq", "units"))
     return le.plu_forecast(f, PLU_NUMS, 300)
 
 
@@ -93,8 +135,6 @@ def _(spark, sf):
 
 @query("ml27_forecast_metrics")
 def _(spark, sf):
-    from shopledger.session import cut_lineage
-
     s = cut_lineage(plu_scored(spark, sf))
     out = None
     for seen in ("Y", "N"):
@@ -118,4 +158,4 @@ def _(spark, sf):
 
 @query("udf02_isolation_forest_flags")
 def _(spark, sf):
-    return flagged(spark, sf, 50).groupBy("flag_source").agg(F.count("*").alias("cells"), F.round(F.avg("iforest_score"), 6).alias("mean_score"))
+    return flagged(spark, sf).groupBy("flag_source").agg(F.count("*").alias("cells"), F.round(F.avg("iforest_score"), 6).alias("mean_score"))

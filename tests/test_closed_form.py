@@ -18,6 +18,7 @@ from shopledger.plans import finance as fi
 from shopledger.plans import lineage as ln
 from shopledger.plans import pages as pg
 from shopledger.plans import pricing as pr
+from shopledger.plans import repeat_buying as rb
 from shopledger.plans import scoring as sc
 from shopledger.plans import semantic as sem
 
@@ -123,7 +124,7 @@ def test_active_intervals_against_brute_force(spark):
 def test_basket_pairs_guard(spark):
     rows = [("small", i) for i in range(3)] + [("huge", i) for i in range(41)] + [("one", 1), ("dup", 5), ("dup", 5), ("dup", 6)]
     df = spark.createDataFrame(rows, "basket string, plu int")
-    got = sorted(tuple(r) for r in jn.basket_pairs(df).collect())
+    got = sorted(tuple(r) for r in jn.basket_pairs(df, high=40).collect())
     assert got == [("dup", 5, 6), ("small", 0, 1), ("small", 0, 2), ("small", 1, 2)]
 
 
@@ -140,7 +141,7 @@ def test_isolation_forest_finds_the_outlier(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (400, 2)))] + [(999, 9.0, -9.0)]
     df = spark.createDataFrame(rows, "id int, a double, b double")
-    got = an.iforest(df, ["a", "b"], ["id"], trees=40).orderBy(F.col("iforest_score").desc()).limit(2).collect()
+    got = an.iforest(df, ["a", "b"], ["id"], trees=100).orderBy(F.col("iforest_score").desc()).limit(2).collect()
     assert got[0].id == 999 and got[0].iforest_score > 0.6
 
 
@@ -172,19 +173,86 @@ def test_regression_metrics(spark):
 
 def test_permutation_keeps_the_values(spark):
     df = spark.createDataFrame([(i, float(i * i)) for i in range(200)], "id long, v double")
-    got = sc.permute_column(df, "id", "v", 3).orderBy("id").collect()
-    assert sorted(r.v for r in got) == [float(i * i) for i in range(200)]
-    assert sum(r.v == r.id**2 for r in got) < 20
+    got = sc.permuted_beside(df.withColumn("w", F.col("v") + 1), "id", ["v", "w"], 3).orderBy("id").collect()
+    assert sorted(r._other.v for r in got) == [float(i * i) for i in range(200)]
+    assert all(r._other.w == r._other.v + 1 for r in got)
+    assert sum(r._other.v == r.id**2 for r in got) < 20
 
 
-def test_likelihood_sums(spark):
-    rows = [(0, 0.0, 10.0), (3, 8.0, 12.0), (3, 8.0, 12.0)]
-    df = spark.createDataFrame(rows, "x int, t_x double, t double")
+def plain_nll(x, tx, t, p):
+    """The published likelihood with gamma functions, one history at a time."""
+    r, alpha, a, b = p
+    beta = lambda u, v: math.lgamma(u) + math.lgamma(v) - math.lgamma(u + v)
+    first = beta(a, b + x) - beta(a, b) + math.lgamma(r + x) - math.lgamma(r) + r * math.log(alpha) - (r + x) * math.log(alpha + t)
+    total = math.exp(first)
+    if x:
+        total += math.exp(beta(a + 1, b + x - 1) - beta(a, b) + math.lgamma(r + x) - math.lgamma(r) + r * math.log(alpha) - (r + x) * math.log(alpha + tx))
+    return -math.log(total)
+
+
+def test_likelihood_and_slopes(spark):
+    rows = [(0, 0.0, 10.0), (3, 8.0, 12.0), (3, 8.0, 12.0), (40, 90.0, 100.0), (1, 2.0, 60.0)]
     par = (0.9, 10.0, 0.7, 3.0)
-    want = -sum(float(sc._loglik(np.array([float(x)]), np.array([a]), np.array([b]), par)[0]) for x, a, b in rows)
-    assert sc.bgnbd_nll(df, [par]).first().nll == pytest.approx(want)
-    fitted, nll = sc.bgnbd_fit(df, rounds=3)
-    assert nll <= sc.bgnbd_nll(df, [(1.0, 10.0, 1.0, 3.0)]).first().nll and set(fitted) == {"r", "alpha", "a", "b"}
+    x, tx, t = (np.array(c) for c in zip(*rows, strict=True))
+    got = rb.negative_log_likelihood(x, tx, t, np.ones(5), par)
+    assert got[0] == pytest.approx(sum(plain_nll(*row, par) for row in rows))
+    for k in range(4):
+        up, down = (tuple(v + (d if j == k else 0) for j, v in enumerate(par)) for d in (1e-5, -1e-5))
+        slope = sum(plain_nll(*row, up) - plain_nll(*row, down) for row in rows) / 2e-5
+        assert got[1 + k] == pytest.approx(slope, rel=1e-4)
+    df = spark.createDataFrame(rows, "x int, t_x double, t double")
+    assert rb.bgnbd_nll(df, [par]).first().nll == pytest.approx(got[0])
+    none = rb.bgnbd_fit(df.limit(0))
+    assert none.customers == 0 and none.converged
+
+
+def test_fit_recovers_simulated_customers(spark):
+    rng = np.random.default_rng(11)
+    want = {"r": 0.8, "alpha": 6.0, "a": 0.8, "b": 2.5}
+    rows = []
+    for _ in range(12000):
+        rate, leave, t = rng.gamma(want["r"], 1 / want["alpha"]), rng.beta(want["a"], want["b"]), float(rng.integers(40, 100))
+        x, at, last = 0, 0.0, 0.0
+        while True:
+            at += rng.exponential(1 / max(rate, 1e-12))
+            if at > t:
+                break
+            x, last = x + 1, at
+            if rng.random() < leave:
+                break
+        rows.append((x, last, t))
+    df = spark.createDataFrame(rows, "x int, t_x double, t double")
+    fit = rb.bgnbd_fit(df)
+    assert fit.converged and fit.slope <= 1e-6 and fit.customers == 12000 and fit.rounds < 60
+    assert fit.nll <= rb.bgnbd_nll(df, [tuple(want.values())]).first().nll
+    for name, value in want.items():
+        assert fit.params[name] == pytest.approx(value, rel=0.25), name
+
+
+def test_pairs_of_a_basket_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, int(i)) for i in range(5000)] + [(2, int(i)) for i in rng.choice(5000, 700, replace=False)] + [(3, 7), (3, 7), (3, 9), (4, 1), (None, 3), (None, 4), (5, None), (5, 2)]
+    df = spark.createDataFrame(rows, "basket int, plu int")
+    pairs = jn.basket_pairs(df)
+    assert pairs.where("item_a >= item_b").count() == 0
+    counts = {r.basket: r.n for r in pairs.groupBy("basket").agg(F.countDistinct("item_a", "item_b").alias("d"), F.count("*").alias("n")).where("n = d").collect()}
+    assert counts == {1: 5000 * 4999 // 2, 2: 700 * 699 // 2, 3: 1}
+    small = df.where("basket IN (2, 3) OR plu < 60")
+    want = sorted((r.basket, a, b) for r in small.dropna().groupBy("basket").agg(F.sort_array(F.collect_set("plu")).alias("xs")).collect() for k, a in enumerate(r.xs) for b in r.xs[k + 1 :])
+    for block in (3, 40, 1000):
+        assert sorted(map(tuple, jn.basket_pairs(small, block=block).collect())) == want
+    assert {r.basket for r in jn.basket_pairs(df, low=2, high=40).select("basket").distinct().collect()} == {3}
+    assert {r.basket for r in jn.basket_pairs(df, low=3, high=800).select("basket").distinct().collect()} == {2}
+
+
+def test_no_cell_of_a_large_basket_is_large(spark):
+    """5,000 items in blocks of 100: every key of the join has about 100 rows on each side."""
+    df = spark.range(5000).select(F.lit(1).alias("basket"), F.col("id").alias("plu"))
+    pairs = jn.basket_pairs(df, block=100)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "_i" in plan and "_j" in plan
+    blocks = df.groupBy(F.pmod(F.xxhash64("plu"), F.lit(50))).count().agg(F.max("count")).first()[0]
+    assert blocks < 200 and pairs.count() == 5000 * 4999 // 2
 
 
 def test_source_tables(spark):

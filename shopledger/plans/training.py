@@ -8,43 +8,76 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopledger.functions import money, pct, safe_div
-from shopledger.operators.joins import asof_snapshots, lookback_join
+from shopledger.operators.joins import lookback_join
 from shopledger.operators.windows import nth
-from shopledger.plans.customers import horizon, purchase_days
+from shopledger.plans.customers import horizon
+from shopledger.session import cut_lineage
 
 ONE = "*"
 
 
+def customer_days(txn: DataFrame) -> DataFrame:
+    """One row per customer and day with everything the churn set sums; ``baskets`` and ``day_value`` count regular sales only."""
+    sale = F.col("txn_type") == "Regular Sale"
+    return txn.groupBy("customer_id", "jdn").agg(
+        F.count_if(sale).alias("baskets"), F.sum(F.when(sale, F.col("basket_value"))).alias("day_value"), F.count(ONE).alias("txns"), F.count_if(F.col("txn_type") == "Regular Return").alias("returns"),
+        F.sum("basket_margin").alias("margin"), F.sum("promo_value").alias("promo"), F.sum("discount_total").alias("discount"), F.count_if(F.col("channel") == "Delivery").alias("ecommerce"),
+        F.sum("basket_items").alias("items"), F.count_if(F.weekday("sale_date") >= 5).alias("weekend_txns"),
+    )
+
+
+def asof_states(days: DataFrame, cutoffs: Sequence[int]) -> DataFrame:
+    """What each customer's whole history says at each cutoff, from states that are carried on.
+
+    A day belongs to one segment, the one that ends with the first cutoff on or
+    after it. Segments are summed, sums run over the customer's segments, and a
+    state stands for every cutoff until the next segment, so no day is copied.
+    Gaps of a segment travel as one list; the exact median is read from the lists so far.
+    """
+    cuts = sorted(cutoffs)
+    by_day = Window.partitionBy("customer_id").orderBy("jdn")
+    marks = F.array(*[F.lit(c) for c in cuts])
+    seg = F.size(F.filter(marks, lambda c: c < F.col("jdn")))
+    rows = days.select("customer_id", "jdn", "baskets", "day_value", (F.col("jdn") - F.lag("jdn").over(by_day)).alias("gap"), F.lead("jdn").over(by_day).alias("next_jdn"), seg.alias("seg"))
+    parts = rows.where(F.col("seg") < len(cuts)).groupBy("customer_id", "seg").agg(
+        F.count(ONE).alias("d"), F.sum("baskets").alias("b"), F.sum("day_value").alias("v"), F.min("jdn").alias("lo"), F.max("jdn").alias("hi"), F.collect_list("gap").alias("gaps"), F.sum("gap").alias("g"),
+        F.count("gap").alias("n"), F.max("gap").alias("most"), F.max_by("gap", "jdn").alias("ipt_last_asof"), F.max_by("next_jdn", "jdn").alias("next_jdn"),
+    )
+    by_seg = Window.partitionBy("customer_id").orderBy("seg")
+    so_far = by_seg.rowsBetween(Window.unboundedPreceding, 0)
+    state = parts.select(
+        "customer_id", "seg", F.coalesce(F.lead("seg").over(by_seg), F.lit(len(cuts))).alias("until"), F.sum("d").over(so_far).alias("purchase_days_asof"), F.sum("b").over(so_far).alias("baskets_asof"),
+        F.sum("v").over(so_far).alias("sales_asof"), F.min("lo").over(so_far).alias("first_jdn"), F.col("hi").alias("last_jdn"), F.array_sort(F.flatten(F.collect_list("gaps").over(so_far))).alias("gaps"),
+        (F.sum("g").over(so_far) / F.sum("n").over(so_far)).alias("mean"), F.max("most").over(so_far).alias("ipt_max_asof"), "ipt_last_asof", "next_jdn",
+    ).where("purchase_days_asof >= 2")
+    n = F.size("gaps")
+    middle = (F.get("gaps", F.floor((n - 1) / 2).cast("int")) + F.get("gaps", F.floor(n / 2).cast("int"))) / F.lit(2.0)
+    each = F.explode(F.sequence("seg", F.col("until") - 1))
+    return state.withColumn("median", middle).drop("gaps").withColumn("_at", each).withColumn("as_of", F.get(marks, F.col("_at"))).drop("_at", "seg", "until")
+
+
 def churn_training(txn: DataFrame, cutoffs: Sequence[int], scoring: int, max_jdn: Column) -> DataFrame:
     """MRT-14: stacked snapshots with features from on or before each cutoff
     and labels from strictly after it.
 
-    Cutoffs are a handful of constants, so each customer-day meets them by
-    filtering an array; no join is needed and nothing is broadcast.
+    Transactions are summed to customer-days once. The whole history comes from
+    states that are carried from cutoff to cutoff; only days of the last 180 days
+    before a cutoff meet it by themselves.
     """
-    w = Window.partitionBy("customer_id").orderBy("jdn")
-    days = purchase_days(txn).withColumn("gap", F.col("jdn") - F.lag("jdn").over(w)).withColumn("next_jdn", F.lead("jdn").over(w))
+    days = cut_lineage(customer_days(txn))
     j, a, v = F.col("jdn"), F.col("as_of"), F.col("day_value")
     zero = F.lit(0).cast("decimal(28,4)")
-    within = lambda n: F.sum(F.when(j > a - n, v).otherwise(zero))
-    base = asof_snapshots(days, cutoffs, "jdn").groupBy("as_of", "customer_id").agg(
-        F.count(ONE).alias("purchase_days_asof"), F.sum("baskets").alias("baskets_asof"), F.sum("day_value").alias("sales_asof"),
-        F.min("jdn").alias("first_jdn"), F.max("jdn").alias("last_jdn"),
-        F.percentile("gap", F.lit(0.5)).alias("median"), F.avg("gap").alias("mean"), F.max("gap").alias("ipt_max_asof"),
-        F.max_by("gap", "jdn").alias("ipt_last_asof"), F.max_by("next_jdn", "jdn").alias("next_jdn"),
-        F.count_if(j > a - 30).alias("purchase_days_l30"), F.count_if(j > a - 90).alias("purchase_days_l90"),
-        F.count_if(j > a - 180).alias("purchase_days_l180"), F.count_if((j > a - 180) & (j <= a - 90)).alias("purchase_days_prior90"),
-        within(30).alias("sales_l30"), within(90).alias("sales_l90"), within(180).alias("sales_l180"),
-        F.sum(F.when((j > a - 180) & (j <= a - 90), v).otherwise(zero)).alias("sales_prior90"),
-    ).where("purchase_days_asof >= 2")
+    sale = F.col("baskets") > 0
+    prior = (j > a - 180) & (j <= a - 90)
+    within = lambda cond: F.sum(F.when(cond & sale, v).otherwise(zero))
     # every transaction type counts in the basket behaviour block
-    recent = lookback_join(txn, cutoffs, "jdn", 180).groupBy("as_of", "customer_id").agg(
-        F.count(ONE).alias("txns_l180"), F.count_if(F.col("txn_type") == "Regular Return").alias("returns_l180"),
-        F.sum("basket_margin").alias("margin_l180"), F.sum("promo_value").alias("promo_l180"), F.sum("discount_total").alias("discount_l180"),
-        F.count_if(F.col("channel") == "Delivery").alias("ecommerce_l180"), F.sum("basket_items").alias("items_l180"),
-        F.count_if(F.weekday("sale_date") >= 5).alias("weekend_txns_l180"),
+    recent = lookback_join(days, cutoffs, "jdn", 180).groupBy("as_of", "customer_id").agg(
+        *[F.count_if(sale & (j > a - n)).alias(f"purchase_days_l{n}") for n in (30, 90, 180)], F.count_if(sale & prior).alias("purchase_days_prior90"),
+        *[within(j > a - n).alias(f"sales_l{n}") for n in (30, 90, 180)], within(prior).alias("sales_prior90"),
+        F.sum("txns").alias("txns_l180"), F.sum("returns").alias("returns_l180"), F.sum("margin").alias("margin_l180"), F.sum("promo").alias("promo_l180"), F.sum("discount").alias("discount_l180"),
+        F.sum("ecommerce").alias("ecommerce_l180"), F.sum("items").alias("items_l180"), F.sum("weekend_txns").alias("weekend_txns_l180"),
     )
-    h = base.join(recent, ["as_of", "customer_id"], "left")
+    h = asof_states(days.where(sale), cutoffs).join(recent, ["as_of", "customer_id"], "left")
     silent, hz, nxt = F.col("days_since_last"), F.col("churn_horizon_days"), F.col("next_purchase_days")
     h = (
         h.withColumn("churn_horizon_days", horizon(F.col("median")))
@@ -63,8 +96,8 @@ def churn_training(txn: DataFrame, cutoffs: Sequence[int], scoring: int, max_jdn
         "purchase_days_asof", "baskets_asof", money(F.col("sales_asof")).alias("sales_asof"), "tenure_days", "days_since_last",
         F.round("median", 1).alias("ipt_median_asof"), F.round("mean", 4).alias("ipt_mean_asof"), "ipt_max_asof", "ipt_last_asof",
         F.round(silent.cast("double") / F.greatest(F.lit(1.0), F.col("median")), 6).alias("overdue_ratio"), "churn_horizon_days",
-        "purchase_days_l30", "purchase_days_l90", "purchase_days_l180", "purchase_days_prior90",
-        *[money(F.col(c)).alias(c) for c in ("sales_l30", "sales_l90", "sales_l180", "sales_prior90")],
+        *[zint(c) for c in ("purchase_days_l30", "purchase_days_l90", "purchase_days_l180", "purchase_days_prior90")],
+        *[zmon(c) for c in ("sales_l30", "sales_l90", "sales_l180", "sales_prior90")],
         safe_div(F.col("purchase_days_l90"), F.col("purchase_days_prior90"), 6).alias("trend_ratio_l90"),
         safe_div(F.col("sales_asof"), F.col("baskets_asof"), 2).alias("avg_basket_asof"),
         (F.col("purchase_days_asof") - 1).alias("bgnbd_frequency"), (F.col("last_jdn") - F.col("first_jdn")).alias("bgnbd_recency"), (a - F.col("first_jdn")).alias("bgnbd_t"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopledger.functions import nonzero, pct
+from shopledger.operators.joins import beside
 from shopledger.operators.ordered import exact_ntile
 
 
@@ -48,10 +49,10 @@ def rank_groups(df: DataFrame, group: list[str], within: list[str], measure: Col
 
 
 def over_class(df: DataFrame, cls: str, value: str) -> DataFrame:
-    """WIN-07: class count, class total and class share next to the detail row."""
+    """WIN-07: class count, class total and class share next to the detail row, which stays where it is."""
     per = df.groupBy(cls).agg(F.count(F.lit(1)).alias("class_rows"), F.sum(value).alias("class_total"))
     total = df.agg(F.sum(value).alias("t")).scalar()
-    return df.join(per, cls).withColumn("class_share_pct", pct(F.col("class_total"), total))
+    return beside(df, per, cls).withColumn("class_share_pct", pct(F.col("class_total"), total))
 
 
 def running_sum(df: DataFrame, keys, t: str, col: str, out: str) -> DataFrame:

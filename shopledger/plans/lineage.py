@@ -22,7 +22,9 @@ def source_tables(df: DataFrame, asset: str, sql: str) -> DataFrame:
     )
     d = df.select(asset, words.alias("_w")).select(asset, heads.alias("_h"))
     doubt = F.when(F.exists("_h", lambda h: h["name"] == "("), "inferred").otherwise("parsed")
-    d = d.select(asset, doubt.alias("confidence"), F.explode("_h").alias("_h"))
+    d = d.select(asset, doubt.alias("confidence"), F.explode_outer("_h").alias("_h"))
+    # an outer explode, whose null names the next filter drops: a plain one lets the planner ask for the
+    # size of the list below the projection, where the pattern would run again for every word
     low = F.lower("_h.name")
     named = d.where(F.col("_h.name").rlike("^[A-Za-z_]") & ~low.isin(NOISE))
     # the first spelling of a name stands for it

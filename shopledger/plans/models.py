@@ -55,6 +55,16 @@ def pos_model() -> Model:
         return f"count(DISTINCT CASE WHEN transaction_type = '{kind}' THEN transaction_unique_id END)"
 
     tx = "count(DISTINCT transaction_unique_id)"
+    # how the measures with distinct counts are made, each count at its own grain
+    every = {"tx": ("transaction_unique_id", "true")}
+    of_kind = {k: ("transaction_unique_id", f"transaction_type = '{kind}'") for k, kind in (("sale", "Regular Sale"), ("back", "Regular Return"), ("void", "Post Void TX"))}
+    split = {
+        "total_transactions": {"formula": "tx", "distinct": every}, "avg_basket_size": {"formula": "CAST(revenue AS double) / tx", "plain": {"revenue": "sum(selling_price)"}, "distinct": every},
+        "total_unique_customers": {"formula": "buyers", "distinct": {"buyers": ("customer_number", "true")}},
+        "void_transaction_count": {"formula": "void", "distinct": {"void": of_kind["void"]}}, "return_transaction_count": {"formula": "back", "distinct": {"back": of_kind["back"]}},
+        "avg_items_per_transaction": {"formula": "n / nullif(CAST(tx AS double), 0.0D)", "plain": {"n": "count(*)"}, "distinct": every},
+        "return_rate": {"formula": "back * 100.0D / nullif(sale, 0)", "distinct": {k: of_kind[k] for k in ("back", "sale")}}, "void_rate": {"formula": "void * 100.0D / nullif(sale, 0)", "distinct": {k: of_kind[k] for k in ("void", "sale")}},
+    }
     for name, expr, unit in (
         ("price_reduction_amount", "sum(pricebook_regular_price) - sum(selling_price)", "CAD"), ("total_transactions", tx, "transactions"), ("total_quantity", "sum(quantity)", "units"),
         ("total_original_revenue", "sum(original_selling_price)", "CAD"), ("gross_profit", "sum(selling_price) - sum(cost)", "CAD"), ("total_subsidy", "sum(subsidy)", "CAD"),
@@ -68,7 +78,7 @@ def pos_model() -> Model:
         ("total_pricebook_regular_revenue", "sum(pricebook_regular_price)", "CAD"), ("avg_items_per_transaction", f"count(*) / nullif(CAST({tx} AS double), 0.0D)", "items"),
         ("return_rate", f"{distinct_of('Regular Return')} * 100.0D / nullif({distinct_of('Regular Sale')}, 0)", "%"), ("void_rate", f"{distinct_of('Post Void TX')} * 100.0D / nullif({distinct_of('Regular Sale')}, 0)", "%"),
     ):
-        m.measure(name, expr, unit)
+        m.measure(name, expr, unit, **split.get(name, {}))
     by_month = (*BY_STORE, "transaction_month")
     by_site = ("store_name", "store_number", "store_province", "store_region", "transaction_year")
     by_item = ("plu", "product_description", "store_region", "transaction_year")

@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopledger.functions import fixed, pct
+from shopledger.operators.joins import with_scalars
 
 GRAINS = ("day", "week", "month", "quarter", "year")
 
@@ -28,9 +30,16 @@ class Dimension:
 
 @dataclass(frozen=True)
 class Measure:
+    """An aggregate as SQL text. One with distinct counts may also say how it is
+    made: a formula over named parts, plain aggregates and distinct counts
+    (key, condition)."""
+
     name: str
     expr: str
     unit: str = ""
+    formula: str = ""
+    plain: tuple[tuple[str, str], ...] = ()
+    distinct: tuple[tuple[str, str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -62,9 +71,15 @@ class Model:
         self.dimensions[name] = Dimension(name, expr or name, kind, tuple(grains))
         return self
 
-    def measure(self, name: str, expr: str, unit: str = "") -> Model:
-        """SEM-02, UDF-01: an aggregate given as SQL text."""
-        self.measures[name] = Measure(name, expr, unit)
+    def measure(self, name: str, expr: str, unit: str = "", formula: str = "", plain: dict[str, str] | None = None, distinct: dict[str, tuple[str, str]] | None = None) -> Model:
+        """SEM-02, UDF-01: an aggregate given as SQL text.
+
+        Distinct counts beside other aggregates copy every row when they are planned
+        as one aggregate. With ``formula``, ``plain`` (part -> aggregate) and
+        ``distinct`` (part -> (key, condition)) they are counted at their own grain.
+        """
+        parts = tuple((k, key, condition) for k, (key, condition) in (distinct or {}).items())
+        self.measures[name] = Measure(name, expr, unit, formula, tuple((plain or {}).items()), parts)
         return self
 
     def metric(self, name: str, measure: str, by: Sequence[str] = (), filters: Sequence[str] = (), grains: Sequence[str] = GRAINS, unit: str = "") -> Model:
@@ -137,8 +152,51 @@ def metric(
     keys = [F.expr(model.dimensions[b].expr).alias(b) for b in by]
     if grain:
         keys.append(F.date_trunc(grain, F.expr(model.time)).cast("date").cast("string").alias(grain))
-    value = F.expr(model.measures[m.measure].expr).cast("double").alias(out)
-    return df.groupBy(*keys).agg(value) if keys else df.agg(value)
+    return measured(df, model, [m.measure], keys).withColumn(m.measure, F.col(m.measure).cast("double")).withColumnRenamed(m.measure, out)
+
+
+def measured(df: DataFrame, model: Model, names: Sequence[str], keys: Sequence[Column] = ()) -> DataFrame:
+    """SEM-02: several measures by the same groups, each part at its own grain.
+
+    Plain aggregates take one pass. Distinct counts are first brought to one row
+    for each group and counted value, with a flag for each condition, and then
+    counted, so a row is never copied; one such pass serves all counts of a key.
+    The results meet on the group keys.
+    """
+    wanted = [model.measures[n] for n in names]
+    keyed = df.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    groups = [f"_k{i}" for i in range(len(keys))]
+    plain = {f"{x.name}__{part}" if x.formula else x.name: text for x in wanted for part, text in (x.plain if x.formula else ((x.name, x.expr),))}
+    counts: dict[str, list[tuple[str, str]]] = {}
+    for x in wanted:
+        for part, key, condition in x.distinct:
+            counts.setdefault(key, []).append((f"{x.name}__{part}", condition))
+    sides = [keyed.groupBy(*groups).agg(*[F.expr(text).alias(name) for name, text in plain.items()])] if plain else []
+    for key, parts in counts.items():
+        value = F.expr(key)
+        per = keyed.where(value.isNotNull()).groupBy(*groups, value.alias("_v")).agg(*[F.max(F.expr(condition)).alias(name) for name, condition in parts])
+        sides.append(per.groupBy(*groups).agg(*[F.count_if(name).alias(name) for name, _ in parts]))
+    out, zero = sides[0], [name for parts in counts.values() for name, _ in parts]
+    for i, side in enumerate(sides[1:]):
+        if not groups:
+            out = with_scalars(out, side)
+            continue
+        side = side.select(*[F.col(g).alias(f"{g}_{i}") for g in groups], *[c for c in side.columns if c not in groups])
+        same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"{g}_{i}")) for g in groups])
+        out = out.join(side, same, "full")
+        out = out.select(*[F.coalesce(F.col(g), F.col(f"{g}_{i}")).alias(g) for g in groups], *[c for c in out.columns if c not in groups and not c.startswith("_k")])
+    out = out.select(*[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) if c in zero else F.col(c) for c in out.columns])
+
+    def value_of(x: Measure) -> Column:
+        if not x.formula:
+            return F.col(x.name)
+        text = x.formula
+        for part in [p[0] for p in (*x.plain, *x.distinct)]:
+            text = re.sub(rf"\b{part}\b", f"`{x.name}__{part}`", text)
+        return F.expr(text).alias(x.name)
+
+    labels = keyed.select(*keys).columns if keys else []
+    return out.select(*[F.col(g).alias(label) for g, label in zip(groups, labels, strict=True)], *[value_of(x) for x in wanted])
 
 
 def ratio_metric(a: DataFrame, b: DataFrame, keys: Sequence[str], scale: int = 4, factor: float = 1.0, out: str = "value") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopledger.functions import ceil_to, fixed, money, pct, safe_div
 from shopledger.operators.aggregates import argmax_of
-from shopledger.operators.joins import below_group_mean, theta_count
+from shopledger.operators.joins import below_group_mean, beside, theta_count
 from shopledger.operators.reshape import union_all
 
 ONE = "*"
@@ -182,7 +182,7 @@ def density(blocks: DataFrame, groups: DataFrame, cuts: list[tuple[float, str]],
     d = g.withColumn("density", F.col("population").cast("double") / (F.col("aland").cast("double") / F.lit(1000000.0)))
     d = d.withColumn("density_class", band(F.col("density"), cuts, default))
     per = d.groupBy("density_class").agg(F.count(ONE).alias("class_groups"), F.sum("population").alias("class_population"))
-    return d.join(per, "density_class").select("group_id", "population", fixed(F.col("density"), 4).alias("density"), "density_class", "class_groups", "class_population")
+    return beside(d, per, "density_class").select("group_id", "population", fixed(F.col("density"), 4).alias("density"), "density_class", "class_groups", "class_population")
 
 
 def county_stats(groups: DataFrame, blocks: DataFrame) -> DataFrame:

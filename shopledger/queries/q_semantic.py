@@ -37,11 +37,9 @@ def _(spark, sf):
 {fx('(CAST(sum(sales) AS DOUBLE) / CAST(count(DISTINCT txn_id) AS DOUBLE))', 4)} AS avg_basket_size, count(DISTINCT CASE WHEN txn_type = 'Post Void TX' THEN txn_id END) AS void_transaction_count, {m('sum(discount)')} AS total_discount, {m('sum(CAST(discount * 0.1 AS DECIMAL(18,4)))')} AS total_subsidy FROM lines GROUP BY 1""")
 def _(spark, sf):
     model = md.pos_model()
-    x = lambda k: F.expr(model.measures[k].expr)
-    return model.rows(spark, sf).groupBy("store_region").agg(
-        x("total_transactions").alias("total_transactions"), *[money(x(k)).alias(k) for k in ("total_revenue", "gross_profit", "price_reduction_amount", "total_discount", "total_subsidy")],
-        fixed(x("avg_basket_size"), 4).alias("avg_basket_size"), x("void_transaction_count").alias("void_transaction_count"),
-    )
+    sums = ("total_revenue", "gross_profit", "price_reduction_amount", "total_discount", "total_subsidy")
+    out = sem.measured(model.rows(spark, sf), model, ["total_transactions", *sums, "avg_basket_size", "void_transaction_count"], [F.col("store_region")])
+    return out.select("store_region", "total_transactions", *[money(F.col(k)).alias(k) for k in sums], fixed(F.col("avg_basket_size"), 4).alias("avg_basket_size"), "void_transaction_count")
 
 
 @query("sem03_metric_by_grain", f"{L} SELECT region AS store_region, CAST(CAST(date_trunc('quarter', sale_date) AS DATE) AS VARCHAR) AS quarter, {fx('CAST(sum(sales) AS DOUBLE)')} AS value FROM sales_lines GROUP BY 1, 2")

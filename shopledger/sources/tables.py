@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopledger.functions import finite
+from shopledger.session import cut_lineage
+
+VERSION = "version-"
+#: Size of a bucket as written, and the fewest buckets of a table.
+BUCKET_BYTES, LEAST_BUCKETS = 128 << 20, 8
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,19 +51,73 @@ def typed_from_staging(df: DataFrame, types: dict[str, str]) -> DataFrame:
     )
 
 
-def rebuild(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """SRC-04: idempotent full refresh of a parquet table."""
-    writer = df.write.mode("overwrite")
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of paths below it."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    return path_of(path).getFileSystem(spark._jsc.hadoopConfiguration()), path_of
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions of a rebuilt table, in order; one that was not written to its end does not count."""
+    files, path_of = _files(spark, path)
+    if not files.exists(path_of(path)):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path_of(path)) if s.isDirectory()]
+    numbers = sorted(int(n.removeprefix(VERSION)) for n in names if n.startswith(VERSION))
+    return [n for n in numbers if files.exists(path_of(f"{path}/{VERSION}{n}/_SUCCESS"))]
+
+
+def read_rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-04: the newest finished version of a rebuilt table; what is read stays that version."""
+    known = versions(spark, path)
+    if not known:
+        raise FileNotFoundError(f"{path} has no finished version")
+    return spark.read.parquet(f"{path}/{VERSION}{known[-1]}")
+
+
+def rebuild(df: DataFrame, path: str, partition_by: list[str] | None = None, keep: int = 2) -> DataFrame:
+    """SRC-04: idempotent full refresh of a parquet table, seen whole or not at all.
+
+    The new version is written beside the old one and counts from the moment its
+    commit mark is there. ``df`` may read the table itself; a write that fails
+    leaves the old version, and readers of it go on. The newest ``keep`` versions stay;
+    two writers that take the same number do not mix, as the second one fails.
+    """
+    spark = df.sparkSession
+    known = versions(spark, path)
+    files, path_of = _files(spark, path)
+    taken = [int(s.getPath().getName().removeprefix(VERSION)) for s in files.listStatus(path_of(path)) if s.getPath().getName().startswith(VERSION)] if files.exists(path_of(path)) else []
+    number = max(taken, default=0) + 1
+    writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int = 16) -> DataFrame:
-    """SRC-05: hash-bucketed, sorted table, so joins on ``key`` need no shuffle."""
+    writer.parquet(f"{path}/{VERSION}{number}")
+    for old in known[: max(0, len(known) + 1 - max(keep, 1))]:
+        files.delete(path_of(f"{path}/{VERSION}{old}"), True)
+    return spark.read.parquet(f"{path}/{VERSION}{number}")
+
+
+def measured_buckets(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written once, and a power of two of buckets of about BUCKET_BYTES by what was written."""
+    cut = cut_lineage(df)
+    files, path_of = _files(df.sparkSession, cut.inputFiles()[0]) if cut.inputFiles() else (None, None)
+    size = sum(files.getFileStatus(path_of(f)).getLen() for f in cut.inputFiles()) if files else 0
+    return cut, max(LEAST_BUCKETS, 1 << max(0, -(-size // BUCKET_BYTES) - 1).bit_length())
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """SRC-05: hash-bucketed, sorted table, so joins on ``key`` need no shuffle.
+
+    Rows are dealt by the key before the write, so each bucket is one file. The
+    number of buckets follows the size of the rows unless it is given; it is a
+    power of two, and a session that ``session.tune`` has set reads the finer
+    table of a join in the coarser one's buckets.
+    """
+    if buckets is None:
+        df, buckets = measured_buckets(df)
     (
-        df.write.mode("overwrite")
+        df.repartition(buckets, key)
+        .write.mode("overwrite")
         .format("parquet")
         .bucketBy(buckets, key)
         .sortBy(key)

@@ -61,6 +61,38 @@ def hidden_items(items: DataFrame, cutoff: str, salt: str = "hide") -> DataFrame
     return test.join(pick.select("basket", F.col("p.plu").alias("target")), "basket")
 
 
+def shared_sets(visible: DataFrame) -> DataFrame:
+    """(basket, rep): baskets that show the same items share ``rep``, the smallest of them.
+
+    A set is named by its size and two sums of item hashes, which no task needs
+    the whole set for.
+    """
+    name = [F.sum(F.xxhash64(F.lit(salt), "plu").cast("decimal(38,0)")).alias(f"_s{salt}") for salt in (1, 2)]
+    sets = visible.groupBy("basket").agg(F.count("*").alias("_s0"), *name)
+    keys = ["_s0", "_s1", "_s2"]
+    return sets.join(sets.groupBy(*keys).agg(F.min("basket").alias("rep")), keys).select("basket", "rep")
+
+
+def target_ranks(visible: DataFrame, scores: DataFrame) -> DataFrame:
+    """(basket, rank) of the target among all items that the visible ones point to; baskets whose target nothing points to are left out.
+
+    ``visible`` has basket, plu, target. The target's own score is one join on
+    (visible item, target). Companions are ranked once for each different set of
+    visible items that has a target with a score, and only counted above it.
+    """
+    pairs = scores.select("plu", "rec_plu", "cosine")
+    own = visible.join(pairs.withColumnRenamed("rec_plu", "target"), ["plu", "target"]).groupBy("basket", "target").agg(F.sum("cosine").alias("own"))
+    own = cut_lineage(own)
+    wanted = cut_lineage(shared_sets(visible.join(own.select("basket"), "basket", "left_semi")))
+    asked = own.join(wanted, "basket")
+    members = visible.join(wanted.where("basket = rep").select("basket"), "basket", "left_semi").select(F.col("basket").alias("rep"), "plu")
+    cand = members.join(pairs, "plu").groupBy("rep", "rec_plu").agg(F.sum("cosine").alias("score"))
+    cand = cand.join(members.withColumnRenamed("plu", "rec_plu"), ["rep", "rec_plu"], "left_anti")
+    above = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("rec_plu") < F.col("target")))
+    ranks = cand.join(asked.select("rep", "target", "own").distinct(), "rep").groupBy("rep", "target").agg((F.count_if(above) + 1).alias("rank"))
+    return asked.join(ranks, ["rep", "target"]).select("basket", "rank")
+
+
 def evaluate_reco(items: DataFrame, scores: DataFrame, counts: DataFrame, cutoff: str) -> DataFrame:
     """ML-04: leave-one-out hit@k and MRR of the cosine scorer against popularity.
 
@@ -68,15 +100,11 @@ def evaluate_reco(items: DataFrame, scores: DataFrame, counts: DataFrame, cutoff
     read from one rank per item, less the visible items that rank higher.
     """
     flagged = cut_lineage(hidden_items(items, cutoff))
-    counts = cut_lineage(counts)
+    counts, scores = cut_lineage(counts), cut_lineage(scores)
     visible = flagged.where("plu <> target")
     targets = flagged.where("plu = target").select("basket", "target")
     n_items = counts.agg(F.count("*").alias("n")).scalar()
-    cand = visible.join(scores.select("plu", "rec_plu", "cosine"), "plu").groupBy("basket", "target", "rec_plu").agg(F.sum("cosine").alias("score"))
-    cand = cand.join(visible.select("basket", F.col("plu").alias("rec_plu")), ["basket", "rec_plu"], "left_anti")
-    hit = cand.where("rec_plu = target").select("basket", F.col("score").alias("own"))
-    above = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("rec_plu") < F.col("target")))
-    rank = cand.join(hit, "basket").groupBy("basket").agg((F.count_if(above) + 1).alias("rank"))
+    rank = target_ranks(visible, scores)
     seen = flagged.groupBy("basket").agg(F.count("*").alias("n"))
     mine = targets.join(rank, "basket", "left").join(seen, "basket").select(F.coalesce("rank", n_items - F.col("n") + 1).alias("rank"), F.lit("cosine").alias("scorer"))
     from shopledger.operators.ordered import exact_row_number

@@ -116,6 +116,14 @@ def ipt_stats(txn: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def _basket_habits() -> list[Column]:
+    """Where and how a customer bought in a month; the stores of one customer are few, so their set is one value."""
+    return [
+        F.size(F.collect_set("store_id")).cast("bigint").alias("distinct_stores"), F.count_if(F.col("store_id") == F.col("home_store")).alias("home_store_txns"),
+        F.count_if(F.col("channel") == "Delivery").alias("ecommerce_orders"), safe_div(F.sum("distinct_categories"), F.count(ONE), 2).alias("avg_categories_per_basket"),
+    ]
+
+
 def customer_month(txn: DataFrame, months: DataFrame, satellites: Sequence[tuple[DataFrame, Sequence[str]]], min_txns: int = 2) -> DataFrame:
     """MRT-11: one row per eligible customer and month from the first purchase
     month on, zero months included.
@@ -142,9 +150,9 @@ def customer_month(txn: DataFrame, months: DataFrame, satellites: Sequence[tuple
         F.count_if(sale).alias("transactions"), F.count_if(F.col("txn_type") == "Regular Return").alias("returns"),
         F.countDistinct(F.when(sale, F.col("jdn"))).alias("purchase_days"), F.sum("basket_value").alias("sales"), F.sum("basket_margin").alias("margin"),
         F.sum("promo_value").alias("promo_sales"), F.sum("discount_total").alias("discount"), F.sum("basket_items").alias("items"),
-        F.max(F.when(sale, F.col("jdn"))).alias("last_sale"),
+        F.max(F.when(sale, F.col("jdn"))).alias("last_sale"), *(_basket_habits() if "distinct_categories" in txn.columns else ()),
     )
-    zeros = ["transactions", "returns", "purchase_days", "items"] + [c for _, cols in satellites for c in cols]
+    zeros = ["transactions", "returns", "purchase_days", "items", "distinct_stores", "home_store_txns", "ecommerce_orders"] + [c for _, cols in satellites for c in cols]
     out = assemble(spine, [rollup, *[s for s, _ in satellites]], ["customer_id", "yyyymm"], zeros)
     for c in ("sales", "margin", "promo_sales", "discount"):
         out = out.withColumn(c, F.coalesce(F.col(c), zero))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopledger.functions import fixed, money, nonzero, norm_blank, pct, safe_div, yyyymm
@@ -164,6 +164,46 @@ def aging(invoices: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def fee_invoices(pnl: DataFrame, payments: DataFrame, months: DataFrame, grace_days: int = 15) -> DataFrame:
+    """MRT-30: one receivable for each store and month with a franchise fee, invoiced at the month's end.
+
+    It is paid on the store's first payment day after the invoice. Payment days
+    are brought to the first of each month, so the look ahead sees months, not days.
+    """
+    by_month = payments.groupBy("store_id", yyyymm(F.col("pay_date")).alias("yyyymm")).agg(F.min("pay_date").alias("_first"))
+    fees = pnl.groupBy("store_id", "region", "yyyymm").agg(F.sum("royalty_fee").alias("royalty_fee"), F.sum("marketing_fee").alias("marketing_fee"))
+    later = Window.partitionBy("store_id").orderBy("yyyymm").rowsBetween(1, Window.unboundedFollowing)
+    both = fees.join(by_month, ["store_id", "yyyymm"], "full").withColumn("paid_calc", F.min("_first").over(later))
+    total = fixed(F.col("royalty_fee") + F.col("marketing_fee"), 2)
+    due = both.join(months.select("yyyymm", "month_end"), "yyyymm").withColumn("total_invoiced", total).where("total_invoiced > 0")
+    return due.select(
+        F.concat_ws("-", F.lit("FF"), F.col("store_id").cast("string"), F.col("yyyymm").cast("string")).alias("invoice_number"), "store_id", "region", "yyyymm",
+        F.col("month_end").alias("invoice_date"), F.date_add("month_end", grace_days).alias("due_date"), "paid_calc", "total_invoiced",
+    )
+
+
+def fee_aging(fees: DataFrame, as_of: str) -> DataFrame:
+    """MRT-30: status, balance, days and aging bucket of every receivable at one date."""
+    day = F.lit(as_of).cast("date")
+    paid = F.coalesce(F.col("paid_calc") <= day, F.lit(False))
+    due, total = F.col("due_date"), F.col("total_invoiced")
+    late = F.datediff(day, due)
+    return fees.where(F.col("invoice_date") <= day).select(
+        "invoice_number", "store_id", "region", "yyyymm", due.cast("string").alias("due_date"), F.when(paid, F.col("paid_calc")).cast("string").alias("paid_date"), "total_invoiced",
+        F.when(paid, total).otherwise(F.lit(0.0)).alias("amount_paid"), F.when(paid, F.lit(0.0)).otherwise(total).alias("balance"),
+        F.when(paid, "Paid").when(due >= day, "Open").otherwise("Overdue").alias("status"),
+        F.when(paid & (F.col("paid_calc") > due), F.datediff("paid_calc", due)).otherwise(0).alias("days_paid_late"), F.when(~paid & (due < day), late).otherwise(0).alias("days_overdue"),
+        F.when(paid, "Paid").when(due >= day, "Current").when(late <= 30, "1-30 days").when(late <= 60, "31-60 days").otherwise("60+ days").alias("aging_bucket"),
+    )
+
+
+def open_by_bucket(receivables: DataFrame, ym: int) -> DataFrame:
+    """MRT-30: open receivables by aging bucket, in the order of their age."""
+    order = F.when(F.col("aging_bucket") == "Current", 1).when(F.col("aging_bucket") == "1-30 days", 2).when(F.col("aging_bucket") == "31-60 days", 3).otherwise(4)
+    open_ = receivables.where((F.col("status") != "Paid") & (F.col("yyyymm") <= ym))
+    return open_.groupBy("aging_bucket", order.alias("ord")).agg(F.count(ONE).alias("invoices"), money(F.sum(F.col("balance").cast("decimal(18,2)"))).alias("balance"))
+
+
 def dpo(aged: DataFrame) -> DataFrame:
     """MRT-31: days payable outstanding by terms."""
     return aged.where("status = 'Paid'").groupBy("payment_terms").agg(safe_div(F.sum("days_to_pay"), F.count(ONE), 1).alias("dpo_days"))
@@ -181,19 +221,20 @@ def payment_run(aged: DataFrame, as_of: str, days: int = 14) -> DataFrame:
     )
 
 
-def treasury_kpi(aged: DataFrame, dash: DataFrame, tax: DataFrame, liability: DataFrame, ym: int) -> DataFrame:
+def treasury_kpi(aged: DataFrame, receivables: DataFrame, dash: DataFrame, tax: DataFrame, liability: DataFrame, ym: int) -> DataFrame:
     """MRT-32: one row from several one-row aggregates, as scalar subqueries."""
+    owing = lambda c: money(F.sum(F.when(c, F.col("balance").cast("decimal(18,2)"))))
     dec = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
     to_date = aged.where(F.col("invoice_yyyymm") <= ym)
     one = to_date.agg(
-        money(F.sum(F.when(F.col("status") != "Paid", F.col("balance").cast("decimal(18,2)")))).alias("ap_balance"),
-        money(F.sum(F.when(F.col("aging_bucket") == "60+ days", F.col("balance").cast("decimal(18,2)")))).alias("ap_aged_60"),
+        owing(F.col("status") != "Paid").alias("ap_balance"), owing(F.col("aging_bucket") == "60+ days").alias("ap_aged_60"),
         pct(F.count_if((F.col("status") == "Paid") & F.col("payer_profile").isin("Early", "On time")), F.count_if(F.col("status") == "Paid"), 1).alias("ap_on_time_pct"),
     )
     cash = cashless_share(dash).where(F.col("yyyymm") == ym).select(F.max("cashless_pct").alias("cashless_pct"))
     taxes = tax.where((F.col("yyyymm") <= ym) & (F.col("yyyymm") > ym // 100 * 100)).agg(money(dec("total_tax")).alias("tax_ytd"))
     owed = liability.where(F.col("yyyymm") == ym).agg(money(F.sum("closing_balance")).alias("liability_total"))
-    for part in (cash, taxes, owed):
+    fees = receivables.where(F.col("yyyymm") <= ym).agg(owing(F.col("status") != "Paid").alias("ar_balance"), owing(F.col("aging_bucket") == "60+ days").alias("ar_aged_60"))
+    for part in (fees, cash, taxes, owed):
         one = with_scalars(one, part)
     return one
 

@@ -14,7 +14,7 @@ BY_STORE = ("store_region", "store_province", "store_name", "transaction_year")
 
 
 # Columns that come from the product and the store table.
-FROM_PRODUCT = {"product_description": "product_name AS product_description", "cost": "cost"}
+FROM_PRODUCT = {"product_description": "product_name AS product_description", "cost": "cost", "pricebook_cost": "unit_cost AS pricebook_cost"}
 FROM_STORE = {"store_name": "store_name", "store_province": "province AS store_province", "store_region": "region AS store_region", "customer_fsa": "left(province, 3) AS customer_fsa"}
 
 
@@ -31,6 +31,8 @@ def _pos_rows(spark, folder, words=None, conditions=()):
         f"CAST(discount * 0.1 AS {dec}) AS subsidy", f"CAST(discount * 0.05 AS {dec}) AS marketing_subsidy", f"CAST(discount * 0.2 AS {dec}) AS expected_subsidy",
         f"CAST(0 AS {dec}) AS transaction_discount", "discount AS item_discount", f"CAST(0 AS {dec}) AS override_discount", "sales AS royalty_sales",
         "CASE WHEN promo_type <> '' THEN concat(promo_type, '-', year(sale_date)) ELSE '' END AS event_id",
+        "CASE WHEN promo_type <> '' THEN concat(promo_type, '-', date_format(sale_date, 'yyyy-MM')) ELSE '' END AS extended_event_id", "line_number AS transaction_sequence", "txn_id AS transaction_number",
+        "email_flag AS customer_email_flag", "date_format(sold_at, 'HH:mm:ss') AS transaction_time", f"CASE WHEN promo_type <> '' THEN sales ELSE CAST(0 AS {dec}) END AS pricebook_sale_price",
         *(FROM_PRODUCT.values() if product else ()), *(FROM_STORE.values() if store else ()),
     )
 
@@ -41,10 +43,13 @@ def pos_model() -> Model:
     for name, kind in (
         ("transaction_unique_id", "string"), ("store_number", "number"), ("store_province", "enum"), ("customer_number", "string"), ("product_description", "string"), ("event_id", "string"),
         ("pricebook_regular_price", "number"), ("transaction_type", "enum"), ("store_name", "string"), ("store_region", "enum"), ("customer_fsa", "string"), ("plu", "string"), ("promotion_type", "enum"),
+        ("transaction_sequence", "number"), ("customer_email_flag", "number"), ("transaction_time", "string"), ("transaction_number", "number"), ("extended_event_id", "string"),
+        ("pricebook_sale_price", "number"), ("pricebook_cost", "number"),
     ):
         m.dimension(name, kind=kind)
     m.dimension("transaction_date", kind="date", grains=GRAINS)
     m.dimension("day_of_week", "weekday(transaction_date) + 1", "number")
+    m.dimension("hour_of_day", "CAST(substr(transaction_time, 1, 2) AS int)", "number")
     m.dimension("transaction_month", "month(transaction_date)", "number")
     m.dimension("transaction_year", "year(transaction_date)", "number")
     m.dimension("is_loyalty_customer", f"CASE WHEN {LOYAL} THEN true ELSE false END", "boolean")

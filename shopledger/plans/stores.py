@@ -84,20 +84,24 @@ def supply_kpi(inv: DataFrame, po: DataFrame, shrink: DataFrame, cogs: DataFrame
 
 
 def purchase_orders(lines: DataFrame) -> DataFrame:
-    """MRT-38: one order per store, supplier and month; ordered units rounded up to tens."""
+    """MRT-38: one order per store, supplier and month; ordered units rounded up to tens.
+
+    An order is complete with its last shipment; the supplier's mean days to ship
+    are what it may expect. Units that came back were not received.
+    """
+    lead = F.greatest(F.lit(0), F.col("ship_days"))
+    usual = lines.groupBy("supplier_id").agg(F.floor(F.avg(lead) + 0.5).cast("bigint").alias("expected_lead_days"))
     g = lines.groupBy("store_id", "supplier_id", "yyyymm").agg(
         F.sum("quantity").alias("units"), F.sum("cost").alias("cost_line"), F.countDistinct("plu").alias("line_count"), F.min("sale_date").alias("order_date"),
-        F.min("ship_days").alias("ship_days"),
-    )
-    expected = 5 + F.col("supplier_id") % 10
-    actual = F.greatest(F.lit(1), expected + F.pmod(F.col("ship_days"), F.lit(5)) - 2)
+        F.max(lead).cast("bigint").alias("actual_lead_days"), F.sum(F.when(F.col("return_flag") != "R", F.col("quantity")).otherwise(F.lit(0))).alias("received_units"),
+    ).join(usual, "supplier_id")
     ordered = ceil_to(F.col("units"), 10)
-    fill = 90 + F.pmod(F.col("supplier_id") + F.col("yyyymm"), F.lit(11))
     return g.select(
         F.concat_ws("-", F.lit("PO"), F.col("store_id").cast("string"), F.col("yyyymm").cast("string"), F.col("supplier_id").cast("string")).alias("po_number"),
-        "store_id", "supplier_id", "yyyymm", F.col("order_date").cast("string").alias("order_date"), expected.alias("expected_lead_days"), actual.alias("actual_lead_days"),
-        F.when(actual <= expected, "Y").otherwise("N").alias("on_time"), "line_count", ordered.alias("ordered_units"), fill.alias("fill_rate_pct"),
-        F.floor(ordered * fill / F.lit(100)).cast("bigint").alias("received_units"), fixed(F.col("cost_line").cast("double") * ordered.cast("double") / F.col("units").cast("double"), 2).alias("po_value_cost"),
+        "store_id", "supplier_id", "yyyymm", F.col("order_date").cast("string").alias("order_date"), "expected_lead_days", "actual_lead_days",
+        F.when(F.col("actual_lead_days") <= F.col("expected_lead_days"), "Y").otherwise("N").alias("on_time"), "line_count", ordered.alias("ordered_units"),
+        F.floor(F.col("received_units") * F.lit(100) / ordered).cast("bigint").alias("fill_rate_pct"), "received_units",
+        fixed(F.col("cost_line").cast("double") * ordered.cast("double") / F.col("units").cast("double"), 2).alias("po_value_cost"),
     )
 
 

@@ -221,6 +221,23 @@ def _(spark, sf):
     return ln.lineage_events(edges(spark, sf), "warehouse")
 
 
+@query("lin02_assets", f"""WITH {SQLT}, {SRC} SELECT CAST(asset AS VARCHAR) AS name, 'query' AS type, count(DISTINCT table_name) AS links FROM src GROUP BY 1 UNION ALL SELECT table_name, 'table', count(DISTINCT asset) FROM src GROUP BY 1""")
+def _(spark, sf):
+    return ln.lineage_assets(edges(spark, sf))
+
+
+@query("lin03_source_columns", """SELECT event_id AS asset, event_type || '_log' AS table_name, unnest(['x', 'd']) AS column_name FROM events""")
+def _(spark, sf):
+    return ln.source_columns(sql_texts(spark, sf), "asset", "sql")
+
+
+@query("lin03_event_with_columns", f"""WITH {SQLT}, {SRC}, g AS (SELECT asset, list(table_name ORDER BY table_name) AS ts FROM src GROUP BY 1), f AS (SELECT event_id AS asset, '[{{"namespace":"warehouse","name":"' || event_type || '_log","field":"' AS h FROM events)
+SELECT asset AS source, len(ts) AS n_inputs, '{{"eventType":"COMPLETE","job":{{"namespace":"warehouse","name":' || asset || '}},"inputs":[' || array_to_string(list_transform(ts, lambda t: '{{"namespace":"warehouse","name":"' || t || '"}}'), ',') || '],"outputs":[{{"namespace":"warehouse","name":' || asset || ',"facets":{{"columnLineage":{{"fields":{{"d":{{"inputFields":' || h || 'd"}}]}},"x":{{"inputFields":' || h || 'x"}}]}}}}}}}}}}]}}' AS event FROM g JOIN f USING (asset)""")
+def _(spark, sf):
+    columns = ln.source_columns(sql_texts(spark, sf), "asset", "sql").withColumnRenamed("asset", "source")
+    return ln.lineage_events(edges(spark, sf), "warehouse", columns)
+
+
 @query("web01_page_links", """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/[^"?]+)', 1)) AS link FROM pages""")
 def _(spark, sf):
     return pg.page_links(read_table(spark, sf, "pages"), "page_id", r'href="(/[^"?]+)')

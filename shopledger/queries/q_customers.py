@@ -94,22 +94,25 @@ CM = f"""{EVENTS}, elig AS (SELECT customer_id, min(CASE WHEN txn_type = 'Regula
 spine AS (SELECT e.customer_id, mo.yyyymm, mo.month_seq, mo.month_seq - f.month_seq AS months_since_first, date_diff('day', DATE '1970-01-01', mo.month_end) + 2440588 AS end_jdn
  FROM elig e JOIN months f ON f.yyyymm = e.first_ym JOIN months mo ON mo.month_seq >= f.month_seq),
 roll AS (SELECT customer_id, yyyymm, count(*) FILTER (WHERE txn_type = 'Regular Sale') AS transactions, count(*) FILTER (WHERE txn_type = 'Regular Return') AS returns, count(DISTINCT CASE WHEN txn_type = 'Regular Sale' THEN jdn END) AS purchase_days,
- sum(basket_value) AS sales, sum(basket_margin) AS margin, sum(promo_value) AS promo_sales, sum(discount_total) AS discount, sum(basket_items) AS items, max(CASE WHEN txn_type = 'Regular Sale' THEN jdn END) AS last_sale FROM txn GROUP BY 1, 2),
+ sum(basket_value) AS sales, sum(basket_margin) AS margin, sum(promo_value) AS promo_sales, sum(discount_total) AS discount, sum(basket_items) AS items, max(CASE WHEN txn_type = 'Regular Sale' THEN jdn END) AS last_sale, count(DISTINCT store_id) AS distinct_stores, count(*) AS home_store_txns, count(*) FILTER (WHERE channel = 'Delivery') AS ecommerce_orders, {div('sum(distinct_categories)', 'count(*)')} AS avg_categories_per_basket FROM txn GROUP BY 1, 2),
 mail AS (SELECT user_id AS customer_id, year(day - {SHIFT}) * 100 + month(day - {SHIFT}) AS yyyymm, count(*) AS emails_sent, count(*) FILTER (WHERE event_type = 'view') AS emails_opened, count(*) FILTER (WHERE event_type = 'click') AS emails_clicked FROM ev GROUP BY 1, 2),
 ledger AS (SELECT txn_id, customer_id, store_id, yyyymm, sale_date, CASE WHEN spend >= 0 THEN 'EARN' ELSE 'ADJUST' END AS entry_type, CAST(round(spend * 10, 0) AS BIGINT) AS points, spend
  FROM (SELECT *, CASE WHEN txn_type = 'Regular Return' THEN -basket_value ELSE basket_value END AS spend FROM txn WHERE txn_type <> 'Post Void TX')),
 pts AS (SELECT customer_id, yyyymm, sum(CASE WHEN entry_type = 'EARN' THEN points ELSE 0 END) AS p FROM ledger GROUP BY 1, 2),
 cm AS (SELECT s.customer_id, s.yyyymm, s.month_seq, s.months_since_first, coalesce(transactions, 0) AS transactions, coalesce(returns, 0) AS returns, coalesce(purchase_days, 0) AS purchase_days,
  coalesce(sales, 0) AS sales, coalesce(margin, 0) AS margin, coalesce(promo_sales, 0) AS promo_sales, coalesce(discount, 0) AS discount, coalesce(items, 0) AS items,
+ coalesce(distinct_stores, 0) AS distinct_stores, coalesce(home_store_txns, 0) AS home_store_txns, coalesce(ecommerce_orders, 0) AS ecommerce_orders, avg_categories_per_basket,
  coalesce(emails_sent, 0) AS emails_sent, coalesce(emails_opened, 0) AS emails_opened, coalesce(emails_clicked, 0) AS emails_clicked, coalesce(p, 0) AS loyalty_points_earned,
  end_jdn - max(last_sale) OVER (PARTITION BY s.customer_id ORDER BY s.month_seq) AS days_since_last_purchase, CASE WHEN coalesce(transactions, 0) > 0 THEN 'Y' ELSE 'N' END AS active_flag
  FROM spine s LEFT JOIN roll r USING (customer_id, yyyymm) LEFT JOIN mail USING (customer_id, yyyymm) LEFT JOIN pts USING (customer_id, yyyymm))"""
 
 
 @query("mrt11_customer_month", f"""{LTM}, {CM} SELECT customer_id, yyyymm, month_seq, months_since_first, transactions, returns, purchase_days, {m('sales')} AS sales, {m('margin')} AS margin, {m('promo_sales')} AS promo_sales, {m('discount')} AS discount,
-{n('items')} AS items, emails_sent, emails_opened, emails_clicked, {n('loyalty_points_earned')} AS loyalty_points_earned, days_since_last_purchase, active_flag FROM cm""")
+{n('items')} AS items, distinct_stores, home_store_txns, ecommerce_orders, avg_categories_per_basket, emails_sent, emails_opened, emails_clicked, {n('loyalty_points_earned')} AS loyalty_points_earned, days_since_last_purchase, active_flag FROM cm""")
 def _(spark, sf):
-    cm = customer_month(spark, sf)
+    # a customer of the given tables belongs to one store, its home
+    txn = retail.transactions(spark, sf, distinct=True).withColumn("home_store", F.col("store_id"))
+    cm = cu.customer_month(txn, retail.months(spark, sf), satellites(spark, sf))
     return cm.select(*[money(F.col(c)).alias(c) if c in ("sales", "margin", "promo_sales", "discount") else F.col(c) for c in cm.columns])
 
 

@@ -193,6 +193,29 @@ def _(spark, sf):
     return aged(spark, sf)
 
 
+AR = f"""ff AS (SELECT 'FF-' || store_id || '-' || yyyymm AS invoice_number, store_id, region, yyyymm, month_end AS invoice_date, month_end + 15 AS due_date, {fx('(royalty_fee + marketing_fee)')} AS total_invoiced,
+ (SELECT min(h.sale_date) FROM headers h WHERE h.store_id = pnl.store_id AND h.priority = '1-URGENT' AND h.sale_date > month_end) AS paid_calc FROM pnl JOIN months USING (yyyymm) WHERE {fx('(royalty_fee + marketing_fee)')} > 0),
+fx0 AS (SELECT *, coalesce(paid_calc <= DATE '2000-12-31', FALSE) AS paid, date_diff('day', due_date, DATE '2000-12-31') AS late FROM ff WHERE invoice_date <= DATE '2000-12-31'),
+ar AS (SELECT invoice_number, store_id, region, yyyymm, CAST(CAST(due_date AS DATE) AS VARCHAR) AS due_date, CASE WHEN paid THEN CAST(paid_calc AS VARCHAR) END AS paid_date, total_invoiced, CASE WHEN paid THEN total_invoiced ELSE 0.0::DOUBLE END AS amount_paid, CASE WHEN paid THEN 0.0::DOUBLE ELSE total_invoiced END AS balance,
+ CASE WHEN paid THEN 'Paid' WHEN late <= 0 THEN 'Open' ELSE 'Overdue' END AS status, CASE WHEN paid AND paid_calc > due_date THEN date_diff('day', due_date, paid_calc) ELSE 0 END AS days_paid_late, CASE WHEN NOT paid AND late > 0 THEN late ELSE 0 END AS days_overdue,
+ CASE WHEN paid THEN 'Paid' WHEN late <= 0 THEN 'Current' WHEN late <= 30 THEN '1-30 days' WHEN late <= 60 THEN '31-60 days' ELSE '60+ days' END AS aging_bucket FROM fx0)"""
+
+
+def receivables(spark, sf):
+    return fi.fee_aging(fi.fee_invoices(pnl(spark, sf), inputs.fee_payments(spark, sf), retail.months(spark, sf)), inputs.AS_OF_DATE)
+
+
+@query("mrt30_fee_receivables", f"{LTM}, {PNL}, {AR} SELECT * FROM ar")
+def _(spark, sf):
+    return receivables(spark, sf)
+
+
+@query("mrt30_open_receivables", f"""{LTM}, {PNL}, {AR} SELECT aging_bucket, CASE aging_bucket WHEN 'Current' THEN 1 WHEN '1-30 days' THEN 2 WHEN '31-60 days' THEN 3 ELSE 4 END AS ord, count(*) AS invoices, {m('sum(CAST(balance AS DECIMAL(18,2)))')} AS balance
+FROM ar WHERE status <> 'Paid' AND yyyymm <= 200012 GROUP BY 1, 2""")
+def _(spark, sf):
+    return fi.open_by_bucket(receivables(spark, sf), 200012)
+
+
 @query("mrt31_days_payable", f"{L}, {INV} SELECT payment_terms, {div('sum(days_to_pay)', 'count(*)', 1)} AS dpo_days FROM aged WHERE status = 'Paid' GROUP BY 1")
 def _(spark, sf):
     return fi.dpo(aged(spark, sf))
@@ -218,14 +241,15 @@ def _(spark, sf):
     return tax(spark, sf)
 
 
-@query("mrt32_treasury_kpi", f"""{LTM}, {CM}, {FLOWS}, {TENDER}, {INV}, {TAX}
-SELECT (SELECT {m('sum(CAST(balance AS DECIMAL(18,2)))')} FROM aged WHERE status <> 'Paid' AND invoice_yyyymm <= 200006) AS ap_balance, (SELECT {m('sum(CAST(balance AS DECIMAL(18,2)))')} FROM aged WHERE aging_bucket = '60+ days' AND invoice_yyyymm <= 200006) AS ap_aged_60,
+@query("mrt32_treasury_kpi", f"""{LTM}, {CM}, {FLOWS}, {TENDER}, {INV}, {TAX}, {PNL}, {AR}
+SELECT (SELECT {m('sum(CAST(balance AS DECIMAL(18,2)))')} FROM ar WHERE status <> 'Paid' AND yyyymm <= 200006) AS ar_balance, (SELECT {m('sum(CAST(balance AS DECIMAL(18,2)))')} FROM ar WHERE aging_bucket = '60+ days' AND yyyymm <= 200006) AS ar_aged_60,
+(SELECT {m('sum(CAST(balance AS DECIMAL(18,2)))')} FROM aged WHERE status <> 'Paid' AND invoice_yyyymm <= 200006) AS ap_balance, (SELECT {m('sum(CAST(balance AS DECIMAL(18,2)))')} FROM aged WHERE aging_bucket = '60+ days' AND invoice_yyyymm <= 200006) AS ap_aged_60,
 (SELECT {spct("count(*) FILTER (WHERE payer_profile IN ('Early', 'On time'))", 'count(*)', 1)} FROM aged WHERE status = 'Paid' AND invoice_yyyymm <= 200006) AS ap_on_time_pct,
 (SELECT {spct("sum(CASE WHEN tender_group <> 'Cash' THEN amount ELSE 0 END)", 'sum(amount)')} FROM dt WHERE yyyymm = 200006) AS cashless_pct, (SELECT {m('sum(CAST(total_tax AS DECIMAL(18,2)))')} FROM tax WHERE yyyymm BETWEEN 200001 AND 200006) AS tax_ytd,
 (SELECT CAST(sum(closing_balance) AS DOUBLE) FROM bal WHERE yyyymm = 200006) AS liability_total""")
 def _(spark, sf):
     bal = fi.rollforward(point_flows(spark, sf).withColumn("all", F.lit(0)), ["all"], "yyyymm", "points_in", "points_out")
-    return fi.treasury_kpi(aged(spark, sf), fi.dash_tender(tender(spark, sf)), tax(spark, sf), bal, 200006)
+    return fi.treasury_kpi(aged(spark, sf), receivables(spark, sf), fi.dash_tender(tender(spark, sf)), tax(spark, sf), bal, 200006)
 
 
 @query("mrt33_price_history", f"""{L}, g AS (SELECT plu, yyyymm, CAST(max(unit_cost) AS DOUBLE) AS cp, CAST(sum(regular_value) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE) AS rp, CAST(sum(sales) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE) AS sp, {n('sum(quantity)')} AS units, {m('sum(sales)')} AS sales, count(DISTINCT store_id) AS stores_selling FROM sales_lines GROUP BY 1, 2)

@@ -33,6 +33,18 @@ def _(spark, sf):
     return model.rows(spark, sf).groupBy(*keys).agg(F.expr(model.measures["total_line_items"].expr).alias("line_items"))
 
 
+@query("sem01_line_dimensions", f"""WITH i AS (SELECT l_linenumber AS transaction_sequence, CAST(c_acctbal >= 0 AS INTEGER) AS customer_email_flag, hour(CAST(o_orderdate AS TIMESTAMP)) AS hour_of_day, strftime(CAST(o_orderdate AS TIMESTAMP), '%H:%M:%S') AS transaction_time,
+ CASE WHEN l_discount >= 0.08 THEN 'T-' WHEN l_discount >= 0.05 THEN 'M-' WHEN l_discount > 0 THEN 'O-' END || strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS x, l_orderkey, CAST(p_retailprice AS DECIMAL(10,2)) AS cost
+ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT transaction_sequence, customer_email_flag, transaction_time, hour_of_day, coalesce(x, '') AS extended_event_id, count(*) AS line_items, count(DISTINCT l_orderkey) AS transactions, CAST(max(cost) AS DOUBLE) AS top_cost FROM i GROUP BY 1, 2, 3, 4, 5""")
+def _(spark, sf):
+    model = md.pos_model()
+    keys = [F.expr(model.dimensions[d].expr).alias(d) for d in ("transaction_sequence", "customer_email_flag", "transaction_time", "hour_of_day", "extended_event_id")]
+    model.measure("line_items", "count(*)").measure("transactions", "count(DISTINCT transaction_number)", formula="t", distinct={"t": ("transaction_number", "true")})
+    model.measure("top_cost", "CAST(max(pricebook_cost) AS double)")
+    return sem.measured(model.rows(spark, sf), model, ["line_items", "transactions", "top_cost"], keys)
+
+
 @query("sem02_measures", f"""{L} SELECT region AS store_region, count(DISTINCT txn_id) AS total_transactions, {m('sum(sales)')} AS total_revenue, {m('sum(sales) - sum(cost)')} AS gross_profit, {m('sum(regular_value) - sum(sales)')} AS price_reduction_amount,
 {fx('(CAST(sum(sales) AS DOUBLE) / CAST(count(DISTINCT txn_id) AS DOUBLE))', 4)} AS avg_basket_size, count(DISTINCT CASE WHEN txn_type = 'Post Void TX' THEN txn_id END) AS void_transaction_count, {m('sum(discount)')} AS total_discount, {m('sum(CAST(discount * 0.1 AS DECIMAL(18,4)))')} AS total_subsidy FROM lines GROUP BY 1""")
 def _(spark, sf):

@@ -135,10 +135,11 @@ def _(spark, sf):
     return st.gmroi_by_category(inv(spark, sf))
 
 
-PO = f"""pb AS (SELECT store_id, supplier_id, yyyymm, sum(quantity) AS units, sum(cost) AS cl, count(DISTINCT plu) AS line_count, min(sale_date) AS od, min(date_diff('day', sale_date, ship_date)) AS sd FROM lines GROUP BY 1, 2, 3),
-pq AS (SELECT *, 5 + supplier_id % 10 AS expected_lead_days, greatest(1, 5 + supplier_id % 10 + ((sd % 5) + 5) % 5 - 2) AS actual_lead_days, CAST(ceil(CAST(units AS DOUBLE) / 10) * 10 AS BIGINT) AS ordered_units, 90 + (supplier_id + yyyymm) % 11 AS fill_rate_pct FROM pb),
-po AS (SELECT 'PO-' || store_id || '-' || yyyymm || '-' || supplier_id AS po_number, store_id, supplier_id, yyyymm, CAST(od AS VARCHAR) AS order_date, expected_lead_days, actual_lead_days, CASE WHEN actual_lead_days <= expected_lead_days THEN 'Y' ELSE 'N' END AS on_time, line_count, ordered_units, fill_rate_pct,
- ordered_units * fill_rate_pct // 100 AS received_units, {fx('CAST(cl AS DOUBLE) * CAST(ordered_units AS DOUBLE) / CAST(units AS DOUBLE)')} AS po_value_cost FROM pq)"""
+PO = f"""pb AS (SELECT store_id, supplier_id, yyyymm, sum(quantity) AS units, sum(cost) AS cl, count(DISTINCT plu) AS line_count, min(sale_date) AS od, max(greatest(0, date_diff('day', sale_date, ship_date))) AS actual_lead_days, sum(CASE WHEN return_flag <> 'R' THEN quantity ELSE 0 END) AS rec FROM lines GROUP BY 1, 2, 3),
+pe0 AS (SELECT supplier_id, CAST(floor(avg(greatest(0, date_diff('day', sale_date, ship_date))) + 0.5) AS BIGINT) AS expected_lead_days FROM lines GROUP BY 1),
+pq AS (SELECT *, CAST(ceil(CAST(units AS DOUBLE) / 10) * 10 AS BIGINT) AS ordered_units, CAST(rec AS BIGINT) AS received_units FROM pb JOIN pe0 USING (supplier_id)),
+po AS (SELECT 'PO-' || store_id || '-' || yyyymm || '-' || supplier_id AS po_number, store_id, supplier_id, yyyymm, CAST(od AS VARCHAR) AS order_date, expected_lead_days, actual_lead_days, CASE WHEN actual_lead_days <= expected_lead_days THEN 'Y' ELSE 'N' END AS on_time, line_count, ordered_units, received_units * 100 // ordered_units AS fill_rate_pct,
+ received_units, {fx('CAST(cl AS DOUBLE) * CAST(ordered_units AS DOUBLE) / CAST(units AS DOUBLE)')} AS po_value_cost FROM pq)"""
 
 
 def po(spark, sf):

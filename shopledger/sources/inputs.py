@@ -51,6 +51,11 @@ def invoices(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def fee_payments(spark: SparkSession, folder: str) -> DataFrame:
+    """Days on which a store sends money: those with an urgent order."""
+    return retail.headers(spark, folder).where("priority = '1-URGENT'").select("store_id", F.col("sale_date").alias("pay_date")).distinct()
+
+
 def online_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Delivery orders with partner, lateness and satisfaction."""
     per = retail.raw_lines(spark, folder).groupBy("txn_id").agg(F.sum("sales").alias("order_value"), F.max("ship_date").alias("shipped"))
@@ -93,6 +98,6 @@ def shifts(spark: SparkSession, folder: str) -> DataFrame:
 def purchase_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines as supply: supplier, order month, units, cost and days to ship."""
     return retail.lines(spark, folder, store=False).select(
-        "store_id", "supplier_id", "plu", "category", "yyyymm", "sale_date", "quantity", "cost", "sales",
+        "store_id", "supplier_id", "plu", "category", "yyyymm", "sale_date", "quantity", "cost", "sales", "return_flag",
         F.datediff("ship_date", "sale_date").alias("ship_days"),
     )

@@ -83,6 +83,8 @@ def headers(spark: SparkSession, folder: str, types: tuple[str, ...] = ()) -> Da
         F.col("o_orderdate").cast("date").alias("sale_date"),
         txn_type(F.col("o_orderstatus")).alias("txn_type"),
         F.col("o_orderpriority").alias("priority"),
+        (F.col("c_acctbal") >= 0).cast("int").alias("email_flag"),
+        F.col("o_orderdate").cast("timestamp").alias("sold_at"),
     )
 
 
@@ -93,6 +95,7 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
     off = F.col("l_discount").cast("decimal(4,2)")
     return li.select(
         F.col("l_orderkey").alias("txn_id"),
+        F.col("l_linenumber").cast("int").alias("line_number"),
         F.col("l_partkey").alias("plu"),
         F.col("l_suppkey").alias("supplier_id"),
         F.col("l_quantity").cast("bigint").alias("quantity"),

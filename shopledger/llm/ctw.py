@@ -107,8 +107,7 @@ class Text:
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Different grams and their training counts."""
-        marked, counts = np.unique((self.code << U64(1)) | np.repeat(self.train, self.sizes).astype(U64), return_counts=True)
-        return added(marked >> U64(1), counts * (marked & U64(1)).astype(np.int64))
+        return added(self.code, np.repeat(self.train, self.sizes).astype(np.int64))
 
     def terms(self) -> tuple[np.ndarray, np.ndarray]:
         """The same for words."""
@@ -117,10 +116,20 @@ class Text:
 
 def added(name: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different names with summed counts."""
-    unique, number = np.unique(name, return_inverse=True)
+    unique, number = different(name)
     return unique, np.bincount(number, weights=count, minlength=len(unique)).astype(np.int64)
 
 
+def different(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different names in order, and which of them stands at each place; only the different ones are sorted."""
+    coded = pa.array(name).dictionary_encode()
+    unique = coded.dictionary.to_numpy()
+    order = np.argsort(unique)
+    rank = np.empty(len(unique), np.int32)
+    rank[order] = np.arange(len(unique), dtype=np.int32)
+    return unique[order], rank[coded.indices.to_numpy()]
+
+
 def dealt(name: np.ndarray, key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by bucket, then by name, and the bucket bounds."""
     bucket = (key % U64(buckets)).astype(np.int64)
@@ -283,7 +292,12 @@ def model_scores(docs: DataFrame, buckets: int = 64) -> DataFrame:
 
     def run(batches):
         for row in rows_of(batches):
-            code, _, term, _ = questions(row)
+            # each part once: its different grams and words, and which stands where
+            held = []
+            for text in parts(row):
+                held.append((text, *different(text.code), *different(text.word)))
+                text.code = text.word = None
+            code, term = (np.unique(np.concatenate([h[k] for h in held])) for k in (1, 3))
             order, cut = dealt(code, gram_key(code), buckets)
             place, edge = dealt(term, term, buckets)
             logp, use = np.zeros(len(code)), np.zeros(len(term), np.int64)
@@ -291,11 +305,10 @@ def model_scores(docs: DataFrame, buckets: int = 64) -> DataFrame:
                 b = a["bucket"]
                 logp[order[cut[b] : cut[b + 1]]] = np.frombuffer(a["logp"], np.float32)
                 use[place[edge[b] : edge[b + 1]]] = unpacked(a["uses"], np.int64)
-            for text in parts(row):
+            for text, grams, gram, terms, word in held:
                 docs = len(text.ids)
-                own, number = np.unique(text.code, return_inverse=True)
-                score = np.add.reduceat(logp[np.searchsorted(code, own)][number], text.bounds)
-                uses, divisor = use[np.searchsorted(term, text.word)], n + 0.5 * (v + 1)
+                score = np.add.reduceat(logp[np.searchsorted(code, grams)][gram], text.bounds)
+                uses, divisor = use[np.searchsorted(term, terms)][word], n + 0.5 * (v + 1)
                 count = np.bincount(text.word_doc, minlength=docs)
                 known = np.bincount(text.word_doc, weights=uses > 0, minlength=docs).astype(np.int64) + (ends > 0)
                 base = np.bincount(text.word_doc, weights=np.log10((uses + 0.5) / divisor), minlength=docs) + math.log10((ends + 0.5) / divisor)

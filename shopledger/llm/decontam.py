@@ -66,8 +66,8 @@ def matcher(block: tuple, percent: int):
     return automaton
 
 
-def edit_search(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
-    """Least distance of the pattern to a substring of the text, and that substring's end; None beyond the limit.
+def distances(pattern: str, text: str):
+    """For each place of the text the least distance of the pattern to a substring that ends there.
 
     The columns of the distance table are bit vectors of vertical steps up and down.
     """
@@ -77,8 +77,7 @@ def edit_search(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
     full = (1 << len(pattern)) - 1
     top = 1 << (len(pattern) - 1)
     up, down, distance = full, 0, len(pattern)
-    best = None
-    for k, c in enumerate(text):
+    for c in text:
         equal = masks.get(c, 0)
         diagonal = (((equal & up) + up) ^ up) | equal | down
         right_up = down | ~(diagonal | up) & full
@@ -91,13 +90,29 @@ def edit_search(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
         right_down = right_down << 1 & full
         up = right_down | ~(diagonal | right_up) & full
         down = right_up & diagonal
-        if distance <= limit and (best is None or distance < best[0]):
-            best = (distance, k + 1)
-    return best
+        yield distance
+
+
+def edit_search(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
+    """Least distance of the pattern to a substring of the text, and that substring's end; None beyond the limit."""
+    return min(edit_hits(pattern, text, limit), default=None)
+
+
+def edit_hits(pattern: str, text: str, limit: int) -> list[tuple[int, int]]:
+    """(distance, end) of every separated hit: the least distance, first place, of each stretch of ends within the limit."""
+    out, best = [], None
+    for k, distance in enumerate(distances(pattern, text)):
+        if distance <= limit:
+            if best is None or distance < best[0]:
+                best = (distance, k + 1)
+        elif best is not None:
+            out.append(best)
+            best = None
+    return out if best is None else [*out, best]
 
 
 def matches(text: str, block: tuple, percent: int, first_only: bool = False) -> list[tuple[int, int, int, int]]:
-    """(item_id, start, end, distance) in the normal text; one for each run of overlapping windows of an item."""
+    """(item_id, start, end, distance) in the normal text; one for each separated hit of an item."""
     text = normal(text)
     windows: dict[int, set[int]] = {}
     for end, (n, places) in matcher(block, percent).iter(text):
@@ -118,10 +133,8 @@ def matches(text: str, block: tuple, percent: int, first_only: bool = False) ->
                 low, high = i, j
         spans.append((low, high))
         for i, j in spans[1:]:
-            found = edit_search(item, text[i:j], limit)
-            if found:
-                distance, end = found
-                back = edit_search(item[::-1], text[i : i + end][::-1], distance)
+            for distance, end in edit_hits(item, text[i:j], limit):
+                back = edit_search(item[::-1], text[max(i, i + end - len(item) - distance) : i + end][::-1], distance)
                 out.append((item_id, i + end - (back[1] if back else len(item)), i + end, distance))
                 if first_only:
                     return out
@@ -147,15 +160,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = RATE_PER
 
 
 def document_report(docs: DataFrame, benchmark: DataFrame, percent: int = RATE_PERCENT) -> DataFrame:
-    """doc_id, contaminated, n_matches, item_ids (ascending) and least distance for each document."""
-    found = contamination(docs, benchmark, percent).groupBy("doc_id").agg(
-        F.count("*").alias("n_matches"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.min("distance").alias("least_distance")
-    )
-    out = docs.where("doc_id IS NOT NULL").select(docs["doc_id"].cast("long").alias("doc_id")).join(found, "doc_id", "left")
-    return out.select(
-        "doc_id", F.col("n_matches").isNotNull().alias("contaminated"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
-        F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), "least_distance",
-    )
+    """doc_id, contaminated, n_matches, item_ids (ascending) and least distance for each row, judged where it is read."""
+    schema = "doc_id long, text string, n_matches long, item_ids array<long>, least_distance int"
+    none = F.lit(None).cast("int").alias("least_distance")
+    rows = id_and_text(docs).select("doc_id", "text", F.lit(0).cast("long").alias("n_matches"), F.array().cast("array<long>").alias("item_ids"), none)
+    blocks = list(item_blocks(benchmark))
+    for place, block in enumerate(blocks, 1):
+
+        def run(batches, block=block, last=place == len(blocks)):
+            for batch in batches:
+                ids, texts, counts, items, least = (batch.column(k).to_pylist() for k in range(5))
+                for k, text in enumerate(texts):
+                    found = matches(text, block, percent)
+                    if found:
+                        counts[k] += len(found)
+                        items[k] = sorted({*items[k], *(m[0] for m in found)})
+                        least[k] = min(m[3] for m in found) if least[k] is None else min(least[k], *(m[3] for m in found))
+                yield record_batch(schema, (ids, [None] * len(ids) if last else texts, counts, items, least))
+
+        rows = rows.mapInArrow(run, schema)
+    return rows.select("doc_id", (F.col("n_matches") > 0).alias("contaminated"), "n_matches", "item_ids", "least_distance")
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, percent: int = RATE_PERCENT) -> DataFrame:

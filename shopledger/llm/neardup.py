@@ -241,6 +241,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the least of their component, with all their columns."""
+    """One row for each id that is the least of its component, with all its columns.
+
+    Of rows that repeat an id the least stays; only those rows are grouped.
+    """
     kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    rows = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    repeated = cut_lineage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    again = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return rows.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again)

@@ -370,6 +370,18 @@ def test_decontamination(spark, odd, none, benchmark):
     assert decontam.document_report(odd, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_repeated_rows_and_items(spark, benchmark):
+    """A row is judged by itself, an item that stands twice counts twice, and one row of an id stays."""
+    item = " ".join(odd_rows()[6][1].split()[20:50])
+    far = " ".join(f"filler{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, f"{item} {item} {item}"), (2, f"{item} {far} {item}"), (2, f"{item} {far} {item}"), (3, far), (3, f"{far} {item}"), (4, item + " x")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.contaminated, r.n_matches) for r in decontam.document_report(docs, benchmark).collect())
+    assert got == [(1, True, 6), (2, True, 4), (2, True, 4), (3, False, 0), (3, True, 2), (4, True, 2)]  # two items of the benchmark are equal
+    rows = spark.createDataFrame([(1, far, "b"), (1, far, "a"), (1, far, "b"), (2, far, "c"), (3, item, "d"), (3, item, "d")], "doc_id long, text string, source string")
+    kept = neardup.one_of_each(rows)
+    assert kept.columns == rows.columns and sorted(map(tuple, kept.collect())) == [(1, far, "a"), (3, item, "d")]
+
+
 def test_edit_search_against_the_table():
     rng = random.Random(9)
     for _ in range(300):

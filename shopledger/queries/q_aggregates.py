@@ -178,10 +178,10 @@ def _(spark, sf):
 
 
 @query("agg19_share_within_parent", f"""{L},
-g AS (SELECT region, category, sum(sales) AS sales FROM sales_lines WHERE yyyymm >= 199901 GROUP BY 1, 2)
+g AS (SELECT region, category, sum(sales) AS sales FROM sales_lines GROUP BY 1, 2)
 SELECT region, category, {spct('sales', 'sum(sales) OVER (PARTITION BY region)')} AS share_pct FROM g""")
 def _(spark, sf):
-    g = retail.sales_lines(spark, sf).where("yyyymm >= 199901").groupBy("region", "category").agg(F.sum("sales").alias("sales"))
+    g = retail.sales_lines(spark, sf).groupBy("region", "category").agg(F.sum("sales").alias("sales"))
     return ag.share_within(g, ["region"], "sales").drop("sales")
 
 

@@ -225,10 +225,10 @@ def _(spark, sf):
 
 
 @query("jn16_scalar_lookup", f"""{L}
-SELECT s.store_id, s.store_name, (SELECT {m('sum(sales)')} FROM sales_lines l WHERE l.store_id = s.store_id AND l.yyyymm = 200001) AS month_sales FROM stores s""")
+SELECT s.store_id, s.store_name, (SELECT {m('sum(sales)')} FROM sales_lines l WHERE l.store_id = s.store_id) AS all_sales FROM stores s""")
 def _(spark, sf):
-    month = retail.sales_lines(spark, sf, product=False, store=False).where("yyyymm = 200001")
-    return jn.scalar_lookup(retail.stores(spark, sf).select("store_id", "store_name"), month, "store_id", money(F.sum("sales")), "month_sales")
+    fact = retail.sales_lines(spark, sf, product=False, store=False)
+    return jn.scalar_lookup(retail.stores(spark, sf).select("store_id", "store_name"), fact, "store_id", money(F.sum("sales")), "all_sales")
 
 
 @query("jn17_theta_count", """

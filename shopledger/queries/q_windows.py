@@ -231,18 +231,15 @@ def _(spark, sf):
     return rk.topk_per_key(g, "category", "score", 5, "plu").withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("srt06_top_k_with_scope", f"{PS} SELECT *, (SELECT count(*) FROM ps WHERE units > 300) AS scope_n FROM ps WHERE units > 300 ORDER BY sales DESC, plu LIMIT 50")
+@query("srt06_top_k_with_scope", f"{PS} SELECT *, (SELECT count(*) FROM ps) AS scope_n FROM ps ORDER BY sales DESC, plu LIMIT 50")
 def _(spark, sf):
-    return rk.topk_with_total(product_sales(spark, sf).where("units > 300"), "sales", 50, "plu")
+    return rk.topk_with_total(product_sales(spark, sf), "sales", 50, "plu")
 
 
-@query("set01_union_all_years", f"""{L}
-SELECT 1999 AS yr, category, {m('sum(sales)')} AS sales FROM sales_lines WHERE year(sale_date) = 1999 GROUP BY 2
-UNION ALL SELECT 2000, category, {m('sum(sales)')} FROM sales_lines WHERE year(sale_date) = 2000 GROUP BY 2""")
+@query("set01_union_all_years", f"""{L} SELECT year(sale_date) AS yr, category, {m('sum(sales)')} AS sales FROM sales_lines GROUP BY 1, 2""")
 def _(spark, sf):
-    df = retail.sales_lines(spark, sf, store=False)
-    years = [df.where(F.col("yyyymm").between(y * 100 + 1, y * 100 + 12)).withColumn("yr", F.lit(y)) for y in (1999, 2000)]
-    return rs.union_all(years).groupBy("yr", "category").agg(money(F.sum("sales")).alias("sales"))
+    df = retail.sales_lines(spark, sf, store=False).withColumn("yr", F.year("sale_date"))
+    return rs.union_all([df.where("yyyymm <= 199803"), df.where("yyyymm > 199803")]).groupBy("yr", "category").agg(money(F.sum("sales")).alias("sales"))
 
 
 @query("set02_distinct", """
@@ -252,9 +249,9 @@ def _(spark, sf):
 
 
 @query("set03_intersection", f"""{L}
-SELECT store_id, sub_category FROM sales_lines WHERE yyyymm <= 199803 AND quantity >= 49 INTERSECT SELECT store_id, sub_category FROM sales_lines WHERE yyyymm > 199803 AND quantity >= 49""")
+SELECT store_id, sub_category FROM sales_lines WHERE yyyymm <= 199803 INTERSECT SELECT store_id, sub_category FROM sales_lines WHERE yyyymm > 199803""")
 def _(spark, sf):
-    df = retail.sales_lines(spark, sf, store=False).where("quantity >= 49")
+    df = retail.sales_lines(spark, sf, store=False)
     cols = ["store_id", "sub_category"]
     return rs.intersect(df.where("yyyymm <= 199803").select(*cols), df.where("yyyymm > 199803").select(*cols))
 
@@ -270,18 +267,17 @@ def _(spark, sf):
     return rs.unpivot(wide, ["store_id", "yyyymm"], ["t", "m", "o"], "kind", "amount")
 
 
-@query("set05_statement_lines", f"""{L}, g AS (SELECT store_id, sum(sales) AS s, sum(cost) AS c FROM sales_lines WHERE yyyymm = 200006 GROUP BY 1),
-b AS (SELECT store_id, sum(sales) AS s, sum(cost) AS c FROM sales_lines WHERE yyyymm = 199906 GROUP BY 1)
-SELECT store_id, 1 AS line_order, 'Net sales' AS line_label, CAST(g.s AS DOUBLE) AS actual_amt, CAST(b.s AS DOUBLE) AS budget_amt, 0 AS is_total FROM g JOIN b USING (store_id)
-UNION ALL SELECT store_id, 2, 'Cost of goods sold', -CAST(g.c AS DOUBLE), -CAST(b.c AS DOUBLE), 0 FROM g JOIN b USING (store_id)
-UNION ALL SELECT store_id, 3, 'Gross margin', CAST(g.s - g.c AS DOUBLE), CAST(b.s - b.c AS DOUBLE), 1 FROM g JOIN b USING (store_id)""")
+@query("set05_statement_lines", f"""{L}, g AS (SELECT store_id, yyyymm, sum(sales) AS s, sum(cost) AS c FROM sales_lines GROUP BY 1, 2), j AS (SELECT g.*, b.s AS bs, b.c AS bc FROM g JOIN g b ON b.store_id = g.store_id AND b.yyyymm = g.yyyymm - 100)
+SELECT store_id, yyyymm, 1 AS line_order, 'Net sales' AS line_label, CAST(s AS DOUBLE) AS actual_amt, CAST(bs AS DOUBLE) AS budget_amt, 0 AS is_total FROM j
+UNION ALL SELECT store_id, yyyymm, 2, 'Cost of goods sold', -CAST(c AS DOUBLE), -CAST(bc AS DOUBLE), 0 FROM j
+UNION ALL SELECT store_id, yyyymm, 3, 'Gross margin', CAST(s - c AS DOUBLE), CAST(bs - bc AS DOUBLE), 1 FROM j""")
 def _(spark, sf):
-    df = retail.sales_lines(spark, sf, store=False)
-    g = df.where("yyyymm = 200006").groupBy("store_id").agg(F.sum("sales").alias("s"), F.sum("cost").alias("c"))
-    b = df.where("yyyymm = 199906").groupBy("store_id").agg(F.sum("sales").alias("bs"), F.sum("cost").alias("bc"))
+    """Every store and month against the month a year before."""
+    g = retail.sales_lines(spark, sf, store=False).groupBy("store_id", "yyyymm").agg(F.sum("sales").alias("s"), F.sum("cost").alias("c"))
+    b = g.select("store_id", (F.col("yyyymm") + 100).alias("yyyymm"), F.col("s").alias("bs"), F.col("c").alias("bc"))
     s, c, bs, bc = (F.col(x) for x in ("s", "c", "bs", "bc"))
     spec = [("Net sales", s, bs, 0), ("Cost of goods sold", -c, -bc, 0), ("Gross margin", s - c, bs - bc, 1)]
-    return rs.statement_lines(g.join(b, "store_id"), ["store_id"], spec)
+    return rs.statement_lines(g.join(b, ["store_id", "yyyymm"]), ["store_id", "yyyymm"], spec)
 
 
 @query("set06_account_long", f"""{L}, g AS (SELECT store_id, yyyymm, sum(sales) AS s, sum(cost) AS c FROM sales_lines GROUP BY 1, 2)
@@ -304,12 +300,12 @@ def _(spark, sf):
     return rs.funnel_rows(g, "view", [("Clicked", "click"), ("Bought", "purchase")])
 
 
-@query("set08_waterfall", f"""{L}, g AS (SELECT sum(sales) AS s, sum(cost) AS c, sum(discount) AS d FROM sales_lines WHERE year(sale_date) = 2000)
+@query("set08_waterfall", f"""{L}, g AS (SELECT sum(sales) AS s, sum(cost) AS c, sum(discount) AS d FROM sales_lines)
 SELECT 1 AS step_order, 'Net sales' AS step_label, 0.0::DOUBLE AS base_amt, {m('s')} AS bar_amt, 'total' AS bar_kind FROM g
 UNION ALL SELECT 2, 'COGS', {m('s - c')}, {m('c')}, 'down' FROM g UNION ALL SELECT 3, 'Subsidy', {m('s - c')}, {m('d')}, 'up' FROM g
 UNION ALL SELECT 4, 'Contribution', 0.0::DOUBLE, {m('s - c + d')}, 'total' FROM g""")
 def _(spark, sf):
-    one = retail.sales_lines(spark, sf, store=False).where("yyyymm BETWEEN 200001 AND 200012").agg(
+    one = retail.sales_lines(spark, sf, store=False).agg(
         F.sum("sales").alias("s"), F.sum("cost").alias("c"), F.sum("discount").alias("d")
     )
     steps = [("COGS", "down", F.col("c")), ("Subsidy", "up", F.col("d"))]

@@ -196,6 +196,22 @@ def county_stats(groups: DataFrame, blocks: DataFrame) -> DataFrame:
     return land.join(pop, "county", "left").select("county", "aland", "groups", "population", safe_div(F.col("population"), F.col("aland"), 4, 1000000.0).alias("density"))
 
 
+def housing_units(blocks: DataFrame, counties: DataFrame, n: int = 15) -> DataFrame:
+    """MRT-46: counties with the most housing units."""
+    per = blocks.groupBy(F.substring("geoid", 1, 5).alias("county")).agg(F.sum("housing").alias("housing_units"))
+    return per.join(counties, "county").select("county", "county_name", "housing_units").orderBy(F.col("housing_units").desc(), "county").limit(n)
+
+
+def address_ranges(ranges: DataFrame) -> DataFrame:
+    """MRT-46: address ranges, street segments, sides and postal suffixes of each postal code.
+
+    Segments are brought to one row each first, so a code that holds most rows is combined early.
+    """
+    side, suffix = F.col("side"), F.col("plus4")
+    per = ranges.where("zip IS NOT NULL").groupBy("zip", "segment_id").agg(F.count(ONE).alias("n"), F.count_if(side == "L").alias("l"), F.count_if(side == "R").alias("r"), F.count_if(suffix.isNotNull() & (suffix != "")).alias("p"))
+    return per.groupBy("zip").agg(F.sum("n").alias("addr_ranges"), F.count("segment_id").alias("street_segments"), F.sum("l").alias("left_side"), F.sum("r").alias("right_side"), F.sum("p").alias("with_plus4"))
+
+
 def name_counts(df: DataFrame, name: str, n: int) -> DataFrame:
     """MRT-46: most frequent street names."""
     return df.groupBy(F.col(name).alias("name")).agg(F.count(ONE).alias("segments")).orderBy(F.col("segments").desc(), "name").limit(n)

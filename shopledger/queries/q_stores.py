@@ -245,6 +245,27 @@ def _(spark, sf):
     return st.county_stats(block_groups(spark, sf), blocks(spark, sf))
 
 
+@query("mrt46_housing_units", """WITH b AS (SELECT lpad(CAST(n_regionkey AS VARCHAR), 2, '0') || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS county, n_name AS county_name, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 2 ELSE 1 END AS h FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT county, county_name, CAST(sum(h) AS BIGINT) AS housing_units FROM b GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 15""")
+def _(spark, sf):
+    """Households count two units, other customers one."""
+    pad = lambda c, w: F.lpad(F.col(c).cast("string"), w, "0")
+    nation = read_table(spark, sf, "nation").select("n_nationkey", F.concat(pad("n_regionkey", 2), pad("n_nationkey", 3)).alias("geoid"), F.col("n_name").alias("county_name"))
+    customer = read_table(spark, sf, "customer").select("c_nationkey", F.when(F.col("c_mktsegment") == "HOUSEHOLD", 2).otherwise(1).alias("housing"))
+    units = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("geoid", "housing")
+    return st.housing_units(units, nation.select(F.col("geoid").alias("county"), "county_name"))
+
+
+@query("mrt46_address_ranges", """SELECT CAST(l_suppkey AS VARCHAR) AS zip, count(*) AS addr_ranges, count(DISTINCT l_partkey) AS street_segments, count(*) FILTER (WHERE l_returnflag = 'A') AS left_side, count(*) FILTER (WHERE l_returnflag = 'R') AS right_side, count(*) FILTER (WHERE l_linestatus = 'F') AS with_plus4 FROM lineitem GROUP BY 1""")
+def _(spark, sf):
+    """Lines as address ranges: the supplier is the postal code, the product the segment."""
+    flag = F.col("l_returnflag")
+    rows = read_table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("zip"), F.col("l_partkey").alias("segment_id"), F.when(flag == "A", "L").when(flag == "R", "R").alias("side"), F.when(F.col("l_linestatus") == "F", "F").otherwise("").alias("plus4"),
+    )
+    return st.address_ranges(rows)
+
+
 @query("mrt46_top_street_names", "SELECT p_name AS name, count(*) AS segments FROM part GROUP BY 1 ORDER BY segments DESC, name LIMIT 15")
 def _(spark, sf):
     return st.name_counts(read_table(spark, sf, "part"), "p_name", 15)

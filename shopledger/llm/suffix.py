@@ -13,7 +13,8 @@ in a smaller document.
 Documents stay in chunks. Only hashes, contexts of repeated grams (once for each
 chunk, however many copies it has) and answers are moved; answers come in the
 order in which a chunk asked, so they need no names. A gram that is hot brings at
-most its different contexts in each chunk.
+most its different contexts in each chunk; all contexts of one gram are sorted in
+one bucket, the buckets themselves are even.
 
 Texts under SPAN bytes and null texts keep everything. Rows with the same id
 never remove from each other; equal texts keep the one with the smallest id.
@@ -66,7 +67,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     pad = np.zeros(LEFT, U64)
     high = sliding(np.concatenate([pad, low, pad]), LEFT + 1, np.maximum)
     at = np.flatnonzero(high[:n] == h)
-    return at, h[at] >> U64(64 - HASH_BITS), prefix
+    # mixed again: the least of many hashes has few different leading bits, and buckets go by those
+    return at, mixed(h[at]) >> U64(64 - HASH_BITS), prefix
 
 
 class Chunk:

@@ -370,6 +370,15 @@ def test_decontamination(spark, odd, none, benchmark):
     assert decontam.document_report(odd, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_suffixes_are_dealt_evenly():
+    """Chosen suffixes have the least hashes of their windows; buckets must not follow those."""
+    data = np.random.default_rng(2).integers(97, 123, 400_000).astype(np.uint8)
+    _, h, _ = suffix.anchors(data, np.array([0, len(data)]))
+    for bits in (6, 10):
+        count = np.bincount((h >> np.uint64(suffix.HASH_BITS - bits)).astype(int), minlength=1 << bits)
+        assert count.max() < 2 * count.mean() and len(count) == 1 << bits
+
+
 def test_repeated_rows_and_items(spark, benchmark):
     """A row is judged by itself, an item that stands twice counts twice, and one row of an id stays."""
     item = " ".join(odd_rows()[6][1].split()[20:50])

@@ -20,7 +20,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopledger.functions import fixed, md5_bucket, nonzero, safe_div
+from shopledger.functions import fixed, md5_bucket, money, nonzero, safe_div
 from shopledger.operators.joins import with_scalars
 from shopledger.operators.ordered import exact_ntile, exact_quantiles
 from shopledger.plans import repeat_buying as rb
@@ -149,6 +149,22 @@ def train_activation(df: DataFrame, trees: int = MOST_TREES) -> tuple[DataFrame,
     return metrics, nudge
 
 
+def activation_split(df: DataFrame) -> DataFrame:
+    """ML-23: the day that parts training from later first purchases, and the rows and rate of each side."""
+    known = cut_lineage(df.where("activated_90 IS NOT NULL").select("first_jdn", F.col("activated_90").cast("bigint").alias("y")))
+    split = exact_quantiles(known, "first_jdn", {"q": 0.75}).select("q").scalar()
+    rows = known.withColumn("split_jdn", split).withColumn("side", F.when(F.col("first_jdn") < F.col("split_jdn"), "train").otherwise("later"))
+    return rows.groupBy("side").agg(F.max("split_jdn").alias("split_jdn"), F.count("*").alias("n"), safe_div(F.sum("y"), F.count("*"), 6).alias("rate"))
+
+
+def decile_totals(df: DataFrame, pred: str, label: str, key: str) -> DataFrame:
+    """ML-24: rows, predicted and actual total of each decile of a forecast, 10 the highest; forecasts under 0 count as 0."""
+    p = F.greatest(F.lit(0.0), F.col(pred).cast("double"))
+    ranked = exact_ntile(df.select(key, p.alias("p"), F.col(label).alias("y")), ["p", key], {"decile": 10})
+    total = lambda c: money(F.sum(F.col(c).cast("decimal(18,2)")))
+    return ranked.groupBy("decile").agg(F.count("*").alias("n"), total("p").alias("total_pred"), total("y").alias("total_actual"))
+
+
 CLV_NUMS = [
     "months_observed", "months_since_first", "sales_life", "margin_life", "txns_life", "sales_l3", "sales_l6", "sales_l12", "margin_l3", "margin_l6", "margin_l12", "txns_l6", "txns_l12", "purchase_days_l6",
     "returns_l6", "promo_sales_l6", "discount_l6", "active_months_l6", "days_since_last",

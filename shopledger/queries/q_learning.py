@@ -9,11 +9,11 @@ from shopledger.operators.ordered import exact_quantiles
 from shopledger.plans import demand as dm
 from shopledger.plans import learning as le
 from shopledger.plans import scoring as sc
-from shopledger.queries.common import L, LT, fx, m, n
-from shopledger.queries.q_analytics import flagged
-from shopledger.queries.q_customers import activation_set, churn_set, clv_set
+from shopledger.queries.common import L, LT, LTM, div, fx, m, n
+from shopledger.queries.q_analytics import _regm, flagged
+from shopledger.queries.q_customers import ACT, CLV, CM, activation_set, churn_set, clv_set
 from shopledger.queries.q_sales import HOLIDAYS
-from shopledger.queries.q_stores import SDAY, plu_week, po, store_day
+from shopledger.queries.q_stores import PO, SDAY, plu_week, po, store_day
 from shopledger.queries.q_windows import store_days
 from shopledger.queries.registry import query
 from shopledger.session import cut_lineage
@@ -69,6 +69,19 @@ def _(spark, sf):
     return le.train_activation(activation_set(spark, sf))[1].withColumn("churn_probability", F.round("churn_probability", 4))
 
 
+@query("ml23_training_split", f"""{LT}, {ACT}, k AS (SELECT first_jdn, activated_90 AS y FROM act WHERE activated_90 IS NOT NULL), q AS (SELECT quantile_cont(CAST(first_jdn AS DOUBLE), 0.75) AS split_jdn FROM k)
+SELECT CASE WHEN first_jdn < split_jdn THEN 'train' ELSE 'later' END AS side, max(split_jdn) AS split_jdn, count(*) AS n, {div('sum(y)', 'count(*)', 6)} AS rate FROM k, q GROUP BY 1""")
+def _(spark, sf):
+    return le.activation_split(activation_set(spark, sf))
+
+
+@query("ml24_baseline_deciles", f"""{LTM}, {CM}, {CLV}, d AS (SELECT greatest(0.0::DOUBLE, margin_l6) AS p, future_margin AS y, ntile(10) OVER (ORDER BY greatest(0.0::DOUBLE, margin_l6), customer_id) AS decile FROM clv WHERE as_of_seq = 66)
+SELECT CAST(decile AS INTEGER) AS decile, count(*) AS n, {m('sum(CAST(p AS DECIMAL(18,2)))')} AS total_pred, {m('sum(CAST(y AS DECIMAL(18,2)))')} AS total_actual FROM d GROUP BY 1""")
+def _(spark, sf):
+    """Last half-year's margin as the forecast of the next, on the validation month of the model."""
+    return le.decile_totals(clv_set(spark, sf).where("as_of_seq = 66"), "margin_l6", "future_margin", "customer_id")
+
+
 @query("ml24_lifetime_value_model")
 def _(spark, sf):
     return le.clv(clv_set(spark, sf), 54, 66)[0]
@@ -146,6 +159,14 @@ def _(spark, sf):
     return out
 
 
+@query("ml29_lead_time_baselines", f"""{L}, {PO}, t AS (SELECT avg(actual_lead_days) AS a FROM po WHERE yyyymm <= 200006), l AS (SELECT 'order_expectation' AS baseline, CAST(actual_lead_days AS DOUBLE) AS y, CAST(expected_lead_days AS DOUBLE) AS p FROM po WHERE yyyymm > 200006
+ UNION ALL SELECT 'train_mean', CAST(actual_lead_days AS DOUBLE), a FROM po, t WHERE yyyymm > 200006) SELECT baseline, {_regm('y', 'p')} FROM l GROUP BY 1""")
+def _(spark, sf):
+    orders = cut_lineage(po(spark, sf).select("yyyymm", "actual_lead_days", "expected_lead_days"))
+    mean = orders.where("yyyymm <= 200006").agg(F.avg("actual_lead_days").alias("m")).scalar()
+    return sc.baselines(orders.where("yyyymm > 200006").withColumn("train_mean", mean), "actual_lead_days", {"order_expectation": "expected_lead_days", "train_mean": "train_mean"})
+
+
 @query("ml29_supplier_models")
 def _(spark, sf):
     return le.supplier_reliability(po(spark, sf), 200006)[0]

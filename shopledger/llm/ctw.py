@@ -33,7 +33,7 @@ from shopledger.llm.common import LOWER_CODE, U64, chunk_parts, chunk_table, cut
 
 DEPTH, END = 5, 11
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES, PART_BYTES = 24 << 20, 3 << 20
+CHUNK_BYTES, PART_BYTES = 24 << 20, 2 << 20
 LN2 = math.log(2)
 
 
@@ -292,12 +292,9 @@ def model_scores(docs: DataFrame, buckets: int = 64) -> DataFrame:
 
     def run(batches):
         for row in rows_of(batches):
-            # each part once: its different grams and words, and which stands where
-            held = []
-            for text in parts(row):
-                held.append((text, *different(text.code), *different(text.word)))
-                text.code = text.word = None
-            code, term = (np.unique(np.concatenate([h[k] for h in held])) for k in (1, 3))
+            found = [(different(text.code)[0], different(text.word)[0]) for text in parts(row)]
+            code, term = (np.unique(np.concatenate(c)) for c in zip(*found, strict=True))
+            del found
             order, cut = dealt(code, gram_key(code), buckets)
             place, edge = dealt(term, term, buckets)
             logp, use = np.zeros(len(code)), np.zeros(len(term), np.int64)
@@ -305,10 +302,13 @@ def model_scores(docs: DataFrame, buckets: int = 64) -> DataFrame:
                 b = a["bucket"]
                 logp[order[cut[b] : cut[b + 1]]] = np.frombuffer(a["logp"], np.float32)
                 use[place[edge[b] : edge[b + 1]]] = unpacked(a["uses"], np.int64)
-            for text, grams, gram, terms, word in held:
+            del row["answers"]
+            for text in parts(row):
                 docs = len(text.ids)
-                score = np.add.reduceat(logp[np.searchsorted(code, grams)][gram], text.bounds)
-                uses, divisor = use[np.searchsorted(term, terms)][word], n + 0.5 * (v + 1)
+                own, number = different(text.code)
+                score = np.add.reduceat(logp[np.searchsorted(code, own)][number], text.bounds)
+                own, number = different(text.word)
+                uses, divisor = use[np.searchsorted(term, own)][number], n + 0.5 * (v + 1)
                 count = np.bincount(text.word_doc, minlength=docs)
                 known = np.bincount(text.word_doc, weights=uses > 0, minlength=docs).astype(np.int64) + (ends > 0)
                 base = np.bincount(text.word_doc, weights=np.log10((uses + 0.5) / divisor), minlength=docs) + math.log10((ends + 0.5) / divisor)

@@ -1,5 +1,7 @@
 """Operators of the corpus subpackage against plain versions, and odd inputs."""
 
+import collections
+import itertools
 import math
 import os
 import random
@@ -102,22 +104,66 @@ def test_licenses(spark, none):
     assert licenses.license_scan(licenses.document_files(none)).count() == 0
 
 
-def test_license_cosine_against_brute_force(spark, sf):
-    docs = documents(spark, sf)
-    got = {r.file: r.own_license for r in licenses.own_licences(docs.selectExpr("doc_id AS file", "text")).collect()}
-    lines = [(i, licenses.plain(line)) for i, t in texts_of(docs) for line in t.split("\n")]
-    vocabulary = {w for t in licenses.TEMPLATES.values() for w in licenses.plain(t)}
-    weight = {w: 1 + math.log((1 + len(lines)) / (1 + sum(w in ws for _, ws in lines))) for w in vocabulary}
-    want = {}
-    for i, ws in lines:
-        norm = math.sqrt(sum((ws.count(w) * weight.get(w, 1)) ** 2 for w in set(ws)))
-        for name, text in licenses.TEMPLATES.items():
-            t = licenses.plain(text)
-            dot = sum(ws.count(w) * t.count(w) * weight[w] ** 2 for w in set(t))
-            c = round(dot / norm / math.sqrt(sum((t.count(w) * weight[w]) ** 2 for w in set(t))), 9) if norm else 0
-            if c >= licenses.THRESHOLD:
-                want.setdefault(i, []).append((-c, name))
-    assert got == {i: min(v)[1] for i, v in want.items()}
+def licences_by_all_units(files):
+    """{file: licence} by the definition: every run and stretch, each cosine from whole vectors."""
+    lines = {i: [licenses.plain(x) for x in (t or "").replace("\t", " ").replace("\r", " ").split("\n")] for i, t in files}
+    total = sum(len(v) for i, v in lines.items() if dict(files)[i] is not None)
+    df = collections.Counter(w for v in lines.values() for ws in v for w in set(ws))
+    weight = lambda w: 1 + math.log((1 + total) / (1 + df[w]))
+    vector = lambda ws: {w: n * weight(w) for w, n in collections.Counter(ws).items()}
+    dot = lambda x, y: sum(v * y[w] for w, v in x.items() if w in y)
+    cosine = lambda x, y: round(dot(x, y) / math.sqrt(dot(x, x)) / math.sqrt(dot(y, y)), 9)
+    short = [(n, t, 1) for n, t in [*sorted(licenses.TEMPLATES.items()), *licenses.HEADERS]]
+    out = {}
+    for name, text, order in [*short, *[(n, t, 0) for n, t in licenses.full_texts()]]:
+        t = vector(licenses.plain(text))
+        length = len(licenses.plain(text))
+        for i, v in lines.items():
+            v = [ws for ws in v if ws]
+            at = [n for n, ws in enumerate(v) if set(ws) & t.keys()]
+            place = [0, *itertools.accumulate(map(len, v))]
+            if order:
+                units = [(s, e) for s in at for e in at if s <= e and (s == e or place[e + 1] - place[s] <= licenses.SPAN * length)]
+            elif at:
+                near = [(s, max(e for e in at if e >= s and place[e] - place[s] < length)) for s in at]
+                units = [(0, len(v) - 1), max(near, key=lambda u: (round(dot(vector(sum((v[n] for n in at if u[0] <= n <= u[1]), [])), t) / math.sqrt(dot(t, t)), 9), -u[0]))]
+            else:
+                units = []
+            for s, e in units:
+                c = cosine(vector(sum(v[s : e + 1], [])), t)
+                if c >= licenses.THRESHOLD:
+                    out.setdefault(i, []).append((order, -c, name))
+    return {i: (min(v)[2], -min(v)[1]) for i, v in out.items()}
+
+
+def test_licenses_against_all_units(spark, sf):
+    mit = dict(licenses.full_texts())["MIT"]
+    body = mit[mit.index("Permission") :]
+    gpl = dict(licenses.HEADERS[::-1])["GPL-3.0"], [t for n, t in licenses.HEADERS if n == "GPL-3.0"][1]
+    narrow = lambda text, n: "\n".join("# " + " ".join(text.split()[k : k + n]) for k in range(0, len(text.split()), n))
+    planted = [
+        "import x\n\n" + "\n".join(" * " + line for line in body.split("\n")) + "\n\n" + "\n".join(f"value{k} = call{k % 7}(arg{k})" for k in range(80)),
+        "start of code\n" + narrow(gpl[1], 3) + "\nend of code",
+        narrow(body, 2), "Licensed under\nthe\n\nApache\nLicense,\nVersion 2.0.\nAll rights\nreserved, all wrongs avenged by the others",
+        "All rights reserved.\n" * 30, "licensed under the moon\n" * 40, "the\tLicense\rof all", "", None,
+    ]
+    files = texts_of(documents(spark, sf).limit(150)) + [(10**6 + k, t) for k, t in enumerate(planted)]
+    got = licenses.own_licences(spark.createDataFrame(files, "file long, text string")).collect()
+    want = licences_by_all_units(files)
+    assert {r.file: r.own_license for r in got} == {i: name for i, (name, _) in want.items()}
+    assert all(r.cosine == pytest.approx(want[r.file][1], abs=2e-9) for r in got)
+    assert [want.get(10**6 + k, (None,))[0] for k in range(4)] == ["MIT", "GPL-3.0", "MIT", "Apache-2.0"]
+    assert len(want) > 5
+
+
+def test_license_titles_of_other_files_and_odd_columns(spark):
+    text = "Attribution 4.0 International\n\n=====\n\nCreative Commons Attribution 4.0 International Public License\n\nBy exercising the Licensed Rights You accept\n"
+    rows = [(1, "a/LICENSE", True, text, "mine", 0.5, "d", 7, "r"), (2, "a/b/f", False, "code", "mine", 0.5, "d", 8, None)] + [(9 + k, f"c/{k}", False, f"plain {k}", None, None, None, None, None) for k in range(30)]
+    files = spark.createDataFrame(rows, "file long, path string, is_licence_file boolean, text string, license string, cosine double, directory string, row int, extra string")
+    out = licenses.license_scan(files)
+    assert out.columns == ["file", "path", "is_licence_file", "directory", "row", "extra", "own_license", "cosine", "license", "from_path"]
+    got = {r.file: (r.license, r.from_path, r.directory, r.row, r.extra) for r in out.collect()}
+    assert (got[1], got[2], got[9]) == (("CC-BY-4.0", "a/LICENSE", "d", 7, "r"), ("CC-BY-4.0", "a", "d", 8, None), (None,) * 5)
 
 
 def test_license_lines_of_rare_words_are_far_from_templates(spark):

@@ -1,4 +1,7 @@
-"""Exact top-k search by BM25 over an inverted index with block-max WAND pruning (operator 1).
+"""Exact top-k search by BM25 over an inverted index with block-max MaxScore pruning, term at a time (operator 1).
+
+Not the cursors and pivots of WAND: queries are whole documents with hundreds of
+terms, for which whole posting lists as arrays are the shorter way; README says so.
 
 The index is a table of shards, each the postings of some documents in order of
 term and document. Scores use global statistics: document count, mean length and

@@ -1,6 +1,7 @@
 """Operators of the corpus subpackage against plain versions, and odd inputs."""
 
 import collections
+import hashlib
 import itertools
 import math
 import os
@@ -500,3 +501,32 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in single.collect()} == {i for i, (_, c) in brute.near(texts_of(docs), 5).items() if c == i}
     rows = corpus_pipeline.run(spark, sf)
     assert rows.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns)
+
+
+def test_stages_on_odd_repeated_and_no_rows(spark, sf, odd, none):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, sf)
+        assert out.count() == 0
+        assert out.columns == none.columns or name == "best_fit_packing"
+    rows = odd_rows()
+    good = corpus_pipeline.quality_classifier(spark, odd, sf)
+    assert good.columns == odd.columns and {r.doc_id for r in good.collect()} <= {r[0] for r in rows}
+
+    # One row of each group, the repeated row once, rows without an id in no group.
+    groups = {i: c for i, (_, c) in brute.near(dict(known(rows)).items(), 5).items()}
+    single = corpus_pipeline.near_dedup(spark, odd, sf)
+    assert single.columns == odd.columns
+    assert sorted(r.doc_id for r in single.collect()) == sorted(i for i, c in groups.items() if c == i)
+
+    # The repeated row has its own id, so none of its bytes goes for the other's sake.
+    kept = {i: (n, sha) for i, (n, _, _, sha) in brute.passages(known(rows)).items()}
+    cut = corpus_pipeline.passage_dedup(spark, odd, sf)
+    assert cut.columns == odd.columns
+    got = sorted((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in cut.collect() if r.doc_id is not None)
+    assert got == sorted((i, kept[i][1]) for i, _ in known(rows))
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").first().text
+    told = odd.union(spark.createDataFrame([(77, f"before {item} after", "en", "s", 1, "c", "s", "x")], SCHEMA))
+    clean = corpus_pipeline.decontamination(spark, told, sf)
+    assert clean.columns == odd.columns
+    assert sorted(r.doc_id for r in clean.where("doc_id IS NOT NULL").collect()) == sorted(i for i, _ in known(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,7 +37,12 @@ def store_day_features(daily: DataFrame, calendar: DataFrame, stores: DataFrame)
 
 def store_plu_week(lines: DataFrame, first_day) -> DataFrame:
     """MRT-49: every week inside each store-product pair's carried life, zeros
-    included.  The week is arithmetic on the day, not a range join."""
+    included.  The week is arithmetic on the day, not a range join.
+
+    A week with lines stands for itself and for the empty weeks before the next
+    one, so only weeks with lines are shuffled; the dense rows are made last.
+    Lines without a store have no week of their own: all their weeks are zero.
+    """
     from shopledger.functions import week_seq, jdn
 
     zero = F.lit(0)
@@ -45,10 +50,14 @@ def store_plu_week(lines: DataFrame, first_day) -> DataFrame:
         F.sum("quantity").alias("units"), F.sum("sales").alias("sales"), (F.sum("sales") - F.sum("cost")).alias("margin"),
         F.sum(F.when(F.col("promo_type") != "", F.col("quantity")).otherwise(zero)).alias("promo_units"),
     )
-    life = actual.groupBy("store_id", "plu").agg(F.min("week_seq").alias("a"), F.max("week_seq").alias("b"))
-    spine = life.select("store_id", "plu", F.explode(F.sequence("a", "b")).alias("week_seq"))
-    out = spine.join(actual, ["store_id", "plu", "week_seq"], "left")
-    return out.select("store_id", "plu", "week_seq", *[F.coalesce(F.col(c), zero).alias(c) for c in ("units", "sales", "margin", "promo_units")])
+    by_week = Window.partitionBy("store_id", "plu").orderBy("week_seq")
+    until = F.coalesce(F.lead("week_seq").over(by_week) - 1, F.col("week_seq"))
+    runs = actual.where("week_seq IS NOT NULL").withColumn("until", until)
+    weeks = F.posexplode(F.sequence("week_seq", "until")).alias("gap", "week")
+    own = (F.col("gap") == 0) & F.col("store_id").isNotNull() & F.col("plu").isNotNull()
+    values = ("units", "sales", "margin", "promo_units")
+    out = runs.select("store_id", "plu", weeks, *values)
+    return out.select("store_id", "plu", F.col("week").alias("week_seq"), *[F.when(own, F.coalesce(F.col(c), zero)).otherwise(zero).alias(c) for c in values])
 
 
 def store_day_lags(spine: DataFrame, t: str = "t", target: str = "u", horizon: int = 14) -> DataFrame:

@@ -131,18 +131,19 @@ def exact_ntile(df: DataFrame, order: list[str], tiles: dict[str, int], ranges=N
 
 
 def exact_quantiles(
-    df: DataFrame, col: str, qs: dict[str, float], keys: list[str] | None = None, ranges=None
+    df: DataFrame, col: str, qs: dict[str, float], keys: list[str] | None = None, ranges=None, weight: str | None = None
 ) -> DataFrame:
     """AGG-10, AGG-12: exact interpolated quantiles per group for any group size.
 
     Values are counted first (map-side), so ties cost one row; the running
-    count then tells which values hold the two neighbouring ranks.
+    count then tells which values hold the two neighbouring ranks. ``weight``
+    names a whole number of rows that a row stands for.
     """
     keys = keys or []
     counts = (
         df.where(F.col(col).isNotNull())
         .groupBy(*keys, F.col(col).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     )
     counts = cut_lineage(counts)
     ranked = prefix_sum(counts, ["_v"], "_c", keys, "_b", ranges, cut=False)

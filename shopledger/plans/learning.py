@@ -39,7 +39,7 @@ def prepared(df: DataFrame, nums: Sequence[str], cats: Sequence[str]) -> DataFra
     return df.select(*rest, *[F.col(c).cast("double").alias(c) for c in nums], *[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in cats])
 
 
-def boosted(nums: Sequence[str], cats: Sequence[str], label: str, classify: bool, missing: Sequence[str] = (), kept_out: str | None = None, trees: int = MOST_TREES, depth: int = 4, seed: int = 42) -> Pipeline:
+def boosted(nums: Sequence[str], cats: Sequence[str], label: str, classify: bool, missing: Sequence[str] = (), kept_out: str | None = None, trees: int = MOST_TREES, depth: int = 4, seed: int = 42, weight: str | None = None) -> Pipeline:
     """Indicators of missing numbers, category codes, one feature vector, boosted trees."""
     columns = [f"coalesce(`{c}`, 0D) AS `{c}_in`" for c in nums] + [f"CAST(`{c}` IS NULL AS DOUBLE) AS `{c}_missing`" for c in missing]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")]
@@ -49,19 +49,29 @@ def boosted(nums: Sequence[str], cats: Sequence[str], label: str, classify: bool
     gbt = kind(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, maxBins=64, validationTol=LEAST_GAIN)
     if kept_out:
         gbt.setValidationIndicatorCol(kept_out)
+    if weight:
+        gbt.setWeightCol(weight)
     return Pipeline(stages=[*stages, gbt])
 
 
-def fitted(train: DataFrame, nums: Sequence[str], cats: Sequence[str], label: str, classify: bool, key: Column, trees: int = MOST_TREES) -> PipelineModel:
-    """Boosted trees on ``train``, stopped early by the rows of KEPT_OUT_PERCENT of the keys."""
+def held_from_fit(key: Column) -> Column:
+    """Whether a key belongs to the KEPT_OUT_PERCENT whose error ends the boosting."""
+    return md5_bucket(key, "stop", 100) < KEPT_OUT_PERCENT
+
+
+def fitted(train: DataFrame, nums: Sequence[str], cats: Sequence[str], label: str, classify: bool, key: Column | None, trees: int = MOST_TREES, held: Column | None = None, weight: str | None = None) -> PipelineModel:
+    """Boosted trees on ``train``, stopped early by the rows of KEPT_OUT_PERCENT of the keys.
+
+    ``weight`` names how many equal rows a row stands for; such rows bring ``held``
+    in place of the key.
+    """
     context = train.sparkSession.sparkContext
     if context.getCheckpointDir() is None:  # boosting cuts its own lineage there
         context.setCheckpointDir(shared_folder(train.sparkSession))
-    held = md5_bucket(key, "stop", 100) < KEPT_OUT_PERCENT
-    rows = train.withColumn("_kept_out", held)
+    rows = train.withColumn("_kept_out", held_from_fit(key) if held is None else held)
     known = rows.agg(F.count_if("_kept_out").alias("_k"), F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in nums]).first()
     stop = "_kept_out" if 0 < known["_k"] < known["_n"] else None
-    return boosted(nums, cats, label, classify, [c for c in nums if known[c]], stop, trees).fit(rows)
+    return boosted(nums, cats, label, classify, [c for c in nums if known[c]], stop, trees, weight=weight).fit(rows)
 
 
 def tree_count(model: PipelineModel) -> int:
@@ -239,15 +249,20 @@ def plu_forecast(features: DataFrame, nums: Sequence[str], train_until: int, tre
 
     The order adds the 0.85 residual quantile of the row's velocity band, taken
     from the training rows, and never goes under the forecast.
+
+    Most weeks of a dense panel look alike, so training rows with equal features,
+    label and side are one row that weighs as many; none is left out.
     """
     table = cut_lineage(prepared(features, nums, []).withColumn("label", F.col("units").cast("double")))
     seen = F.pmod(F.col("store_id"), F.lit(base)) != unseen
     train = table.where((F.col("week_seq") <= train_until) & seen)
-    model = fitted(train, nums, [], "label", False, F.concat_ws("|", F.col("store_id").cast("string"), F.col("plu").cast("string")), trees)
+    pair = F.concat_ws("|", F.col("store_id").cast("string"), F.col("plu").cast("string"))
+    counted = cut_lineage(train.groupBy(*nums, "label", held_from_fit(pair).alias("_held")).agg(F.count("*").alias("_rows")))
+    model = fitted(counted, nums, [], "label", False, None, trees, held=F.col("_held"), weight="_rows")
     band = F.when(F.col("roll13") >= 1.0, "fast").when(F.col("roll13") >= 0.3, "medium").when(F.col("roll13").isNotNull(), "slow").otherwise("new")
     p = F.greatest(F.lit(0.0), F.col("prediction"))
-    fit = model.transform(train).select(band.alias("velocity_band"), (F.col("label") - p).alias("resid"))
-    up = exact_quantiles(fit, "resid", {"extra": SERVICE_Q}, ["velocity_band"])
+    fit = model.transform(counted).select(band.alias("velocity_band"), (F.col("label") - p).alias("resid"), "_rows")
+    up = exact_quantiles(fit, "resid", {"extra": SERVICE_Q}, ["velocity_band"], weight="_rows")
     scored = model.transform(table.where(F.col("week_seq") > train_until)).select("store_id", F.when(seen, "Y").otherwise("N").alias("seen_store"), "plu", "week_seq", F.col("label").alias("units"), p.alias("predicted_units"), band.alias("velocity_band"), "lag_2", "roll4")
     j = scored.join(up, "velocity_band", "left")
     return j.withColumn("order_quantity", F.greatest(F.col("predicted_units"), F.col("predicted_units") + F.coalesce("extra", F.lit(0.0)))).drop("extra")

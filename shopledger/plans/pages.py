@@ -53,18 +53,28 @@ def flatten_html(pages: DataFrame, out: str = "flat") -> DataFrame:
     return with_cells(pages, "_cells").withColumn(out, F.array_join("_cells", " | ")).drop("_cells")
 
 
-def cell_after(cells: str, test) -> Column:
-    """The cell behind the first one that passes ``test`` (cell, next cell), or ''."""
+def cell_pairs(cells: str) -> Column:
+    """Each cell with the one behind it, '' behind the last."""
     size = F.size(cells)
-    pairs = F.zip_with(F.col(cells), F.slice(F.col(cells), F.lit(2), F.greatest(size - 1, F.lit(0))), lambda a, b: F.struct(a.alias("at"), F.coalesce(b, F.lit("")).alias("then")))
+    return F.zip_with(F.col(cells), F.slice(F.col(cells), F.lit(2), F.greatest(size - 1, F.lit(0))), lambda a, b: F.struct(a.alias("at"), F.coalesce(b, F.lit("")).alias("then")))
+
+
+def cell_after(pairs: str, test) -> Column:
+    """The cell behind the first one that passes ``test`` (cell, next cell), or ''."""
     return F.coalesce(F.get(F.filter(pairs, lambda p: test(p["at"], p["then"])), F.lit(0))["then"], F.lit(""))
 
 
-def nutrient(cells: str, label: str, unit: str) -> Column:
+def amounts(pairs: str) -> Column:
+    """The few pairs that end in an amount of a unit of the panel."""
+    units = "|".join(dict.fromkeys(unit for _, _, unit in PANEL))
+    return F.filter(pairs, lambda p: p["then"].rlike(rf"^[\d.]+ (?:{units})"))
+
+
+def nutrient(pairs: str, label: str, unit: str) -> Column:
     """The amount of one line of the panel: a label cell, then amount and unit."""
     names = (lambda c: c == label) if label in WHOLE_LABELS else (lambda c: c.endswith(label))
     amount = rf"^([\d.]+) {unit}"
-    return F.regexp_extract(cell_after(cells, lambda at, then: names(at) & then.rlike(amount)), amount, 1)
+    return F.regexp_extract(cell_after(pairs, lambda at, then: names(at) & then.rlike(amount)), amount, 1)
 
 
 def package_sizes(cells: str) -> Column:
@@ -91,15 +101,18 @@ def extract_product(pages: DataFrame, key: str, max_sizes: int | None = None) ->
     if max_sizes is not None:
         d = d.withColumn("_sizes", F.slice("_sizes", 1, max_sizes))
 
+    # paired once; the lines of the panel are sought among the amounts only
+    d = d.withColumn("_pairs", cell_pairs("_cells")).withColumn("_amounts", amounts("_pairs"))
+
     # the tab heading stands twice before the ingredients
     tab = F.filter(F.sequence(F.lit(0), F.size("_cells")), lambda i: (F.get("_cells", i) == "Ingredients") & (F.get("_cells", i + 1) == "Ingredients"))
     d = d.withColumn("_tab", F.get(tab, F.lit(0)))
     cell = lambda k: F.coalesce(F.get("_cells", F.col("_tab") + k), F.lit(""))
-    serving = F.regexp_extract(cell_after("_cells", lambda at, then: (at == "Nutrition Facts") & then.startswith("Per ")), "^Per (.*)$", 1)
+    serving = F.regexp_extract(cell_after("_pairs", lambda at, then: (at == "Nutrition Facts") & then.startswith("Per ")), "^Per (.*)$", 1)
     energy = F.regexp_extract(F.coalesce(F.get(F.filter("_cells", lambda c: c.rlike(r"Calories \d")), F.lit(0)), F.lit("")), r"Calories (\d+)", 1)
     return d.select(
         key, field("$.productID").alias("plu"), field("$.name").alias("product_name"), F.regexp_replace(field("$.description"), r"\s+", " ").alias("web_description"), field("$.offers.price").alias("price"),
         F.when(field("$.offers.availability").contains("InStock"), "Y").otherwise("N").alias("in_stock"), F.array_join("_sizes", " / ").alias("package_size"), size_in_grams("_sizes").alias("size_g"),
         cell(2).alias("ingredients"), F.when(cell(3) == "Allergens", cell(4)).otherwise("").alias("allergens"),
-        serving.alias("serving_size"), F.regexp_extract(serving, r"\(([\d.]+) ?g\)", 1).alias("serving_g"), energy.alias("calories"), *[nutrient("_cells", label, unit).alias(c) for c, label, unit in PANEL],
+        serving.alias("serving_size"), F.regexp_extract(serving, r"\(([\d.]+) ?g\)", 1).alias("serving_g"), energy.alias("calories"), *[nutrient("_amounts", label, unit).alias(c) for c, label, unit in PANEL],
     )

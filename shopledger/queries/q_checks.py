@@ -16,6 +16,7 @@ from shopledger.queries.q_stores import PO, po
 from shopledger.queries.q_windows import DENSE, dense_days
 from shopledger.queries.q_analytics import _regm
 from shopledger.queries.registry import query
+from shopledger.session import spread
 from shopledger.sources import retail
 from shopledger.sources.tables import read_table, stream_table
 from shopledger.streaming import alerts
@@ -266,7 +267,7 @@ def product_pages(spark, sf):
         F.lit(" flour</p>"), F.when(size % 4 == 0, F.concat(F.lit("<b>Allergens</b><p>Wheat, "), F.col("p_brand"), F.lit("</p>"))).otherwise(""), F.lit("<div>Nutrition Facts</div><div>Per 1 piece ("), s(size), F.lit(" g)</div><div>Calories "), s(size * 4), F.lit("</div><div>Fat</div><div>"), s(size % 9), F.lit(" g</div><div>Sodium</div><div>"), s(size * 3), F.lit(" mg</div>"),
         *[x for label, k, unit in (("Saturated", 2, "g"), ("Trans Fat", 8, "g"), ("Total Carbohydrate", 5, "g"), ("Dietary Fibre", 3, "g"), ("Sugars", 4, "g"), ("Protein", 6, "g"), ("Cholesterol", 7, "mg"), ("Potassium", 11, "mg")) for x in (F.lit(f"<p>{label}</p><i>"), s(size * k), F.lit(f" {unit}</i>"))], F.lit("</html>"),
     )
-    return read_table(spark, sf, "part").select(k.alias("page_id"), body.alias("html"))
+    return spread(read_table(spark, sf, "part")).select(k.alias("page_id"), body.alias("html"))
 
 
 @query("web03_product_records", """SELECT p_partkey AS page_id, CAST(p_partkey AS VARCHAR) AS plu, p_name || ' &amp; co' AS product_name, 'A good ' || p_type AS web_description, CAST(p_retailprice AS VARCHAR) AS price, CASE WHEN p_size % 2 = 0 THEN 'Y' ELSE 'N' END AS in_stock,

@@ -74,3 +74,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = os.path.join(shared_folder(spark), f"cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many tasks as a shuffle has, for costly work on narrow rows.
+
+    A small file of many narrow rows is read by one task or few, however much
+    each row has to go through afterwards.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism))

@@ -10,7 +10,7 @@ the path ends at the last one that was, which leaves every prediction normalised
 
 Chunks ask with their different grams (context and byte) and words, dealt by the
 two nearest context bytes or by word; a bucket merges the counts of all chunks,
-builds its subtrees and answers every chunk in the order it asked. Only the nodes
+builds its subtrees and answers every chunk, question by question. Only the nodes
 of depth 0 and 1, at most 257 * 255, pass through the driver. A word or gram that
 is everywhere brings one entry for each chunk.
 
@@ -269,7 +269,7 @@ def answer(stop: np.ndarray, one: np.ndarray, seen_top: np.ndarray):
         cut, edge = np.cumsum([0, *sizes]), np.cumsum([0, *term_sizes])
         every, uses = logp[at].astype(np.float32), use[where].astype(np.int64)
         return pa.table({
-            "chunk": group.column("chunk"), "bucket": group.column("bucket"),
+            "chunk": group.column("chunk"), "codes": group.column("codes"), "terms": group.column("terms"),
             "logp": pa.array([every[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary()),
             "uses": pa.array([packed(uses[i:j]) for i, j in zip(edge, edge[1:], strict=False)], pa.binary()),
         })
@@ -277,6 +277,13 @@ def answer(stop: np.ndarray, one: np.ndarray, seen_top: np.ndarray):
     return run
 
 
+def in_order(names: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all buckets in order, and their values; a name is in one bucket only."""
+    name, value = np.concatenate(names), np.concatenate(values)
+    order = np.argsort(name)
+    return name[order], value[order]
+
+
 def model_scores(docs: DataFrame, buckets: int = 64) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and code length in bits a byte."""
     table = chunk_table(docs, chunk_bytes=CHUNK_BYTES).select("chunk", "ids", "lens", "body")
@@ -286,23 +293,16 @@ def model_scores(docs: DataFrame, buckets: int = 64) -> DataFrame:
     total = next((r for r in rows if r["c1"] < 0), None)
     ends = int(total["logp"]) if total else 0
     n, v = (int(total["n0"]) + ends, int(total["n1"]) + (ends > 0)) if total else (0, 0)
-    answers = asked.groupBy("bucket").applyInArrow(answer(stop, one, seen), "chunk long, bucket int, logp binary, uses binary")
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "logp", "uses")).alias("answers"))
+    answers = asked.groupBy("bucket").applyInArrow(answer(stop, one, seen), "chunk long, codes binary, terms binary, logp binary, uses binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("codes", "terms", "logp", "uses")).alias("answers"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
     def run(batches):
         for row in rows_of(batches):
-            found = [(different(text.code)[0], different(text.word)[0]) for text in parts(row)]
-            code, term = (np.unique(np.concatenate(c)) for c in zip(*found, strict=True))
-            del found
-            order, cut = dealt(code, gram_key(code), buckets)
-            place, edge = dealt(term, term, buckets)
-            logp, use = np.zeros(len(code)), np.zeros(len(term), np.int64)
-            for a in row["answers"]:
-                b = a["bucket"]
-                logp[order[cut[b] : cut[b + 1]]] = np.frombuffer(a["logp"], np.float32)
-                use[place[edge[b] : edge[b + 1]]] = unpacked(a["uses"], np.int64)
-            del row["answers"]
+            answers = row.pop("answers")
+            code, logp = in_order([np.cumsum(unpacked(a["codes"], U64), dtype=U64) for a in answers], [np.frombuffer(a["logp"], np.float32).astype(float) for a in answers])
+            term, use = in_order([np.frombuffer(a["terms"], U64) for a in answers], [unpacked(a["uses"], np.int64) for a in answers])
+            del answers
             for text in parts(row):
                 docs = len(text.ids)
                 own, number = different(text.code)

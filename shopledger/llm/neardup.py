@@ -28,11 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopledger.llm.common import LOWER_CODE, U64, cut_lineage, id_and_text, mixed, prefix_hashes, record_batch, span_hashes, text_bytes, words
+from shopledger.llm.common import LOWER_CODE, U64, cut_lineage, id_and_text, mixed, prefix_hashes, record_batch, span_hashes, text_parts, words
 from shopledger.llm.components import components
 
 SYMBOLS, BITS, CHUNKS, LIMIT = 64, 16, 14, 27
 BLOCK = 500
+#: Texts are hashed in parts of about this size, so a batch of long texts needs no more memory than one of short ones.
+PART_BYTES = 1 << 20
 _A = mixed(np.arange(1, SYMBOLS + 1, dtype=U64)) | U64(1)
 _B = mixed(np.arange(1001, 1001 + SYMBOLS, dtype=U64))
 _TAG = mixed(np.arange(5001, 5001 + SYMBOLS, dtype=U64))
@@ -73,20 +75,28 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mixed(low) >> U64(64 - BITS)).astype(np.uint16)
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the set, its signature and the compressed text."""
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
+SIGNATURES = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
+
+
+def signature_rows(size: int):
+    """Signatures of batches of (doc_id, text), in parts of about PART_BYTES."""
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(*text_bytes(batch.column(1)), size)
-            with np.errstate(over="ignore"):
-                f1 = np.array([s.sum(dtype=U64) for s in sets], U64).view(np.int64)
-                f2 = np.array([np.bitwise_xor.reduce(mixed(s + U64(77))) if len(s) else U64(0) for s in sets], U64).view(np.int64)
-                sig = [signature(s).tobytes() for s in sets]
-            yield record_batch(schema, (batch.column(0), [len(s) for s in sets], f1, f2, sig))
-
-    return id_and_text(docs).mapInArrow(run, schema)
+            for ids, data, offsets in text_parts(batch, PART_BYTES):
+                sets = shingle_sets(data, offsets, size)
+                with np.errstate(over="ignore"):
+                    f1 = np.array([s.sum(dtype=U64) for s in sets], U64).view(np.int64)
+                    f2 = np.array([np.bitwise_xor.reduce(mixed(s + U64(77))) if len(s) else U64(0) for s in sets], U64).view(np.int64)
+                    sig = [signature(s).tobytes() for s in sets]
+                yield record_batch(SIGNATURES, (ids, [len(s) for s in sets], f1, f2, sig))
+
+    return run
+
+
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit name of the set, its signature and the compressed text."""
+    return id_and_text(docs).mapInArrow(signature_rows(size), SIGNATURES)
 
 
 def _sig_matrix(column) -> np.ndarray:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopledger.functions import ceil_to, fixed, money, pct, safe_div
+from shopledger.functions import ceil_to, fixed, money, nonzero, pct, safe_div
 from shopledger.operators.aggregates import argmax_of
 from shopledger.operators.joins import below_group_mean, beside, theta_count
 from shopledger.operators.reshape import union_all
@@ -90,11 +90,15 @@ def purchase_orders(lines: DataFrame) -> DataFrame:
     are what it may expect. Units that came back were not received.
     """
     lead = F.greatest(F.lit(0), F.col("ship_days"))
-    usual = lines.groupBy("supplier_id").agg(F.floor(F.avg(lead) + 0.5).cast("bigint").alias("expected_lead_days"))
-    g = lines.groupBy("store_id", "supplier_id", "yyyymm").agg(
+    g = lines.where("supplier_id IS NOT NULL").groupBy("store_id", "supplier_id", "yyyymm").agg(
         F.sum("quantity").alias("units"), F.sum("cost").alias("cost_line"), F.countDistinct("plu").alias("line_count"), F.min("sale_date").alias("order_date"),
         F.max(lead).cast("bigint").alias("actual_lead_days"), F.sum(F.when(F.col("return_flag") != "R", F.col("quantity")).otherwise(F.lit(0))).alias("received_units"),
-    ).join(usual, "supplier_id")
+        F.sum(lead).alias("_days"), F.count(lead).alias("_shipped"),
+    )
+    # a supplier has no more orders than stores and months
+    supplier = Window.partitionBy("supplier_id")
+    usual = F.sum("_days").over(supplier) / nonzero(F.sum("_shipped").over(supplier))
+    g = g.withColumn("expected_lead_days", F.floor(usual + 0.5).cast("bigint"))
     ordered = ceil_to(F.col("units"), 10)
     return g.select(
         F.concat_ws("-", F.lit("PO"), F.col("store_id").cast("string"), F.col("yyyymm").cast("string"), F.col("supplier_id").cast("string")).alias("po_number"),

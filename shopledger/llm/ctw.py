@@ -33,7 +33,7 @@ from shopledger.llm.common import LOWER_CODE, U64, chunk_parts, chunk_table, cut
 
 DEPTH, END = 5, 11
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES, PART_BYTES = 24 << 20, 2 << 20
+CHUNK_BYTES, PART_BYTES, BATCH_BYTES = 24 << 20, 512 << 10, 8 << 20
 LN2 = math.log(2)
 
 
@@ -114,20 +114,28 @@ class Text:
         return added(self.word, self.train[self.word_doc].astype(np.int64))
 
 
+def in_runs(name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by name, the names in it, and where each different one begins."""
+    order = np.argsort(name)
+    name = name[order]
+    first = np.ones(len(name), bool)
+    first[1:] = name[1:] != name[:-1]
+    return order, name, first
+
+
 def added(name: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different names with summed counts."""
-    unique, number = different(name)
-    return unique, np.bincount(number, weights=count, minlength=len(unique)).astype(np.int64)
+    order, name, first = in_runs(name)
+    at = np.flatnonzero(first)
+    return name[at], np.add.reduceat(count[order], at) if len(at) else count[:0]
 
 
 def different(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different names in order, and which of them stands at each place; only the different ones are sorted."""
-    coded = pa.array(name).dictionary_encode()
-    unique = coded.dictionary.to_numpy()
-    order = np.argsort(unique)
-    rank = np.empty(len(unique), np.int32)
-    rank[order] = np.arange(len(unique), dtype=np.int32)
-    return unique[order], rank[coded.indices.to_numpy()]
+    """Different names in order, and which of them stands at each place."""
+    order, name, first = in_runs(name)
+    number = np.empty(len(name), np.int32)
+    number[order] = np.cumsum(first, dtype=np.int32) - 1
+    return name[first], number
 
 
 def dealt(name: np.ndarray, key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +150,31 @@ def gram_key(code: np.ndarray) -> np.ndarray:
     return mixed(code >> U64(8 * (DEPTH - 1)))
 
 
+class Tally:
+    """Different names with summed counts; those of new parts are added up once as many wait as are known."""
+
+    def __init__(self):
+        self.held, self.waiting = [(np.zeros(0, U64), np.zeros(0, np.int64))], 0
+
+    def add(self, name: np.ndarray, count: np.ndarray) -> None:
+        self.held.append((name, count))
+        self.waiting += len(name)
+        if self.waiting > len(self.held[0][0]):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held) > 1:
+            self.held, self.waiting = [added(*(np.concatenate(c) for c in zip(*self.held, strict=True)))], 0
+        return self.held[0]
+
+
 def questions(row: dict):
     """A chunk's different grams and words with training counts, each in order of the name."""
-    found = [(*t.grams(), *t.terms()) for t in parts(row)]
-    code, count, term, use = (np.concatenate(c) for c in zip(*found, strict=True))
-    return *added(code, count), *added(term, use)
+    grams, terms = Tally(), Tally()
+    for t in parts(row):
+        grams.add(*t.grams())
+        terms.add(*t.terms())
+    return *grams.total(), *terms.total()
 
 
 ASK = "bucket int, chunk long, codes binary, counts binary, terms binary, uses binary"
@@ -287,6 +315,7 @@ def in_order(names: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndar
 def model_scores(docs: DataFrame, buckets: int = 64) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and code length in bits a byte."""
     table = chunk_table(docs, chunk_bytes=CHUNK_BYTES).select("chunk", "ids", "lens", "body")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # a chunk and its answers at a time
     asked = cut_lineage(table.mapInArrow(ask(buckets), ASK))
     rows = asked.groupBy("bucket").applyInArrow(subtree_sums, TOP).groupBy("c1", "z").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "logp"))).collect()
     stop, one, seen = top_nodes(rows)

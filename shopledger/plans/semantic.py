@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopledger.functions import fixed, pct
@@ -155,13 +155,17 @@ def metric(
     return measured(df, model, [m.measure], keys).withColumn(m.measure, F.col(m.measure).cast("double")).withColumnRenamed(m.measure, out)
 
 
-def measured(df: DataFrame, model: Model, names: Sequence[str], keys: Sequence[Column] = ()) -> DataFrame:
+def measured(df: DataFrame, model: Model, names: Sequence[str], keys: Sequence[Column] = (), fine: bool = False) -> DataFrame:
     """SEM-02: several measures by the same groups, each part at its own grain.
 
     Plain aggregates take one pass. Distinct counts are first brought to one row
     for each group and counted value, with a flag for each condition, and then
     counted, so a row is never copied; one such pass serves all counts of a key.
     The results meet on the group keys.
+
+    ``fine`` says that groups may be as fine as a row. Combining before the shuffle
+    would then hold nearly every row twice in the task that joins them, so the rows
+    go to a stage of their own, whose sort finds the first row of each counted value.
     """
     wanted = [model.measures[n] for n in names]
     keyed = df.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
@@ -174,7 +178,12 @@ def measured(df: DataFrame, model: Model, names: Sequence[str], keys: Sequence[C
     sides = [keyed.groupBy(*groups).agg(*[F.expr(text).alias(name) for name, text in plain.items()])] if plain else []
     for key, parts in counts.items():
         value = F.expr(key)
-        per = keyed.where(value.isNotNull()).groupBy(*groups, value.alias("_v")).agg(*[F.max(F.expr(condition)).alias(name) for name, condition in parts])
+        flagged = keyed.where(value.isNotNull()).select(*groups, value.alias("_v"), *[F.expr(condition).alias(name) for name, condition in parts])
+        if fine and all(condition == "true" for _, condition in parts):
+            first = F.row_number().over(Window.partitionBy(*groups, "_v").orderBy("_v"))
+            per = flagged.repartition(*groups, "_v").withColumn("_row", first).where("_row = 1")
+        else:
+            per = flagged.groupBy(*groups, "_v").agg(*[F.max(name).alias(name) for name, _ in parts])
         sides.append(per.groupBy(*groups).agg(*[F.count_if(name).alias(name) for name, _ in parts]))
     out, zero = sides[0], [name for parts in counts.values() for name, _ in parts]
     for i, side in enumerate(sides[1:]):

@@ -42,7 +42,7 @@ def _(spark, sf):
     keys = [F.expr(model.dimensions[d].expr).alias(d) for d in ("transaction_sequence", "customer_email_flag", "transaction_time", "hour_of_day", "extended_event_id")]
     model.measure("line_items", "count(*)").measure("transactions", "count(DISTINCT transaction_number)", formula="t", distinct={"t": ("transaction_number", "true")})
     model.measure("top_cost", "CAST(max(pricebook_cost) AS double)")
-    return sem.measured(model.rows(spark, sf), model, ["line_items", "transactions", "top_cost"], keys)
+    return sem.measured(model.rows(spark, sf), model, ["line_items", "transactions", "top_cost"], keys, fine=True)
 
 
 @query("sem02_measures", f"""{L} SELECT region AS store_region, count(DISTINCT txn_id) AS total_transactions, {m('sum(sales)')} AS total_revenue, {m('sum(sales) - sum(cost)')} AS gross_profit, {m('sum(regular_value) - sum(sales)')} AS price_reduction_amount,

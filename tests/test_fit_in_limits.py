@@ -4,8 +4,11 @@ import tracemalloc
 
 import numpy as np
 import zstandard
+from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from shopledger.llm import ctw
+from shopledger.plans.semantic import Model, measured
 
 
 def chunk(data: bytes, docs: int) -> dict:
@@ -30,3 +33,19 @@ def test_grams_of_a_chunk_are_counted_in_little_memory():
         unique, number = np.unique(every, return_inverse=True)
         assert np.array_equal(names, unique)
         assert np.array_equal(counts, np.bincount(number, weights=weight))
+
+
+def test_fine_groups_count_values_in_a_stage_of_their_own(spark):
+    rows = [(None, "a", 1), (None, "a", 1), (None, "a", 2), (1, "a", 1), (1, "a", None), (1, "b", 3), (1, "b", 3), (2, None, None)]
+    df = spark.createDataFrame(rows, "k int, s string, v long")
+    model = Model("m", lambda spark, folder: df).measure("n", "count(*)").measure("vs", "count(DISTINCT v)", formula="t", distinct={"t": ("v", "true")})
+    keys = [F.col("k"), F.col("s")]
+    fine, usual = (measured(df, model, ["n", "vs"], keys, fine=f) for f in (True, False))
+    want = {(None, "a", 3, 2), (1, "a", 2, 1), (1, "b", 2, 1), (2, None, 1, 0)}
+    assert {tuple(r) for r in fine.collect()} == {tuple(r) for r in usual.collect()} == want
+    assert "Window" in fine._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_dimensions_hold_no_map_of_lines(spark):
+    plan = queries()["sem01_line_dimensions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any("HashAggregate(keys" in line and "_v#" in line for line in plan.splitlines())

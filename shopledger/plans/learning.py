@@ -112,7 +112,9 @@ def train_churn(df: DataFrame, train_until: int, cats: Sequence[str] = (), train
     overdue ratio and the repeat-buying probability.
     """
     known = df.where("is_scoring_row = 'N' AND churn_adaptive IS NOT NULL").withColumn("bucket", md5_bucket(F.col("customer_id"), "cv", 100))
-    table = cut_lineage(prepared(known.withColumn("label", F.col("churn_adaptive").cast("double")), CHURN_NUMS, cats))
+    # only what the models read is made and written
+    known = known.select("as_of", "customer_id", "is_scoring_row", "bucket", F.col("churn_adaptive").cast("double").alias("label"), "bgnbd_frequency", "bgnbd_recency", "bgnbd_t", *CHURN_NUMS, *cats)
+    table = cut_lineage(prepared(known, CHURN_NUMS, cats))
     training = (F.col("as_of") <= train_until) & (F.col("bucket") < train_share)
     fit = rb.bgnbd_fit(churn_histories(table.where(training)))
     table = table.withColumn("p_alive", sc.p_alive(F.col("bgnbd_frequency"), F.col("bgnbd_recency") / WEEK, F.col("bgnbd_t") / WEEK, fit.params))

@@ -42,7 +42,8 @@ def _(spark, sf):
 @query("ml19_permutation_importance")
 def _(spark, sf):
     """All features of the forward margin model, scored on a later as-of month than it was fitted on."""
-    table = cut_lineage(le.prepared(clv_set(spark, sf).withColumn("label", F.col("future_margin").cast("double")), le.CLV_NUMS, []))
+    rows = clv_set(spark, sf).select("customer_id", "as_of_seq", F.col("future_margin").cast("double").alias("label"), *le.CLV_NUMS)
+    table = cut_lineage(le.prepared(rows, le.CLV_NUMS, []))
     train, later = (table.where(F.col("as_of_seq") == k).select("customer_id", "label", *le.CLV_NUMS) for k in (54, 66))
     model = le.fitted(train, le.CLV_NUMS, [], "label", False, F.col("customer_id"))
     return sc.perm_importance(model, later, le.CLV_NUMS, "customer_id", "label").withColumn("error_rise", F.round("error_rise", 4))

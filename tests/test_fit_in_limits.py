@@ -3,12 +3,15 @@
 import tracemalloc
 
 import numpy as np
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from shopledger.llm import ctw
+from shopledger.plans import learning as le
 from shopledger.plans.semantic import Model, measured
+from shopledger.queries import q_learning
 
 
 def chunk(data: bytes, docs: int) -> dict:
@@ -49,3 +52,28 @@ def test_fine_groups_count_values_in_a_stage_of_their_own(spark):
 def test_line_dimensions_hold_no_map_of_lines(spark):
     plan = queries()["sem01_line_dimensions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any("HashAggregate(keys" in line and "_v#" in line for line in plan.splitlines())
+
+
+class Written(Exception):
+    """Ends a query at its first written table."""
+
+
+def written_columns(monkeypatch, module, run) -> set[str]:
+    def stop(df):
+        raise Written(df.columns)
+
+    monkeypatch.setattr(module, "cut_lineage", stop)
+    with pytest.raises(Written) as got:
+        run()
+    return set(got.value.args[0])
+
+
+def test_fits_write_only_the_columns_they_read(spark, monkeypatch):
+    base = ["as_of int", "customer_id long", "is_scoring_row string", "churn_adaptive int", "bgnbd_frequency long", "bgnbd_recency int", "bgnbd_t int", "segment string", "unread double"]
+    churn = spark.createDataFrame([], ", ".join(base + [f"{c} double" for c in le.CHURN_NUMS]))
+    got = written_columns(monkeypatch, le, lambda: le.train_churn(churn, 10, ["segment"]))
+    assert got == {"as_of", "customer_id", "is_scoring_row", "bucket", "label", "bgnbd_frequency", "bgnbd_recency", "bgnbd_t", "segment", *le.CHURN_NUMS}
+    value = spark.createDataFrame([], ", ".join(["customer_id long", "as_of_seq int", "future_margin decimal(18,2)", "future_sales decimal(18,2)"] + [f"{c} double" for c in le.CLV_NUMS]))
+    monkeypatch.setattr(q_learning, "clv_set", lambda spark, sf: value)
+    got = written_columns(monkeypatch, q_learning, lambda: queries()["ml19_permutation_importance"](spark, ""))
+    assert got == {"customer_id", "as_of_seq", "label", *le.CLV_NUMS}

@@ -33,7 +33,7 @@ from shopledger.llm.common import LOWER_CODE, U64, chunk_parts, chunk_table, cut
 
 DEPTH, END = 5, 11
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES, PART_BYTES, BATCH_BYTES = 24 << 20, 512 << 10, 8 << 20
+CHUNK_BYTES, PART_BYTES, BATCH_BYTES = 24 << 20, 128 << 10, 8 << 20
 LN2 = math.log(2)
 
 

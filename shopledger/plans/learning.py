@@ -25,6 +25,7 @@ from shopledger.operators.joins import with_scalars
 from shopledger.operators.ordered import exact_ntile, exact_quantiles
 from shopledger.plans import repeat_buying as rb
 from shopledger.plans import scoring as sc
+from shopledger.plans.demand import LOOK_BACK
 from shopledger.session import cut_lineage, shared_folder
 
 SERVICE_Q = 0.85
@@ -243,7 +244,7 @@ def store_day_forward(features: DataFrame, nums: Sequence[str], cats: Sequence[s
     return model.transform(ahead).select("store_id", "t", F.greatest(F.lit(0.0), "prediction").alias("predicted_units"), F.lit(best).alias("regime"))
 
 
-def plu_forecast(features: DataFrame, nums: Sequence[str], train_until: int, trees: int = MOST_TREES, base: int = 5, unseen: int = 1) -> DataFrame:
+def plu_forecast(features: DataFrame, nums: Sequence[str], train_until: int, trees: int = MOST_TREES, base: int = 5, unseen: int = 1, runs: DataFrame | None = None) -> DataFrame:
     """ML-27: product-week forecast and order quantity for every store.
 
     The stores of one residue class stay out of the fit, so later weeks show
@@ -254,20 +255,43 @@ def plu_forecast(features: DataFrame, nums: Sequence[str], train_until: int, tre
 
     Most weeks of a dense panel look alike, so training rows with equal features,
     label and side are one row that weighs as many; none is left out.
+
+    ``features`` are those of every week, or, with ``runs``, of the weeks of each
+    series of ``demand.week_series``: a week of a run has the features of its
+    number in the run's series.
     """
     table = cut_lineage(prepared(features, nums, []).withColumn("label", F.col("units").cast("double")))
     seen = F.pmod(F.col("store_id"), F.lit(base)) != unseen
-    train = table.where((F.col("week_seq") <= train_until) & seen)
-    pair = F.concat_ws("|", F.col("store_id").cast("string"), F.col("plu").cast("string"))
-    counted = cut_lineage(train.groupBy(*nums, "label", held_from_fit(pair).alias("_held")).agg(F.count("*").alias("_rows")))
+    held = held_from_fit(F.concat_ws("|", F.col("store_id").cast("string"), F.col("plu").cast("string")))
+    if runs is None:
+        train = table.where((F.col("week_seq") <= train_until) & seen).withColumn("_held", held).withColumn("_n", F.lit(1).cast("bigint"))
+    else:
+        # runs of one series that end alike are counted first; the last step stands for all later weeks
+        last = F.least(F.col("until"), F.lit(train_until)) - F.col("week_seq")
+        step = F.least(last, F.lit(LOOK_BACK + 1))
+        alike = runs.where((F.col("week_seq") <= train_until) & seen).groupBy("series", held.alias("_held"), step.alias("_last")).agg(F.count("*").alias("_n"), F.sum(last - step).alias("_more"))
+        weeks = alike.select("series", "_held", "_n", "_more", F.explode(F.sequence(F.lit(0), "_last")).alias("week_seq"))
+        number = F.col("_n") + F.when(F.col("week_seq") == LOOK_BACK + 1, F.col("_more")).otherwise(0)
+        train = weeks.groupBy("series", "week_seq", "_held").agg(F.sum(number).alias("_n")).join(table, ["series", "week_seq"])
+    counted = cut_lineage(train.groupBy(*nums, "label", "_held").agg(F.sum("_n").alias("_rows")))
     model = fitted(counted, nums, [], "label", False, None, trees, held=F.col("_held"), weight="_rows")
     band = F.when(F.col("roll13") >= 1.0, "fast").when(F.col("roll13") >= 0.3, "medium").when(F.col("roll13").isNotNull(), "slow").otherwise("new")
     p = F.greatest(F.lit(0.0), F.col("prediction"))
     fit = model.transform(counted).select(band.alias("velocity_band"), (F.col("label") - p).alias("resid"), "_rows")
     up = exact_quantiles(fit, "resid", {"extra": SERVICE_Q}, ["velocity_band"], weight="_rows")
-    scored = model.transform(table.where(F.col("week_seq") > train_until)).select("store_id", F.when(seen, "Y").otherwise("N").alias("seen_store"), "plu", "week_seq", F.col("label").alias("units"), p.alias("predicted_units"), band.alias("velocity_band"), "lag_2", "roll4")
-    j = scored.join(up, "velocity_band", "left")
-    return j.withColumn("order_quantity", F.greatest(F.col("predicted_units"), F.col("predicted_units") + F.coalesce("extra", F.lit(0.0)))).drop("extra")
+    keys = ["store_id", "plu"] if runs is None else ["series"]
+    later = table.where(F.col("week_seq") > train_until) if runs is None else table.where(F.col("week_seq") >= 0)
+    scored = model.transform(later).select(*keys, "week_seq", F.col("label").alias("units"), p.alias("predicted_units"), band.alias("velocity_band"), "lag_2", "roll4")
+    scored = scored.join(up, "velocity_band", "left").withColumn("order_quantity", F.greatest(F.col("predicted_units"), F.col("predicted_units") + F.coalesce("extra", F.lit(0.0)))).drop("extra")
+    values = ["units", "predicted_units", "velocity_band", "lag_2", "roll4", "order_quantity"]
+    if runs is not None:
+        steps = scored.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("week_seq", *values))).alias("_steps"))
+        ahead = runs.where(F.col("until") > train_until).select("store_id", "plu", "week_seq", "until", "series").join(steps, "series")
+        weeks = F.explode(F.sequence(F.greatest(F.col("week_seq"), F.lit(train_until + 1)), "until"))
+        own = F.get("_steps", F.least(F.col("_week") - F.col("week_seq"), F.lit(LOOK_BACK + 1)).cast("int"))
+        ahead = ahead.withColumn("_week", weeks).select("store_id", "plu", F.col("_week").alias("week_seq"), own.alias("_own"))
+        scored = ahead.select("store_id", "plu", "week_seq", *[F.col("_own")[c].alias(c) for c in values])
+    return scored.select("store_id", F.when(seen, "Y").otherwise("N").alias("seen_store"), "plu", "week_seq", *values)
 
 
 PO_NUMS = ["expected_lead_days", "ordered_units", "line_count", "po_value_cost", "mo"]

@@ -138,8 +138,13 @@ PLU_NUMS = ["lag_2", "lag_4", "lag_8", "lag_13", "roll4", "roll13", "roll13_std"
 
 
 def plu_scored(spark, sf):
-    f = dm.plu_week_lags(plu_week(spark, sf).select("store_id", "plu", "week_seq", "units"))
-    return le.plu_forecast(f, PLU_NUMS, 300)
+    """Features are made once for each series of weeks that pairs share, unless the dense panel has fewer rows than the series have weeks."""
+    runs = cut_lineage(dm.week_series(plu_week(spark, sf, dm.plu_week_runs)))
+    steps = cut_lineage(dm.series_steps(runs))
+    weeks = runs.agg(F.sum(F.col("until") - F.col("week_seq") + 1).alias("n")).first()["n"] or 0
+    if weeks < (steps.agg(F.sum(F.col("age") + F.col("steps") + 1).alias("n")).first()["n"] or 0):
+        return le.plu_forecast(dm.plu_week_lags(plu_week(spark, sf).select("store_id", "plu", "week_seq", "units")), PLU_NUMS, 300)
+    return le.plu_forecast(dm.plu_week_lags(dm.series_panel(steps), keys=["series"]), PLU_NUMS, 300, runs=runs)
 
 
 @query("ml27_product_week_forecast")

@@ -316,9 +316,9 @@ SPW = f"""aw AS (SELECT store_id, plu, date_diff('day', (SELECT min(CAST(o_order
 pw AS (SELECT store_id, plu, unnest(range(min(week_seq), max(week_seq) + 1)) AS week_seq FROM aw GROUP BY 1, 2), spw AS (SELECT p.*, coalesce(units, 0) AS units, coalesce(sales, 0) AS sales, coalesce(margin, 0) AS margin, coalesce(promo_units, 0) AS promo_units FROM pw p LEFT JOIN aw USING (store_id, plu, week_seq))"""
 
 
-def plu_week(spark, sf):
+def plu_week(spark, sf, weeks=dm.store_plu_week):
     df = retail.lines(spark, sf, store=False, types=(retail.SALE, retail.RETURN))
-    return dm.store_plu_week(df, retail.span(spark, sf)[0])
+    return weeks(df, retail.span(spark, sf)[0])
 
 
 @query("mrt49_dense_product_weeks", f"""{L}, {SPW} SELECT plu, count(*) AS pair_weeks, count(DISTINCT store_id) AS stores, count(*) FILTER (WHERE units = 0) AS zero_weeks, {spct('count(*) FILTER (WHERE units = 0)', 'count(*)', 4)} AS zero_share, {n('sum(units)')} AS units, {m('sum(sales)')} AS sales, {m('sum(margin)')} AS margin, {n('sum(promo_units)')} AS promo_units, min(week_seq) AS first_week, max(week_seq) AS last_week FROM spw GROUP BY 1""")

@@ -38,6 +38,8 @@ BLOCK, MOST_BLOCKS = 128, 64
 QUERIES, CELLS, TABLE_CELLS = 128, 1 << 19, 1 << 23
 #: A term that this share of a shard's documents has is frequent; rare terms are spared up to this share of the k-th best score.
 FREQUENT, SPARE = 0.04, 0.01
+#: Postings of blocks that cannot reach the k-th best are skipped one by one where under this share of the blocks is left.
+SKIPPED = 0.4
 #: A query that one in so many documents of a shard may answer is scored by its postings.
 OFTEN = 16
 SHARD_BYTES = 8 << 20
@@ -178,11 +180,12 @@ class Shard:
         rest = summed(self.top[row[spare]], query[spare], n) * (1 + slack)
         needed = np.flatnonzero(rare & ~spare)
         at = positions(self.starts, row[needed])
-        cell = np.repeat(query[needed] * docs, self.count[row[needed]])
-        cell += self.doc[at]
-        if not alive[np.bincount(query, minlength=n) > 0].all():
-            ok = np.flatnonzero(alive[cell // docs, cell % docs // self.size])
-            at, cell = at[ok], cell[ok]
+        which, doc = np.repeat(query[needed], self.count[row[needed]]), self.doc[at]
+        if alive.mean() < SKIPPED * np.count_nonzero(alive.any(axis=1)) / n:
+            ok = np.flatnonzero(alive[which, doc // self.size])
+            at, which, doc = at[ok], which[ok], doc[ok]
+        cell = which * docs
+        cell += doc
         score = np.bincount(cell, weights=self.short[at], minlength=n * docs).reshape(n, docs) + asked @ self.table
 
         def reached():

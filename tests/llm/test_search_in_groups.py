@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from shopledger.llm import topk
 
@@ -25,7 +26,9 @@ def queries_of(shard: topk.Shard, part: np.ndarray, n: int) -> list[np.ndarray]:
     return [order[part[order, d] > 0] for d in range(n - 1)] + [order[:0]]
 
 
-def test_queries_of_a_group_find_what_full_scores_find():
+@pytest.mark.parametrize("skipped", [0, topk.SKIPPED, 2])
+def test_queries_of_a_group_find_what_full_scores_find(monkeypatch, skipped):
+    monkeypatch.setattr(topk, "SKIPPED", skipped)
     rng = np.random.default_rng(11)
     for docs, copies in ((900, 0), (900, 400), (5, 2), (1, 0)):
         shard, part = shard_of(docs, 3000, rng, copies)
